@@ -128,7 +128,7 @@ def codec(path: str, pattern: str) -> tuple[Pieces, dict[str, bytes]]:
 
     def make():
         bpe = PrefixBPE(load_ranks(path))
-        return Pieces(pattern, bpe.encode, lambda ids: " ".join(map(str, ids))), {str(r): t for t, r in bpe.ranks.items()}
+        return Pieces(pattern, lambda m: " ".join(map(str, bpe.encode(m))), " ".join), {str(r): t for t, r in bpe.ranks.items()}
 
     return held(("bpe", path), make)
 

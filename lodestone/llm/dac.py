@@ -132,5 +132,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 sums = [zlib.crc32(code.take(np.arange(a, a + n)).astype("<u4").tobytes()) for a, n in zip(starts, lengths, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(starts + first), pa.array(lengths), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    placed = shards.join(parts, "part").select((F.col("start") + F.col("before")).alias("first"), "doc_ids", "lengths", "code")
+    # parts has a dozen bytes for each writing task, so it is small beside any one shard; the shards stay where they are.
+    placed = shards.join(F.broadcast(parts), "part").select((F.col("start") + F.col("before")).alias("first"), "doc_ids", "lengths", "code")
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,20 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import pii
+
+    found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [pii.count_of("base", k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.listed("base").cast("binary"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import urls
+
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import bpe
 
@@ -44,7 +59,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_ngram_jaccard, op8_byte_bpe, op9_token_files, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_ngram_jaccard, op4_personal_data, op5_url_filter, op8_byte_bpe, op9_token_files, op10_packing)}
 
 #: Linked pairs by shared n-grams, then reachability, as plain SQL.
 OP2_SQL = r"""

@@ -11,46 +11,58 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable
+from itertools import islice
 
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 RUN = re.compile(r"\s (?:\s|\Z)")
-#: Entries of one worker's memory; when it is full it starts afresh, so memory stays bounded and results do not change.
-ENTRIES = 700_000
+#: Entries of one worker's memory. When it is full, those that came first stay (frequent pieces come early) and the other
+#: half goes, so memory stays bounded and results do not change.
+ENTRIES = 600_000
+#: Longer pieces are rare and not remembered.
+LONGEST = 40
 
 
 class Memory(dict):
     """piece -> code; a missing piece is encoded match by match, each match remembered in turn."""
 
-    def __init__(self, lead: str, encode: Callable[[str], list], pack: Callable[[list], object], pattern, words: dict):
+    def __init__(self, lead: str, encode: Callable, join: Callable, find: Callable, words: dict):
         super().__init__()
-        self.lead, self.encode, self.pack, self.words = lead, encode, pack, words
-        self.find = pattern.findall
+        self.lead, self.encode, self.join, self.find, self.words = lead, encode, join, find, words
 
     def __missing__(self, piece: str):
-        out = []
+        out, lead = [], len(self.lead)
         for m in self.find(self.lead + piece):
-            got = self.words.get(m)
+            held, key = (self.words, m) if out else (self, m[lead:])  # the first match is a piece of its own elsewhere
+            got = self.get(key) if held is self else held.get(key)
             if got is None:
-                got = self.words[m] = self.encode(m)
-            out += got
-        code = self[piece] = self.pack(out)
+                got = self.encode(m)
+                if len(m) <= LONGEST:
+                    held[key] = got
+            out.append(got)
+        code = out[0] if len(out) == 1 else self.join(out)
+        if len(piece) <= LONGEST:
+            self[piece] = code
         return code
 
 
 class Pieces:
-    """Codes of a text's pieces in order. encode maps one match of the pattern to ids, pack turns a piece's ids into its code."""
+    """Codes of a text's pieces in order. encode maps one match of the pattern to its code, join puts codes together."""
 
-    def __init__(self, pattern: str, encode: Callable[[str], list], pack: Callable[[list], object], entries: int = ENTRIES):
-        pat, self.words, self.entries = regex.compile(pattern), {}, entries
-        self.find = pat.findall
-        self.first, self.rest = Memory("", encode, pack, pat, self.words), Memory(" ", encode, pack, pat, self.words)
+    def __init__(self, pattern: str, encode: Callable, join: Callable, entries: int = ENTRIES):
+        self.find, self.words, self.entries = regex.compile(pattern).findall, {}, entries
+        self.first, self.rest = (Memory(x, encode, join, self.find, self.words) for x in ("", " "))
 
-    def __call__(self, text: str) -> list:
-        if len(self.rest) + len(self.first) + len(self.words) > self.entries:
-            for x in (self.first, self.rest, self.words):
+    def trim(self) -> None:
+        for x in (self.first, self.rest, self.words):
+            if len(x) > self.entries:
+                early = list(islice(x.items(), self.entries // 2))
                 x.clear()
+                x.update(early)
+
+    def __call__(self, text: str) -> list:
+        self.trim()
         if RUN.search(text):
             return list(map(self.first.__getitem__, self.find(text)))
         parts = text.split(" ")
@@ -88,4 +100,8 @@ def library_ids(path: str, pattern: str) -> Pieces:
     """Texts to little-endian unsigned 32-bit ids by a tokenizers file, one bytes object a piece."""
     import struct
 
-    return held(("ids", path), lambda: Pieces(pattern, library_encoder(path), lambda ids: struct.pack(f"<{len(ids)}I", *ids)))
+    def make() -> Pieces:
+        encode = library_encoder(path)
+        return Pieces(pattern, lambda m: struct.pack(f"<{len(ids := encode(m))}I", *ids), b"".join)
+
+    return held(("ids", path), make)
