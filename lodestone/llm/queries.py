@@ -24,6 +24,16 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import toxicity
+    from lodestone.llm.common import remainder
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon, weights = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, lexicon, weights)
+    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import pii
 
@@ -59,7 +69,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_ngram_jaccard, op4_personal_data, op5_url_filter, op8_byte_bpe, op9_token_files, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_ngram_jaccard, op3_toxicity, op4_personal_data, op5_url_filter, op8_byte_bpe, op9_token_files, op10_packing)}
 
 #: Linked pairs by shared n-grams, then reachability, as plain SQL.
 OP2_SQL = r"""
