@@ -48,6 +48,13 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import lm
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import bpe
 
@@ -69,7 +76,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_ngram_jaccard, op3_toxicity, op4_personal_data, op5_url_filter, op8_byte_bpe, op9_token_files, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_ngram_jaccard, op3_toxicity, op4_personal_data, op5_url_filter, op6_lm_score, op8_byte_bpe, op9_token_files, op10_packing)}
 
 #: Linked pairs by shared n-grams, then reachability, as plain SQL.
 OP2_SQL = r"""
