@@ -55,6 +55,12 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op7_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import media
+
+    return media.copies(media.page_media(table(spark, sf_dir, "pages")), "page_id")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import bpe
 
@@ -76,7 +82,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_ngram_jaccard, op3_toxicity, op4_personal_data, op5_url_filter, op6_lm_score, op8_byte_bpe, op9_token_files, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_ngram_jaccard, op3_toxicity, op4_personal_data, op5_url_filter, op6_lm_score, op7_media_copies, op8_byte_bpe, op9_token_files, op10_packing)}
 
 #: Linked pairs by shared n-grams, then reachability, as plain SQL.
 OP2_SQL = r"""
