@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def vector(values: list[float]) -> Column:
@@ -125,4 +126,4 @@ def cosine_batches(df: DataFrame, vec: str, query: list[float], out: str = "_dis
                 got[ok] = np.maximum(0, 1 - (m @ q) / np.where(n > 0, n, 1))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, from_pandas=True)], names=[*b.schema.names, out])
 
-    return df.mapInArrow(run, df.schema.add(out, "double") if out not in df.columns else df.schema)
+    return df.mapInArrow(run, T.StructType([*df.schema, T.StructField(out, T.DoubleType())]))

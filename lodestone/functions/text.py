@@ -39,9 +39,8 @@ def field(c: Column) -> Column:
 
 def trigram(c: Column) -> Column:
     """Sliding windows of three letters or digits, lower-cased."""
-    s = F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
-    n = F.length(s)
-    return F.when(n >= 3, F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(s, i, F.lit(3)))).when(n.isNotNull(), F.array().cast("array<string>"))
+    # The look-ahead takes no characters, so one scan finds windows that overlap.
+    return F.regexp_extract_all(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", ""), F.lit(r"(?=(...))"), 1)
 
 
 TOKENIZERS: dict[str, Callable[[Column], Column]] = {"word": word, "lowercase": lowercase, "whitespace": whitespace, "field": field, "trigram": trigram}

@@ -36,7 +36,7 @@ def boolean(c: Column | str, p: str) -> list[Column]:
 
 def date(c: str, p: str) -> list[Column]:
     """Moments as microseconds; the median of an even count lies midway; of equal modes the earliest."""
-    x = F.unix_micros(c)
+    x = F.unix_micros(F.col(c).cast("timestamp"))
     at = lambda y, name: F.timestamp_micros(y.cast("long")).alias(f"{p}_{name}")
     return [F.count(x).alias(f"{p}_count"), at(F.min(x), "minimum"), at(F.max(x), "maximum"), at(F.mode(x, True), "mode"), at(F.floor(F.median(x)), "median")]
 

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.operators.vector import knn, with_distance
 
@@ -54,7 +55,7 @@ def build(df: DataFrame, vec: str, id_col: str, lists: int = 32, replicas: int =
                 near = np.argsort(((x[:, None] - centers[None]) ** 2).sum(2), axis=1)[:, :replicas]
                 yield f.assign(_list=near.astype(np.int32).tolist())
 
-    posted = df.where(F.col(vec).isNotNull()).mapInPandas(post, df.schema.add("_list", "array<int>"))
+    posted = df.where(F.col(vec).isNotNull()).mapInPandas(post, T.StructType([*df.schema, T.StructField("_list", T.ArrayType(T.IntegerType()))]))
     return InvertedFile(posted.withColumn("_list", F.explode("_list")), centers, vec, id_col)
 
 

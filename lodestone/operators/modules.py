@@ -16,47 +16,53 @@ def _letters(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[^a-z]+", "")
 
 
-def _code(s: Column, i: Column) -> Column:
-    return F.ascii(F.substring(s, i, F.lit(1))) - 97
+def _pairs(text: Column, code: Callable[[Column, Column], Column]) -> Column:
+    """Codes of adjacent letters, each 0 to 25. The look-ahead takes no letter, so one scan finds all pairs."""
+    pairs = F.regexp_extract_all(_letters(text), F.lit("(?=(..))"), 1)
+    return F.transform(pairs, lambda p: code(F.ascii(p) - 97, F.ascii(F.substring(p, 2, 1)) - 97))
+
+
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once however often f uses it."""
+    return F.transform(F.array(value), f)[0]
 
 
 def _counts(codes: Column, size: int) -> Column:
-    """Counts of codes 0 to size - 1 by one map pass over the distinct codes, divided by their sum."""
-    n = F.greatest(F.size(codes), F.lit(1))
-    sorted_codes = F.array_sort(codes)
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(sorted_codes, lambda c: c == k)) / n)
+    """Counts of codes 0 to size - 1, divided by their sum: runs of the sorted codes, looked up by code."""
+    runs = "array<struct<code:int,n:int>>"
 
+    def step(acc: Column, c: Column) -> Column:
+        same, run = acc["code"] == c, F.array(F.struct(acc["code"].alias("code"), acc["n"].alias("n")))
+        return F.struct(c.alias("code"), F.when(same, acc["n"] + 1).otherwise(1).alias("n"), F.when(same, acc["out"]).otherwise(F.concat(acc["out"], run)).alias("out"))
 
-def _windows(s: Column, width: int, code: Callable[[Column], Column]) -> Column:
-    n = F.length(s) - width + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), code)).otherwise(F.array().cast("array<int>"))
+    start = F.struct(F.lit(-1).alias("code"), F.lit(0).alias("n"), F.array().cast(runs).alias("out"))
+    end = lambda acc: F.map_from_entries(F.concat(acc["out"], F.array(F.struct(acc["code"].alias("code"), acc["n"].alias("n")))))
+    spread = lambda counts, n: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.try_element_at(counts, k), F.lit(0)) / n)
+    return _bound(codes, lambda c: _bound(F.aggregate(F.array_sort(c), start, step, end), lambda m: spread(m, F.greatest(F.size(c), F.lit(1)))))
 
 
 def bigram_alphabet(text: Column) -> Column:
     """676 shares of letter pairs; all else than a to z is dropped first."""
-    s = _letters(text)
-    return _counts(_windows(s, 2, lambda i: _code(s, i) * 26 + _code(s, i + 1)), 676)
+    return _counts(_pairs(text, lambda a, b: a * 26 + b), 676)
 
 
 def bigram_mod26(text: Column) -> Column:
     """26 shares of letter pairs by their sum of codes modulo 26."""
-    s = _letters(text)
-    return _counts(_windows(s, 2, lambda i: (_code(s, i) + _code(s, i + 1)) % 26), 26)
+    return _counts(_pairs(text, lambda a, b: (a + b) % 26), 26)
 
 
 def bytepairs(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, pair, share) of adjacent bytes: the sparse form of 65,536 dimensions."""
-    return _sparse(df, id_col, F.hex(F.encode(F.lower(text), "utf-8")), 4, 2, "pair")
+    each = F.regexp_extract_all(F.hex(F.encode(F.lower(text), "utf-8")), F.lit(".."), 0)
+    return _sparse(df, id_col, _bound(each, lambda b: F.zip_with(F.slice(b, 1, F.greatest(F.size(b) - 1, F.lit(0))), F.slice(b, 2, F.size(b)), lambda x, y: F.concat(x, y))), "pair")
 
 
 def trigrams(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, trigram, share) of adjacent letters: the sparse form of 17,576 dimensions."""
-    return _sparse(df, id_col, _letters(F.col(text)), 3, 1, "trigram")
+    return _sparse(df, id_col, F.regexp_extract_all(_letters(F.col(text)), F.lit("(?=(...))"), 1), "trigram")
 
 
-def _sparse(df: DataFrame, id_col: str, s: Column, width: int, step: int, name: str) -> DataFrame:
-    n = F.length(s)
-    parts = F.when(n >= width, F.transform(F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1)), F.lit(step)), lambda i: F.substring(s, i, F.lit(width)))).otherwise(F.array().cast("array<string>"))
+def _sparse(df: DataFrame, id_col: str, parts: Column, name: str) -> DataFrame:
     each = df.select(id_col, F.size(parts).alias("_n"), F.explode(parts).alias(name))
     return each.groupBy(id_col, "_n", name).agg(F.count(F.lit(1)).alias("_c")).select(id_col, name, (F.col("_c") / F.col("_n")).alias("share"))
 

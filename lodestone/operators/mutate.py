@@ -59,7 +59,7 @@ def delete_counts(report: DataFrame) -> DataFrame:
 
 def add_references(current: DataFrame, edges: DataFrame, id_col: str, refs: str, source: str = "from_id", target: str = "to_id", order: str | None = None) -> DataFrame:
     """Append a batch of (from, to) edges to the arrays of their sources, in their order."""
-    lists = edges.groupBy(F.col(source).alias(id_col)).agg(F.transform(F.array_sort(F.collect_list(F.struct(order or target, target))), lambda s: s[target]).alias("_more"))
+    lists = edges.groupBy(F.col(source).alias(id_col)).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order or target).alias("o"), F.col(target).alias("t")))), lambda s: s["t"]).alias("_more"))
     more = F.when(F.col("_more").isNotNull(), F.concat(F.coalesce(refs, F.array().cast(current.schema[refs].dataType)), "_more")).otherwise(F.col(refs))
     return current.join(lists, id_col, "left").withColumn(refs, more).select(current.columns)
 

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def autocut(hits: DataFrame, y: str, order: list[str], jumps: int) -> DataFrame:
@@ -44,10 +45,10 @@ def deduplicate(hits: DataFrame, id_col: str, value: str) -> DataFrame:
 
 def semantic_groups(hits: DataFrame, vec: str, order: list[str], force: float) -> DataFrame:
     """Greedy grouping of a bounded result: a hit joins the first group with any member nearer than force. Adds _group from 0."""
-    schema = hits.schema.add("_group", "int")
+    schema = T.StructType([*hits.schema, T.StructField("_group", T.IntegerType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
+        pdf = pdf.drop(columns="_all").sort_values(order, kind="stable").reset_index(drop=True)
         m = np.stack(pdf[vec].to_list()).astype(np.float64) if len(pdf) else np.zeros((0, 1))
         n = np.linalg.norm(m, axis=1, keepdims=True)
         m = m / np.where(n > 0, n, 1)
@@ -57,7 +58,7 @@ def semantic_groups(hits: DataFrame, vec: str, order: list[str], force: float) -
             group[i] = near.min() if len(near) else group[:i].max(initial=-1) + 1
         return pdf.assign(_group=group.astype("int32"))
 
-    return hits.groupBy(F.lit(0)).applyInPandas(run, schema)
+    return hits.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, schema)  # a bounded result
 
 
 def merge_group(df: DataFrame, by: list[str], order: list[str], texts: list[str] = (), numbers: list[str] = (), booleans: list[str] = (), geos: list[str] = (), refs: list[str] = ()) -> DataFrame:

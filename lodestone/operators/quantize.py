@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions import distance as D
 from lodestone.operators.vector import with_distance
@@ -16,6 +17,11 @@ from lodestone.operators.vector import with_distance
 RESCORE = {"sq": 20, "rq": 20, "brq": 512}
 
 
+def with_fields(df: DataFrame, **new: T.DataType) -> T.StructType:
+    """The rows' schema with further fields; the frame's own schema stays as it is."""
+    return T.StructType([*df.schema, *(T.StructField(n, t) for n, t in new.items())])
+
+
 def scalar_range(df: DataFrame, vec: str) -> DataFrame:
     """One row: the smallest component and the width of the range."""
     ends = df.select(F.array_min(vec).alias("lo"), F.array_max(vec).alias("hi")).agg(F.min("lo").cast("double").alias("b"), F.max("hi").cast("double").alias("h"))
@@ -73,7 +79,7 @@ def product_codes(df: DataFrame, vec: str, books: list[np.ndarray], out: str = "
                 codes = [((p[:, None] - b[None]) ** 2).sum(2).argmin(1) for p, b in zip(parts, books, strict=True)]
                 yield f.assign(**{out: np.stack(codes, 1).astype(np.int32).tolist()})
 
-    return df.mapInPandas(run, df.schema.add(out, "array<int>"))
+    return df.mapInPandas(run, with_fields(df, **{out: T.ArrayType(T.IntegerType())}))
 
 
 def product_distance(codes: str, books: list[np.ndarray], query: list[float]) -> Column:
@@ -104,7 +110,7 @@ def rotational_codes(df: DataFrame, vec: str, dims: int, bits: int = 8, seed: in
                     lo, step, codes = -np.abs(y).mean(1, keepdims=True), 2 * np.abs(y).mean(1, keepdims=True), (y >= 0).astype(int)
                 yield f.assign(**{out: codes.tolist(), f"{out}_low": lo[:, 0], f"{out}_step": step[:, 0], f"{out}_norm": np.linalg.norm(x, axis=1)})
 
-    schema = df.schema.add(out, "array<int>").add(f"{out}_low", "double").add(f"{out}_step", "double").add(f"{out}_norm", "double")
+    schema = with_fields(df, **{out: T.ArrayType(T.IntegerType()), f"{out}_low": T.DoubleType(), f"{out}_step": T.DoubleType(), f"{out}_norm": T.DoubleType()})
     return df.mapInPandas(run, schema)
 
 
@@ -147,4 +153,4 @@ def muvera(df: DataFrame, vecs: str, dims: int, out: str = "_muvera", **kw) -> D
         for f in frames:
             yield f.assign(**{out: [code.encode(np.stack(list(x)) if len(x) else np.zeros((0, dims)), True).tolist() for x in f[vecs]]})
 
-    return df.mapInPandas(run, df.schema.add(out, "array<double>"))
+    return df.mapInPandas(run, with_fields(df, **{out: T.ArrayType(T.DoubleType())}))

@@ -122,7 +122,7 @@ def _(spark, sf):
 # Tokenizers: how many tokens and how many different ones each document has.
 TOKEN_SQL = {
     "t1_word": ("word", W), "t2_lowercase": ("lowercase", f"list_transform({blanks_sql()}, lambda x: lower(x))"), "t3_whitespace": ("whitespace", blanks_sql()), "t4_field": ("field", "[trim(text)]"),
-    "t5_trigram": ("trigram", r"CASE WHEN length(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g')) >= 3 THEN list_transform(range(1, length(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g')) - 1), lambda i: substr(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g'), i, 3)) ELSE [] END"),
+    "t5_trigram": ("trigram", "list_concat({})".format(", ".join(rf"regexp_extract_all(substr(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', '', 'g'), {i}), '...')" for i in (1, 2, 3)))),
 }
 
 

@@ -51,7 +51,7 @@ def _(spark, sf):
     return classify.zero_shot(e.where("vec_id >= 20"), e.where("vec_id < 10"), "vec_id", "embedding", "vec_id", "embedding").select("vec_id", "label")
 
 
-TF_IDF = f"WITH t AS (SELECT doc_id, len({words_sql()}) AS l, unnest({words_sql()}) AS term FROM documents), c AS (SELECT doc_id, l, term, count(*) AS c FROM t GROUP BY doc_id, l, term), d AS (SELECT term, count(*) AS df FROM c GROUP BY term) SELECT doc_id, term, round(c / l, 6) AS tf, round(log10((SELECT count(*) FROM documents) / df), 6) AS idf FROM c JOIN d USING (term)"
+TF_IDF = f"WITH w AS (SELECT doc_id, {words_sql()} AS t FROM documents), t AS (SELECT doc_id, len(t) AS l, unnest(t) AS term FROM w), c AS (SELECT doc_id, l, term, count(*) AS c FROM t GROUP BY doc_id, l, term), d AS (SELECT term, count(*) AS df FROM c GROUP BY term) SELECT doc_id, term, round(c / l, 6) AS tf, round(log10((SELECT count(*) FROM documents) / df), 6) AS idf FROM c JOIN d USING (term)"
 
 
 @query("q_c4_tf_idf", TF_IDF)
