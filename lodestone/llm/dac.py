@@ -6,7 +6,7 @@ so the place in the next level is one lookup and one bit count: any token is rea
 
 ``write(df)`` orders documents by doc_id (equal ids by text), encodes whole texts, appends the end id and writes shards as
 rows of a Parquet table: the documents' ids and lengths beside the code bytes. Null and empty texts hold the end id alone.
-``read(...)`` gives every document's place and checksum from the files. Repeated rows are written each. Extra columns of
+``read(...)`` gives every document's place and checksum from the files. Repeated rows are written each; rows without an id have no place in the order and are left out. Extra columns of
 df are not stored, so their names cannot clash. An empty table gives no shards and no rows.
 """
 
@@ -112,7 +112,7 @@ def write(df: DataFrame, path: str, pattern: str, out: str | None = None, shard_
         if docs:
             yield shard()
 
-    ordered = df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, SHARD_SCHEMA).write.option("compression", "none").parquet(out)
     return out
 

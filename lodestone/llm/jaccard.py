@@ -14,7 +14,7 @@
 5. Connected components of the links, copies joined back through their representative.
 
 Nulls, empty texts and texts of blanks have no n-grams (n_shingles 0) and link with nothing. Texts of fewer than n words are
-one n-gram. Repeated rows (same id) keep one output row each. Extra columns are ignored. An empty table gives no rows.
+one n-gram. Repeated rows (same id) keep one output row each; rows without an id are left out. Extra columns are ignored. An empty table gives no rows.
 Two different n-grams fall together with a chance of 2**-64 a pair, two sets with 2**-128.
 """
 
@@ -154,7 +154,7 @@ def links_in_tile(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], num
 
 def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, tile_sets: int = TILE_SETS, tile_elements: int = TILE_ELEMENTS) -> DataFrame:
     """doc_id, n_shingles, component_id, copy_of (smallest id with an equal set) of every row of doc_id, text."""
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).where("doc_id is not null")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)

@@ -12,7 +12,7 @@ than others, weighed by log odds; the calibration is a logistic regression on th
 labelled training rows, about ``max_rows`` of them, chosen by a hash. Features come from the text alone.
 
 Null and empty texts have no clauses and get the score of none. Very long texts are read whole, word by word. Repeated rows
-score alike. Ties and order of rows play no part. Further columns stay but for those named like a result. Without labelled
+score alike, as do rows without an id. Ties and order of rows play no part. Further columns stay but for those named like a result. Without labelled
 rows of both kinds the listed words and fixed weights decide. Empty tables give no rows.
 """
 

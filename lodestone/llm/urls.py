@@ -19,7 +19,7 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 GRAMS, BUCKETS = (3, 4, 5), 1 << 14
 # Labelled hosts: words that unwanted sites carry in their names, and ordinary ones.
 UNWANTED = "casino-win free-bets cheap-pills adult-x ads-track spam-farm poker-bonus best-casino bets-online pills-shop viagra-cheap xxx-video adult-cam ad-click track-pixel ads-server spam-mail link-farm free-prize win-money loan-fast payday-loan click-bait adserver porn-tube lottery-win crypto-double betting-odds slot-jackpot replica-watch".split()
-ORDINARY = "library museum university news weather garden kitchen history science physics math journal city school travel music archive forum health hospital census maps river mountain theatre cinema poetry novels grammar atlas therhe ththan tionble ththre therth tionsh theron ererth andthe onther reather blether thention edingly stander".split()
+ORDINARY = "library museum university news weather garden kitchen history science physics math journal city school travel music archive forum health hospital census maps river mountain theatre cinema poetry novels grammar atlas bakery farmhouse orchestra gallery parish council railway harbour island valley meadow fishing chess recipes climbing".split()
 PATHS = ("/en/{}", "/fr/{}.html", "/de/{}/", "/es/{}", "/{}/index.html", "/article-{}", "")
 TOPS = ("example.com", "example.net", "example.org", "net", "com")
 PREFIXES = ("", "www.", "m.", "blog.")
