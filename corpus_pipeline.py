@@ -17,7 +17,10 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of every group of linked documents; of rows that repeat an id, one."""
+    """The document of smallest doc_id of every group of linked documents; of rows that repeat an id, one.
+
+    Rows without an id can't be told apart and are left out.
+    """
     groups = jaccard.join(docs)
     chosen = groups.where("doc_id = component_id").select("doc_id")
     return docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
