@@ -144,7 +144,7 @@ def test_toxicity_without_labels_and_odd_rows(spark):
 def test_toxicity_held_out(spark):
     from pathlib import Path
 
-    d = "/root/testdata/sf0.01"
+    d = "/root/testdata/sf0.1"  # the smaller tables hold too few toxic documents for a measure
     if not Path(d).is_dir():
         pytest.skip("the test tables are not here")
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
@@ -153,4 +153,4 @@ def test_toxicity_held_out(spark):
     got = toxicity.score(held, lexicon, weights).collect()
     pos, neg = [r.score for r in got if r.toxic], [r.score for r in got if not r.toxic]
     auc = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
-    assert auc >= 0.9
+    assert auc >= 0.9 and sum(x >= 0.7 for x in neg) <= 0.01 * len(neg)
