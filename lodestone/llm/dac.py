@@ -4,7 +4,7 @@ An id is split into chunks of 8 bits. Level 0 holds the lowest chunk of every id
 ids go on, and the next level holds their next chunk, densely. A rank directory counts the bits before every 64-bit word,
 so the place in the next level is one lookup and one bit count: any token is read by itself, no block is decoded.
 
-``write(df)`` orders documents by doc_id (equal ids by text), encodes whole texts, appends the end id and writes shards as
+``write(df)`` orders documents by doc_id (equal ids by a hash of the text), encodes whole texts, appends the end id and writes shards as
 rows of a Parquet table: the documents' ids and lengths beside the code bytes. Null and empty texts hold the end id alone.
 ``read(...)`` gives every document's place and checksum from the files. Repeated rows are written each; rows without an id have no place in the order and are left out. Extra columns of
 df are not stored, so their names cannot clash. An empty table gives no shards and no rows.
@@ -112,7 +112,10 @@ def write(df: DataFrame, path: str, pattern: str, out: str | None = None, shard_
         if docs:
             yield shard()
 
-    ordered = df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
+    # A hash stands for the text in the ranges' bounds, so that no texts go to the driver.
+    digest = F.xxhash64("text")
+    ordered = ordered.repartitionByRange("doc_id", digest).sortWithinPartitions("doc_id", digest, "text").select("doc_id", "text")
     ordered.mapInArrow(run, SHARD_SCHEMA).write.option("compression", "none").parquet(out)
     return out
 
@@ -129,7 +132,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for first, docs, lengths, code in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 code, docs, lengths = Code(code), np.frombuffer(docs, np.int64), np.frombuffer(lengths, np.uint32).astype(np.int64)
                 starts = np.cumsum(lengths) - lengths
-                sums = [zlib.crc32(code.take(np.arange(a, a + n)).astype("<u4").tobytes()) for a, n in zip(starts, lengths, strict=True)]
+                ids = memoryview(code.take(np.arange(len(code))).astype("<u4").tobytes())
+                sums = [zlib.crc32(ids[4 * a : 4 * (a + n)]) for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(starts + first), pa.array(lengths), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     # parts has a dozen bytes for each writing task, so it is small beside any one shard; the shards stay where they are.
