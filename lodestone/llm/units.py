@@ -96,12 +96,39 @@ def library_encoder(path: str) -> Callable[[str], list[int]]:
     return lambda m: [t.id for t in model.tokenize(m.encode().decode("latin-1").translate(letters))]
 
 
-def library_ids(path: str, pattern: str) -> Pieces:
-    """Texts to little-endian unsigned 32-bit ids by a tokenizers file, one bytes object a piece."""
+class Cut:
+    """Codes of a text in which added tokens are recognised before the pattern cuts what stands between them."""
+
+    def __init__(self, pieces: Pieces, added: dict[str, bytes]):
+        self.pieces, self.added = pieces, added
+        # Longer contents first: of two that start at one place the longer one counts.
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split
+
+    def __call__(self, text: str) -> list[bytes]:
+        if not any(x in text for x in self.added):
+            return self.pieces(text)
+        out = []
+        for i, part in enumerate(self.split(text)):
+            if i % 2:
+                out.append(self.added[part])
+            elif part:
+                out += self.pieces(part)
+        return out
+
+
+def library_ids(path: str, pattern: str) -> Callable[[str], list[bytes]]:
+    """Texts to little-endian unsigned 32-bit ids by a tokenizers file, one bytes object a piece or added token."""
     import struct
 
-    def make() -> Pieces:
+    from tokenizers import Tokenizer
+
+    def make() -> Callable[[str], list[bytes]]:
         encode = library_encoder(path)
-        return Pieces(pattern, lambda m: struct.pack(f"<{len(ids := encode(m))}I", *ids), b"".join)
+        pieces = Pieces(pattern, lambda m: struct.pack(f"<{len(ids := encode(m))}I", *ids), b"".join)
+        known = Tokenizer.from_file(path)
+        added = known.get_added_tokens_decoder()
+        if any(x.single_word or x.lstrip or x.rstrip or (x.normalized and known.normalizer) for x in added.values()):
+            raise ValueError(f"{path} has added tokens that take in or depend on what stands beside them")
+        return Cut(pieces, {x.content: struct.pack("<I", i) for i, x in added.items() if x.content}) if added else pieces
 
     return held(("ids", path), make)

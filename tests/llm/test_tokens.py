@@ -95,6 +95,19 @@ def test_code_gives_any_token(ids):
     assert code.take(places).tolist() == [ids[i] for i in places]
 
 
+ADDED = ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> <|endoftext|><|endoftext|>\n  x", "<|endoftext|", "two  words <|endoftext|> and  more"]
+
+
+def test_added_tokens_in_texts(spark, library):
+    """Token files and packing recognise the file's added tokens inside a text, as the library does."""
+    df = spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string")
+    files = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in dac.read(spark, dac.write(df, JSON, PATTERN)).collect()}
+    packed = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack(df, JSON, PATTERN).collect()}
+    want = {i: (len(ids := library_ids(t, library)), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, t in enumerate(ADDED)}
+    assert library_ids(ADDED[0], library) == [64, 50256, 65, 0]
+    assert files == want and packed == want
+
+
 def placed(rows, capacity):
     """Checks that pieces fill sequences without gaps; gives how many sequences there are."""
     bins = {}
