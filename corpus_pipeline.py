@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard, packing, pii, toxicity
 from lodestone.llm.common import written
@@ -17,13 +18,15 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of every group of linked documents; of rows that repeat an id, one.
+    """The first document of every group of linked documents: that of smallest doc_id, rows without an id after all others.
 
-    Rows without an id can't be told apart and are left out.
+    Rows are told apart by id and text, so those without an id, and different texts under one id, stay unless their text
+    is a duplicate. Of rows that repeat both, the one whose other columns hash lowest stays.
     """
-    groups = jaccard.join(docs)
-    chosen = groups.where("doc_id = component_id").select("doc_id")
-    return docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    chosen = jaccard.rows(docs).where("is_first").select(jaccard.IDENTITY).distinct()
+    whole = jaccard.identified(docs).join(chosen, jaccard.IDENTITY, "left_semi")
+    one = whole.groupBy(jaccard.IDENTITY).agg(F.min_by(F.struct(docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+    return one.select("row.*")
 
 
 def blot_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

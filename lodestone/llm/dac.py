@@ -4,9 +4,9 @@ An id is split into chunks of 8 bits. Level 0 holds the lowest chunk of every id
 ids go on, and the next level holds their next chunk, densely. A rank directory counts the bits before every 64-bit word,
 so the place in the next level is one lookup and one bit count: any token is read by itself, no block is decoded.
 
-``write(df)`` orders documents by doc_id (equal ids by a hash of the text), encodes whole texts, appends the end id and writes shards as
+``write(df)`` orders documents by doc_id (equal ids by a hash of the text; those without an id come last), encodes whole texts, appends the end id and writes shards as
 rows of a Parquet table: the documents' ids and lengths beside the code bytes. Null and empty texts hold the end id alone.
-``read(...)`` gives every document's place and checksum from the files. Repeated rows are written each; rows without an id have no place in the order and are left out. Extra columns of
+``read(...)`` gives every document's place and checksum from the files. Repeated rows are written each. Extra columns of
 df are not stored, so their names cannot clash. An empty table gives no shards and no rows.
 """
 
@@ -29,7 +29,7 @@ from lodestone.llm.units import library_ids
 END = 0
 #: Tokens after which a shard is closed.
 SHARD_TOKENS = 1 << 20
-SHARD_SCHEMA = "part int, seq int, start long, n_tokens long, doc_ids binary, lengths binary, code binary"
+SHARD_SCHEMA = "part int, seq int, start long, n_tokens long, doc_ids binary, no_id int, lengths binary, code binary"
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -98,8 +98,8 @@ def write(df: DataFrame, path: str, pattern: str, out: str | None = None, shard_
         def shard() -> pa.RecordBatch:
             lengths = np.array([len(x) // 4 for x in held], np.uint32)
             code = encode(np.frombuffer(b"".join(held), np.uint32))
-            row = [[part], [seq], [start], [int(lengths.sum())], [np.array(docs, np.int64).tobytes()], [lengths.tobytes()], [code]]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=[x.split()[0] for x in SHARD_SCHEMA.split(", ")])
+            row = [[part], [seq], [start], [int(lengths.sum())], [np.array([x or 0 for x in docs], np.int64).tobytes()], [docs.count(None)], [lengths.tobytes()], [code]]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=[x.split()[0] for x in SHARD_SCHEMA.split(", ")])
 
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -112,10 +112,11 @@ def write(df: DataFrame, path: str, pattern: str, out: str | None = None, shard_
         if docs:
             yield shard()
 
-    ordered = df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
+    ordered = df.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     # A hash stands for the text in the ranges' bounds, so that no texts go to the driver.
     digest = F.xxhash64("text")
-    ordered = ordered.repartitionByRange("doc_id", digest).sortWithinPartitions("doc_id", digest, "text").select("doc_id", "text")
+    by_id = F.col("doc_id").asc_nulls_last()
+    ordered = ordered.repartitionByRange(by_id, digest).sortWithinPartitions(by_id, digest, "text").select("doc_id", "text")
     ordered.mapInArrow(run, SHARD_SCHEMA).write.option("compression", "none").parquet(out)
     return out
 
@@ -129,13 +130,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, docs, lengths, code in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for first, docs, no_id, lengths, code in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 code, docs, lengths = Code(code), np.frombuffer(docs, np.int64), np.frombuffer(lengths, np.uint32).astype(np.int64)
                 starts = np.cumsum(lengths) - lengths
                 ids = memoryview(code.take(np.arange(len(code))).astype("<u4").tobytes())
                 sums = [zlib.crc32(ids[4 * a : 4 * (a + n)]) for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(starts + first), pa.array(lengths), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, mask=np.arange(len(docs)) >= len(docs) - no_id), pa.array(starts + first), pa.array(lengths), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     # parts has a dozen bytes for each writing task, so it is small beside any one shard; the shards stay where they are.
-    placed = shards.join(F.broadcast(parts), "part").select((F.col("start") + F.col("before")).alias("first"), "doc_ids", "lengths", "code")
+    placed = shards.join(F.broadcast(parts), "part").select((F.col("start") + F.col("before")).alias("first"), "doc_ids", "no_id", "lengths", "code")
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

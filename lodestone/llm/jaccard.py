@@ -14,7 +14,9 @@
 5. Connected components of the links, copies joined back through their representative.
 
 Nulls, empty texts and texts of blanks have no n-grams (n_shingles 0) and link with nothing. Texts of fewer than n words are
-one n-gram. Repeated rows (same id) keep one output row each; rows without an id are left out. Extra columns are ignored. An empty table gives no rows.
+one n-gram. Repeated rows (same id) keep one output row each. ``rows`` tells rows apart by id and text, so those without an id
+or with an id that another text has are rows of their own; ``join`` leaves out rows without an id. Extra columns are ignored.
+An empty table gives no rows.
 Two different n-grams fall together with a chance of 2**-64 a pair, two sets with 2**-128.
 """
 
@@ -152,25 +154,40 @@ def links_in_tile(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], num
     return out
 
 
+#: What tells rows apart: rows that agree in all three repeat one id and one text.
+IDENTITY = ["_row_no_id", "_row_id", "_row_text"]
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """docs with the columns of IDENTITY: whether the row has no id, the id or 0, and a hash of the text."""
+    return docs.withColumns({"_row_no_id": F.col("doc_id").isNull(), "_row_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_row_text": F.xxhash64(F.col("text").cast("binary"))})
+
+
 def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, tile_sets: int = TILE_SETS, tile_elements: int = TILE_ELEMENTS) -> DataFrame:
-    """doc_id, n_shingles, component_id, copy_of (smallest id with an equal set) of every row of doc_id, text."""
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).where("doc_id is not null")
+    """doc_id, n_shingles, component_id, copy_of (smallest id with an equal set) of every row of doc_id, text that has an id."""
+    return rows(docs.where("doc_id is not null"), n, num, den, tile_sets, tile_elements).drop(*IDENTITY, "is_first")
+
+
+def rows(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, tile_sets: int = TILE_SETS, tile_elements: int = TILE_ELEMENTS) -> DataFrame:
+    """What join gives, of all rows, with the columns of IDENTITY and is_first: the row is the smallest of its component by IDENTITY."""
+    source = identified(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))).select(*IDENTITY, "text")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
         for b in batches:
             rows = []
-            for text in b.column(1).to_pylist():
+            for text in b.column(3).to_pylist():
                 s = shingles(text, n)
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 rows.append((len(s), (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), segment_keys(s, bands)))
             cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "n", "h1", "h2", "keys"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *cols, pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=[*IDENTITY, "n", "h1", "h2", "keys"])
 
-    sets = written(source.mapInArrow(keyed, "doc_id long, n long, h1 long, h2 long, keys array<long>"), "sets")
-    # Equal sets have equal keys, so any of them will do.
-    copies = written(sets.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "copies")
-    shared = copies.select("rep", F.explode("keys").alias("key"))
+    schema = "_row_no_id boolean, _row_id long, _row_text long"
+    sets = written(source.mapInArrow(keyed, f"{schema}, n long, h1 long, h2 long, keys array<long>").withColumn("uid", F.monotonically_increasing_id()), "sets")
+    copies = sets.groupBy("h1", "h2", "n").agg(F.min(F.struct(*IDENTITY, F.col("uid").alias("rep"))).alias("x"))
+    copies = written(copies.select("h1", "h2", "n", "x.*"), "copies")
+    shared = sets.where("size(keys) > 0").select(F.col("uid").alias("rep"), "keys").join(copies.select("rep"), "rep").select("rep", F.explode("keys").alias("key"))
     chain = shared.select("rep", F.expr("lag(rep) over (partition by key order by rep)").alias("before")).where("before <> rep")
     group = components(chain.select(F.col("rep").alias("a"), F.col("before").alias("b")))
 
@@ -198,17 +215,21 @@ def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, tile_sets:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, n).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["node", "members"])
 
-    needed = source.join(member.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    needed = needed.mapInArrow(rebuilt, "node long, members binary")
+    asked = group.select("node").join(copies.select(F.col("rep").alias("node"), *IDENTITY), "node")
+    needed = source.join(asked, IDENTITY).select("node", "text").mapInArrow(rebuilt, "node long, members binary")
+    needed = needed.groupBy("node").agg(F.first("members").alias("members"))  # repeated rows
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("node")  # repeated rows
         found = links_in_tile(pdf.node.to_numpy(), pdf.side.to_numpy(), [np.frombuffer(x, np.uint64) for x in pdf.members], num, den)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     links = placed.join(needed, "node").groupBy("comp", "low", "high", "i", "j").applyInPandas(tile, "a long, b long")
-    linked = components(links)
-    reps = copies.select("h1", "h2", F.col("n").alias("size"), "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-    out = sets.select("doc_id", "n", "h1", "h2").join(reps, ["h1", "h2"])
-    alone = F.col("n") == 0
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.coalesce("comp", "rep")).alias("component_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("rep")).alias("copy_of"))
+    linked = components(links).withColumnRenamed("node", "rep")
+    firsts = linked.join(copies, "rep").groupBy("comp").agg(F.min(F.struct(*IDENTITY)).alias("first"))
+    reps = copies.select("h1", "h2", F.struct(*IDENTITY).alias("copy"), "rep").join(linked.join(firsts, "comp").select("rep", "first"), "rep", "left")
+    out = sets.select(*IDENTITY, "n", "h1", "h2").join(reps, ["h1", "h2"])
+    own = F.struct(*IDENTITY)
+    first = F.when(F.col("n") == 0, own).otherwise(F.coalesce("first", "copy"))
+    copy = F.when(F.col("n") == 0, own).otherwise(F.col("copy"))
+    id_of = lambda x: F.when(~x["_row_no_id"], x["_row_id"])
+    return out.select(*IDENTITY, id_of(own).alias("doc_id"), F.col("n").alias("n_shingles"), id_of(first).alias("component_id"), id_of(copy).alias("copy_of"), (own == first).alias("is_first"))

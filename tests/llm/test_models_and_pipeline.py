@@ -147,6 +147,19 @@ def test_pipeline(spark, tmp_path):
     assert max(want.values()) <= 2048
 
 
+def test_near_duplicates_keep_rows_without_an_id_and_with_reused_ids(spark):
+    import corpus_pipeline as p
+
+    texts = [" ".join(f"{k}{i}" for i in range(30)) for k in "abcdef"]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[0]), (None, texts[2]), (None, texts[3]), (None, texts[0]), (2, texts[4]), (None, texts[4] + " more"), (3, texts[5] + " more"), (3, texts[5]), (3, texts[2]), (None, None), (4, None), (5, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], COLUMNS).repartition(3)
+    got = [(r.doc_id, r.text) for r in dict(p.STAGES)["near duplicates"](spark, df, "").collect()]
+    six = [(i, t) for i, t in got if i == 3 and t.startswith("f")]
+    assert len(six) == 1
+    want = [(1, texts[0]), (1, texts[1]), (3, texts[2]), (None, texts[3]), (2, texts[4]), (None, None), (4, None), (5, "")]
+    assert sorted((x for x in got if x not in six), key=repr) == sorted(want, key=repr)
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     import corpus_pipeline as p
 

@@ -83,6 +83,15 @@ def test_token_files(spark, docs, library, shard):
         start += len(ids)
 
 
+def test_token_files_keep_documents_without_an_id(spark, library):
+    rows = [(None, "no id"), (7, "b c"), (None, None), (-3, "a"), (None, "no id"), (0, "zero")]
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in dac.read(spark, dac.write(spark.createDataFrame(rows, "doc_id long, text string"), JSON, PATTERN)).collect())
+    sums = {t: (len(ids := library_ids(t, library)), zlib.crc32(np.array(ids, "<u4").tobytes())) for _, t in rows}
+    assert [r[1] for r in got] == [-3, 0, 7, None, None, None]
+    assert [r[2:] for r in got[:3]] == [sums["a"], sums["zero"], sums["b c"]] and sorted(r[2:] for r in got[3:]) == sorted([sums[None], sums["no id"], sums["no id"]])
+    assert [r[0] for r in got] == np.cumsum([0, *(r[2] for r in got[:-1])]).tolist()
+
+
 def test_token_files_of_nothing(spark, docs):
     assert dac.read(spark, dac.write(docs.limit(0), JSON, PATTERN)).collect() == []
 
