@@ -20,10 +20,11 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of every group of linked documents: that of smallest doc_id, rows without an id after all others.
 
+    Documents link at a Jaccard similarity of their five-word sets of 0.8 or more. (op2_ngram_jaccard takes three words and 0.9.)
     Rows are told apart by id and text, so those without an id, and different texts under one id, stay unless their text
     is a duplicate. Of rows that repeat both, the one whose other columns hash lowest stays.
     """
-    chosen = jaccard.rows(docs).where("is_first").select(jaccard.IDENTITY).distinct()
+    chosen = jaccard.rows(docs, n=5, num=80, den=100).where("is_first").select(jaccard.IDENTITY).distinct()
     whole = jaccard.identified(docs).join(chosen, jaccard.IDENTITY, "left_semi")
     one = whole.groupBy(jaccard.IDENTITY).agg(F.min_by(F.struct(docs.columns), F.xxhash64(*docs.columns)).alias("row"))
     return one.select("row.*")

@@ -160,6 +160,30 @@ def test_near_duplicates_keep_rows_without_an_id_and_with_reused_ids(spark):
     assert sorted((x for x in got if x not in six), key=repr) == sorted(want, key=repr)
 
 
+def test_near_duplicates_of_five_words(spark):
+    """Copies of five-word similarity from 0.7 to 1 against a brute-force version."""
+    import corpus_pipeline as p
+
+    rng, texts = random.Random(11), []
+    for size, edits in [(50, 1), (50, 2), (110, 2), (110, 3), (200, 4), (200, 6), (400, 8), (30, 1)] * 3:
+        base = [f"w{rng.randrange(10_000)}" for _ in range(size)]
+        for _ in range(2):
+            copy = list(base)
+            for at in range(edits):
+                copy[(at + 1) * size // (edits + 1)] = f"new{rng.randrange(10_000)}"
+            texts.append(" ".join(copy))
+        texts.append(" ".join(base))
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in map(str.split, texts)]
+    share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for b in range(len(sets)) for a in range(b)}
+    assert sum(0.8 <= x < 0.9 for x in share.values()) > 5 and any(0.7 <= x < 0.8 for x in share.values())
+    low = list(range(len(texts)))
+    for a, b in (k for k, x in share.items() if x >= 0.8):
+        low = [min(low[a], low[b]) if x in (low[a], low[b]) else x for x in low]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], COLUMNS)
+    got = {r.doc_id for r in dict(p.STAGES)["near duplicates"](spark, df, "").collect()}
+    assert got == {i for i, x in enumerate(low) if i == x}
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     import corpus_pipeline as p
 
