@@ -9,8 +9,9 @@
 3. Tiles. A candidate group of bounded size is one tile. A larger one is dealt into blocks by size band and hash, and
    tiles are pairs of blocks of equal or adjacent bands, as no others can link.
 4. In a tile, hashed bitmaps of the sets bound overlaps from above: each bit that differs means an element that is not
-   shared, so overlap <= (a + b - bits that differ) / 2. Pairs that pass and are not yet connected in the tile are verified
-   by intersecting the sorted arrays. Only connecting links leave the tile, never all pairs of a group.
+   shared, so overlap <= (a + b - bits that differ) / 2. All pairs that pass are verified by intersecting their sets, so every
+   link is found, each pair in one tile. Each set's number of links, weighed by copies, leaves the tile, and of the links
+   themselves only connecting ones, never all pairs of a group.
 5. Connected components of the links, copies joined back through their representative.
 
 Nulls, empty texts and texts of blanks have no n-grams (n_shingles 0) and link with nothing. Texts of fewer than n words are
@@ -128,30 +129,42 @@ def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def links_in_tile(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect what this tile connects. side: -1 pairs with all, else only with the other side."""
+def links_in_tile(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], times: np.ndarray, num: int, den: int) -> list[tuple[int, int, int]]:
+    """(a, b, 0) for links that connect what this tile connects, (a, a, n) for the n rows that a is linked with in this tile.
+
+    side: -1 pairs with all, else only with the other side. times: how many rows have the set.
+    """
     order = np.argsort([len(s) for s in sets], kind="stable")
-    ids, side, sets = ids[order], side[order], [sets[i] for i in order]
+    ids, side, times, sets = ids[order], side[order], times[order], [sets[i] for i in order]
     size, maps, group, out = np.array([len(s) for s in sets], np.int64), bitmaps(sets), np.arange(len(sets)), []
+    distinct, number = np.unique(np.concatenate(sets), return_inverse=True)
+    start, here, degree = np.cumsum(size) - size, np.zeros(len(distinct), bool), np.zeros(len(sets), np.int64)
     for i in range(1, len(sets)):
         first = int(np.searchsorted(size, -(-int(size[i]) * num // den)))
         if first >= i:
             continue
-        near = np.flatnonzero((group[first:i] != group[i]) & ((side[first:i] < 0) | (side[first:i] != side[i]))) + first
+        near = np.flatnonzero((side[first:i] < 0) | (side[first:i] != side[i])) + first
+        mine = number[start[i] : start[i] + size[i]]
+        here[mine] = True
         for part in np.array_split(near, max(1, len(near) * maps.shape[1] >> 20)):
             apart = np.bitwise_count(maps[part] ^ maps[i]).sum(1, dtype=np.int64)
             most = (size[part] + size[i] - apart) // 2
-            part, most = part[keep := den * most >= num * (size[part] + size[i] - most)], most[keep]
-            for j in part[np.argsort(-most, kind="stable")]:
-                if group[j] == group[i]:
-                    continue
-                at = np.searchsorted(sets[i], sets[j])
-                at[at == len(sets[i])] = 0
-                both = int((sets[i][at] == sets[j]).sum())
-                if den * both >= num * (int(size[i]) + int(size[j]) - both):
-                    out.append((int(ids[i]), int(ids[j])))
+            part = part[den * most >= num * (size[part] + size[i] - most)]
+            if not len(part):
+                continue
+            n = size[part]
+            at = np.cumsum(n) - n
+            both = np.add.reduceat(here[number[np.repeat(start[part] - at, n) + np.arange(n.sum())]], at, dtype=np.int64)
+            part = part[den * both >= num * (n + size[i] - both)]
+            degree[i] += times[part].sum()
+            degree[part] += times[i]
+            for j in part[np.unique(group[part], return_index=True)[1]]:
+                if group[j] != group[i]:
+                    out.append((int(ids[i]), int(ids[j]), 0))
                     group[group == group[j]] = group[i]
-    return out
+        here[mine] = False
+    linked = np.flatnonzero(degree)
+    return out + list(zip(ids[linked].tolist(), ids[linked].tolist(), degree[linked].tolist(), strict=True))
 
 
 #: What tells rows apart: rows that agree in all three repeat one id and one text.
@@ -164,7 +177,10 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, tile_sets: int = TILE_SETS, tile_elements: int = TILE_ELEMENTS) -> DataFrame:
-    """doc_id, n_shingles, component_id, copy_of (smallest id with an equal set) of every row of doc_id, text that has an id."""
+    """doc_id, n_shingles, component_id, copy_of and n_links of every row of doc_id, text that has an id.
+
+    copy_of is the smallest id with an equal set, n_links the number of other rows that the row is linked with.
+    """
     return rows(docs.where("doc_id is not null"), n, num, den, tile_sets, tile_elements).drop(*IDENTITY, "is_first")
 
 
@@ -185,15 +201,15 @@ def rows(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, tile_sets:
 
     schema = "_row_no_id boolean, _row_id long, _row_text long"
     sets = written(source.mapInArrow(keyed, f"{schema}, n long, h1 long, h2 long, keys array<long>").withColumn("uid", F.monotonically_increasing_id()), "sets")
-    copies = sets.groupBy("h1", "h2", "n").agg(F.min(F.struct(*IDENTITY, F.col("uid").alias("rep"))).alias("x"))
-    copies = written(copies.select("h1", "h2", "n", "x.*"), "copies")
+    copies = sets.groupBy("h1", "h2", "n").agg(F.min(F.struct(*IDENTITY, F.col("uid").alias("rep"))).alias("x"), F.count(F.lit(1)).alias("times"))
+    copies = written(copies.select("h1", "h2", "n", "times", "x.*"), "copies")
     shared = sets.where("size(keys) > 0").select(F.col("uid").alias("rep"), "keys").join(copies.select("rep"), "rep").select("rep", F.explode("keys").alias("key"))
     chain = shared.select("rep", F.expr("lag(rep) over (partition by key order by rep)").alias("before")).where("before <> rep")
     group = components(chain.select(F.col("rep").alias("a"), F.col("before").alias("b")))
 
     bands = Bands(num, den)
     edges = F.array(*(F.lit(int(x)) for x in bands.edges[bands.edges < 1 << 31]))
-    member = group.join(copies.select(F.col("rep").alias("node"), "n"), "node")
+    member = group.join(copies.select(F.col("rep").alias("node"), "n", "times"), "node")
     count = (F.ceil(F.count(F.lit(1)) / tile_sets), F.ceil(F.sum("n") / tile_elements))
     whole = member.groupBy("comp").agg(F.greatest(*count).cast("int").alias("tiles"))
     member = member.join(whole, "comp").withColumn("band", F.when(F.col("tiles") > 1, F.size(F.filter(edges, lambda x: x <= F.col("n")))).otherwise(0))
@@ -209,7 +225,7 @@ def rows(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, tile_sets:
     none = F.array().cast("array<struct<low:int,high:int,i:int,j:int,side:int>>")
     # Two blocks of one band need their within-block tile once only; it is the tile (i, i).
     tiles = F.concat(own, F.coalesce(up, none), F.coalesce(down, none))
-    placed = member.select("comp", "node", F.explode(tiles).alias("t")).select("comp", "node", "t.*")
+    placed = member.select("comp", "node", "times", F.explode(tiles).alias("t")).select("comp", "node", "times", "t.*")
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -220,16 +236,18 @@ def rows(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, tile_sets:
     needed = needed.groupBy("node").agg(F.first("members").alias("members"))  # repeated rows
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = links_in_tile(pdf.node.to_numpy(), pdf.side.to_numpy(), [np.frombuffer(x, np.uint64) for x in pdf.members], num, den)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        found = links_in_tile(pdf.node.to_numpy(), pdf.side.to_numpy(), [np.frombuffer(x, np.uint64) for x in pdf.members], pdf.times.to_numpy(), num, den)
+        return pd.DataFrame(found, columns=["a", "b", "links"], dtype="int64")
 
-    links = placed.join(needed, "node").groupBy("comp", "low", "high", "i", "j").applyInPandas(tile, "a long, b long")
-    linked = components(links).withColumnRenamed("node", "rep")
+    links = written(placed.join(needed, "node").groupBy("comp", "low", "high", "i", "j").applyInPandas(tile, "a long, b long, links long"), "links")
+    linked = components(links.where("a <> b")).withColumnRenamed("node", "rep")
+    degree = links.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     firsts = linked.join(copies, "rep").groupBy("comp").agg(F.min(F.struct(*IDENTITY)).alias("first"))
-    reps = copies.select("h1", "h2", F.struct(*IDENTITY).alias("copy"), "rep").join(linked.join(firsts, "comp").select("rep", "first"), "rep", "left")
+    reps = copies.select("h1", "h2", F.struct(*IDENTITY).alias("copy"), "times", "rep").join(linked.join(firsts, "comp").select("rep", "first"), "rep", "left").join(degree, "rep", "left")
     out = sets.select(*IDENTITY, "n", "h1", "h2").join(reps, ["h1", "h2"])
     own = F.struct(*IDENTITY)
     first = F.when(F.col("n") == 0, own).otherwise(F.coalesce("first", "copy"))
     copy = F.when(F.col("n") == 0, own).otherwise(F.col("copy"))
+    n_links = F.when(F.col("n") == 0, 0).otherwise(F.coalesce("links", F.lit(0)) + F.col("times") - 1).cast("long")
     id_of = lambda x: F.when(~x["_row_no_id"], x["_row_id"])
-    return out.select(*IDENTITY, id_of(own).alias("doc_id"), F.col("n").alias("n_shingles"), id_of(first).alias("component_id"), id_of(copy).alias("copy_of"), (own == first).alias("is_first"))
+    return out.select(*IDENTITY, id_of(own).alias("doc_id"), F.col("n").alias("n_shingles"), id_of(first).alias("component_id"), id_of(copy).alias("copy_of"), n_links.alias("n_links"), (own == first).alias("is_first"))

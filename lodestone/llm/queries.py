@@ -21,7 +21,7 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import jaccard
 
-    return jaccard.join(table(spark, sf_dir, "documents"))
+    return jaccard.join(table(spark, sf_dir, "documents")).drop("n_links")  # not a column of the contract
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,6 +96,24 @@ def test_jaccard_join(spark, seed, tile):
     assert got == brute_join(rows)
 
 
+def brute_links(rows) -> dict:
+    sets = {}
+    for i, t, *_ in rows:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) if x]
+        sets[i] = {tuple(w[j : j + 3]) for j in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set()
+    return {i: sum(i != j and 100 * len(a & b) >= 90 * len(a | b) for j, b in sets.items()) if a else 0 for i, a in sets.items()}
+
+
+@pytest.mark.parametrize("tile", [2048, 4])
+def test_jaccard_join_counts_every_link(spark, tile):
+    rows = corpus(4)
+    base = [f"v{i}" for i in range(100)]
+    rows += [(10_000 + i, " ".join([*base, *base[:3], f"end{i}"]), "a", 1) for i in range(30)]  # all of them link with all
+    df = spark.createDataFrame(rows, "doc_id long, text string, keys string, n int")
+    got = {r.doc_id: r.n_links for r in jaccard.join(df, tile_sets=tile).collect()}
+    assert got == brute_links(rows) and got[10_000] == 29
+
+
 def test_jaccard_join_of_nothing_and_repeated_rows(spark):
     kind = "doc_id long, text string"
     assert jaccard.join(spark.createDataFrame([], kind)).collect() == []
