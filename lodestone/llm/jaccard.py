@@ -71,6 +71,16 @@ def shingles(text: bytes | None, n: int) -> np.ndarray:
     return np.unique(mixed(out + np.uint64(size)))
 
 
+def more_empty(n: int, m: int, e: int) -> float:
+    """About the chance that of m segments over n elements more than e are empty."""
+    mean = m * (1 - 1 / m) ** n if m > 1 else 0.0
+    term = left = math.exp(-mean)
+    for i in range(1, e + 1):
+        term *= mean / i
+        left += term
+    return max(0.0, 1 - left)
+
+
 class Bands:
     """Size bands and how many segments a pair needs whose smaller set is in a band. The threshold is num / den."""
 
@@ -80,18 +90,30 @@ class Bands:
         while lo < 1 << 40:
             edges.append(lo)
             lo = max(lo + 1, math.ceil(lo * ratio))
-        self.edges = np.array(edges, np.int64)
+        self.edges, self.made = np.array(edges, np.int64), {}
 
     def of(self, n: int) -> int:
         return int(np.searchsorted(self.edges, n, side="right")) - 1
 
+    def apart(self, n: int, band: int) -> int:
+        """Most elements that lie in one set only, for a set of n elements in a pair whose smaller set is in a band."""
+        small = min(n, int(self.edges[band + 1]) - 1)
+        large = small * self.den // self.num if self.of(n) == band else n
+        return (small + large) * (self.den - self.num) // (self.den + self.num)
+
     def segments(self, band: int) -> tuple[int, int]:
-        """Segments and spare ones; no segments if sets of this band link only with equal ones."""
-        small = int(self.edges[band + 1]) - 1
-        both = small + small * self.den // self.num
-        apart = both * (self.den - self.num) // (self.den + self.num)
-        spare = 0 if small < 64 else 1 if small < 256 else 2
-        return (apart + 1 + spare, spare) if apart else (0, 0)
+        """Segments and spare ones; no segments if sets of this band link only with equal ones.
+
+        So many are spare that hardly any set of the band has more empty segments than that: those share keys of empty ones.
+        """
+        if band not in self.made:
+            small = int(self.edges[band + 1]) - 1
+            apart = self.apart(small, band)
+            spare, most = 0, 8 + apart // 4
+            while spare < most and more_empty(small, apart + 1 + spare, spare) > 1e-6:
+                spare += 1
+            self.made[band] = (apart + 1 + spare, spare) if apart else (0, 0)
+        return self.made[band]
 
     def smallest(self, n: int) -> int:
         return -(-n * self.num // self.den)
@@ -104,17 +126,17 @@ def segment_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(s ^ MIX), dtype=np.uint64)))
     out = []
     for band in range(bands.of(max(1, bands.smallest(len(s)))), bands.of(len(s)) + 1):
-        m, spare = bands.segments(band)
+        m, _ = bands.segments(band)
         if not m:
             continue
         cuts = np.searchsorted(s, (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64))
         ends = np.concatenate(([0], cuts, [len(s)]))
         key = sums[ends[1:]] - sums[ends[:-1]]
-        # A linked pair agrees on more segments than are spare. So empty ones count only where a set has more than that,
-        # for then a pair may agree on empty ones alone.
+        # A linked pair differs in `apart` segments at most. So empty ones count only where a set has no more filled ones than
+        # that, for then a pair may agree on empty ones alone.
         empty = ends[1:] == ends[:-1]
         key = mixed(key + mixed(np.arange(m, dtype=np.uint64) * MIX + np.uint64(band)))
-        out.append(key if empty.sum() > spare else key[~empty])
+        out.append(key if m - empty.sum() <= bands.apart(len(s), band) else key[~empty])
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
