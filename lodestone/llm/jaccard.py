@@ -45,7 +45,7 @@ class Words(dict):
     """Hash of each word's bytes; emptied when large, so that a worker's memory is bounded."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 1_500_000:
+        if len(self) > 500_000:
             self.clear()
         h = self[w] = xxhash.xxh3_64_intdigest(w)
         return h
@@ -212,7 +212,7 @@ def rows(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, tile_sets:
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
-        for b in batches:
+        for b in (x.slice(at, 1000) for x in batches for at in range(0, x.num_rows, 1000)):
             rows = []
             for text in b.column(3).to_pylist():
                 s = shingles(text, n)
