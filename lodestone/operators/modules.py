@@ -102,9 +102,18 @@ def near_text(df: DataFrame, vec: str, concepts: list[str], k: int, id_col: str,
 
 
 def autocorrect(df: DataFrame, word: str, vocabulary: DataFrame, entry: str, most: int = 2) -> DataFrame:
-    """Each word's nearest vocabulary entry by edit distance, ties to the smaller entry; candidates share a first letter or length class."""
-    keys = lambda c: F.array_distinct(F.array(F.concat(F.lit("f"), F.substring(c, 1, 1)), F.concat(F.lit("l"), F.substring(c, -1, 1))))
-    a = df.select(word, F.explode(keys(F.col(word))).alias("_key"))
-    b = vocabulary.select(entry, F.explode(keys(F.col(entry))).alias("_key"))
-    near = a.join(b, "_key").where(F.abs(F.length(word) - F.length(entry)) <= most).withColumn("edits", F.levenshtein(word, entry)).where(F.col("edits") <= most)
+    """Each word's nearest vocabulary entry within ``most`` edits, ties to the smaller entry.
+
+    An entry is cut into most + 1 segments. So many edits leave one whole, at most that many places away: words probe all of these.
+    Segments of entries shorter than that are empty and meet every word of a length near theirs.
+    """
+    cut = lambda length, i: F.floor(length * i / (most + 1)).cast("int")
+    b = vocabulary.select(entry, F.length(entry).alias("_l"), F.explode(F.array(*map(F.lit, range(most + 1)))).alias("_i"))
+    b = b.select(entry, "_l", "_i", F.col(entry).substr(cut(F.col("_l"), F.col("_i")) + 1, cut(F.col("_l"), F.col("_i") + 1) - cut(F.col("_l"), F.col("_i"))).alias("_s"))
+    a = df.select(word, F.explode(F.sequence(F.greatest(F.lit(0), F.length(word) - most), F.length(word) + most)).alias("_l"))
+    a = a.select("*", F.explode(F.array(*map(F.lit, range(most + 1)))).alias("_i"))
+    a = a.select("*", F.explode(F.array(*map(F.lit, range(-most, most + 1)))).alias("_d"))
+    start = cut(F.col("_l"), F.col("_i")) + F.col("_d")
+    a = a.where(start >= 0).select(word, "_l", "_i", F.col(word).substr(start + 1, cut(F.col("_l"), F.col("_i") + 1) - cut(F.col("_l"), F.col("_i"))).alias("_s")).distinct()
+    near = a.join(b, ["_l", "_i", "_s"]).select(word, entry).distinct().withColumn("edits", F.levenshtein(word, entry)).where(F.col("edits") <= most)
     return near.groupBy(word).agg(F.min(F.struct("edits", F.col(entry))).alias("_m")).select(word, F.col("_m.edits").alias("edits"), F.col(f"_m.{entry}").alias(entry))
