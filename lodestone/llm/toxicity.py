@@ -8,11 +8,12 @@ clause. Their composition gives a clause its weight; a text's score is a calibra
 clauses, not of isolated words.
 
 The insult and threat lexicons start from listed words and grow by words and stems whose documents are far more often labelled toxic
-than others, weighed by log odds; the calibration is a logistic regression on the grammar's features. Both learn only from
+than others, weighed by log odds (labels do not tell the kind, so what is learned is read as an insult); the calibration is a logistic regression on the grammar's features. Both learn only from
 labelled training rows, about ``max_rows`` of them, chosen by a hash. Features come from the text alone.
 
 Null and empty texts have no clauses and get the score of none. Very long texts are read whole, word by word. Repeated rows
-score alike, as do rows without an id. Ties and order of rows play no part. Further columns stay but for those named like a result. Without labelled
+score alike, as do rows without an id. Ties and order of rows play no part. Further columns stay but for those named like a result
+(score, predicted); to keep such columns too, pass rows in a struct. Without labelled
 rows of both kinds the listed words and fixed weights decide. Empty tables give no rows.
 """
 
@@ -36,8 +37,12 @@ TARGETS = "you your yours he she they them him her thou these those this who peo
 NEGATIONS = "not no never nobody none isn't aren't wasn't don't nicht kein pas jamais nunca".split()
 REPORTS = "said says wrote quoted reported called claimed according told".split()
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-# Insult transducer: states 0 nothing, 1 negated, 2 target seen, 3 negated with target. (state, symbol) -> (state, factor of the word's weight).
-INSULT_MOVES = {(0, TARGET): (2, 0), (0, NEGATION): (1, 0), (0, INSULT): (0, 1.0), (1, INSULT): (0, 0.4), (1, TARGET): (3, 0), (2, INSULT): (2, 1.3), (2, NEGATION): (3, 0), (3, INSULT): (2, 0.5)}
+# Insult transducer: states 0 nothing, 1 negated, 2 target seen, 3 negated with target, 4 an insult waits for its target.
+# (state, symbol) -> (state, factor of the word's weight). Half an insult's weight comes with its target, before or after it.
+INSULT_MOVES = {
+    (0, TARGET): (2, 0), (0, NEGATION): (1, 0), (0, INSULT): (4, 0.5), (1, INSULT): (0, 0.2), (1, TARGET): (3, 0), (2, INSULT): (2, 1.3), (2, NEGATION): (3, 0),
+    (3, INSULT): (2, 0.25), (4, TARGET): (2, 0.5), (4, INSULT): (4, 1.0), (4, NEGATION): (1, 0),
+}
 # Threat transducer: 0 nothing, 1 a threat waits for its target, 2 negated.
 THREAT_MOVES = {(0, THREAT): (1, 0.1), (0, NEGATION): (2, 0), (1, TARGET): (0, 1.0), (1, NEGATION): (2, 0), (2, THREAT): (0, 0), (1, THREAT): (1, 0.2)}
 #: A reporting verb discounts what follows in its clause.
@@ -47,7 +52,7 @@ WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 HEADS = (INSULT, THREAT)
 #: Lengths of stems, longest first.
 STEMS = (6, 5, 4)
-FEATURES = ("clauses", "weight", "strongest", "density")
+FEATURES = ("_grammar_clauses", "_grammar_weight", "_grammar_strongest", "_grammar_density")
 
 
 class Grammar:
@@ -109,19 +114,22 @@ class Symbols(dict):
         if len(self) > 300_000:
             self.clear()
         got = self.grammar.look_up(word)
-        if len(word) <= 40:
+        if len(word) <= 40:  # longer ones are read each time anew
             self[word] = got
         return got
 
 
-def learn_words(rows: DataFrame, least_docs: int = 6, least_ratio: float = 20.0, max_words: int = 3000) -> dict[str, float]:
-    """Words and stems (ending in *) far likelier in toxic training texts, with weights up to 1.5; rows: text, label."""
+def learn_words(rows: DataFrame, least_docs: int = 6, least_ratio: float = 20.0) -> dict[str, float]:
+    """Words and stems (ending in *) far likelier in toxic training texts, with weights up to 1.5; rows: text, label.
+
+    All words of all rows count, and all that are found stay; the rows' number (``max_rows`` of training_rows) bounds them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
         for b in batches:
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = {w for w in WORD.findall((text or "").lower()) if len(w) <= 40}
+                words = set(WORD.findall((text or "").lower()))
                 for w in words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}:
                     counts.setdefault(w, [0, 0])[y] += 1
             if len(counts) > 500_000:
@@ -138,7 +146,7 @@ def learn_words(rows: DataFrame, least_docs: int = 6, least_ratio: float = 20.0,
     counts = rows.select("text", F.col("label").cast("long")).mapInArrow(run, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     ratio = ((F.col("toxic") + 0.5) / n.toxic) / ((F.col("clean") + 0.5) / n.clean)
     found = counts.where(F.col("toxic") >= least_docs).withColumn("ratio", ratio).where(F.col("ratio") >= least_ratio)
-    found = found.orderBy(F.desc(F.col("word").endswith("*")), F.desc("toxic"), "word").limit(max_words).collect()  # a lexicon of bounded size
+    found = found.collect()
     stems = {r.word[:-1] for r in found if r.word.endswith("*")}
     # A longer stem or a word adds nothing to a stem that it begins with.
     covered = lambda w: any(w[:n] in stems for n in STEMS if n < len(w.rstrip("*")))
@@ -184,8 +192,8 @@ def featured(df: DataFrame, lexicon: dict[str, float], text: str = "text", keep_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = held(("toxicity", key), lambda: Grammar(lexicon))
-        for b in batches:
-            cols = list(zip(*map(grammar.features, b.column(len(keep)).to_pylist()), strict=True)) or [()] * 4
+        for b in (x.slice(at, 500) for x in batches for at in range(0, x.num_rows, 500)):
+            cols = list(zip(*map(grammar.features, b.column(len(keep)).to_pylist()), strict=True))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(c, pa.float64()) for c in cols)], names=[*keep, *FEATURES])
 
     return df.select(*keep, F.col(text).cast("string").alias("_read")).mapInArrow(run, schema)
