@@ -8,11 +8,13 @@ Texts with inner runs of blanks are cut by the pattern itself.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Callable
 from itertools import islice
 
+import pyarrow as pa
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -75,8 +77,12 @@ _held: dict = {}
 
 
 def held(key, make: Callable[[], object]):
-    """One object per worker process and key, kept from task to task."""
+    """The object of a key, kept from task to task. A worker process keeps that of the last key only, as stages of many
+    kinds follow each other in one process."""
     if key not in _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         _held[key] = make()
     return _held[key]
 
