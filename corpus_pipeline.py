@@ -12,9 +12,14 @@ from lodestone.llm.common import written
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity grammar does not reject, learned from this input's labelled documents."""
+    """Documents that the toxicity grammar does not reject, learned from this input's labelled documents.
+
+    Rows stay whole, with all their columns, whatever the names. Null and empty texts, which have no clauses, stay; so do
+    repeated rows, each judged alike, and rows without an id. Very long texts are read whole. An empty table gives no rows.
+    """
     lexicon, weights = toxicity.fit(toxicity.training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return toxicity.score(docs, lexicon, weights, keep_text=True).where("predicted = 0").select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return toxicity.score(rows, lexicon, weights).where("predicted = 0").select("row.*")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,21 +27,30 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Documents link at a Jaccard similarity of their five-word sets of 0.8 or more. (op2_ngram_jaccard takes three words and 0.9.)
     Rows are told apart by id and text, so those without an id, and different texts under one id, stay unless their text
-    is a duplicate. Of rows that repeat both, the one whose other columns hash lowest stays.
+    is a duplicate. Of rows that repeat both, the one whose other columns hash lowest stays. Null and empty texts link with
+    nothing and stay. Columns stay as they are, whatever their names. An empty table gives no rows.
     """
     chosen = jaccard.rows(docs, n=5, num=80, den=100).where("is_first").select(jaccard.IDENTITY).distinct()
-    whole = jaccard.identified(docs).join(chosen, jaccard.IDENTITY, "left_semi")
-    one = whole.groupBy(jaccard.IDENTITY).agg(F.min_by(F.struct(docs.columns), F.xxhash64(*docs.columns)).alias("row"))
-    return one.select("row.*")
+    rows = jaccard.identified(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))).select(*jaccard.IDENTITY, "row")
+    one = rows.join(chosen, jaccard.IDENTITY, "left_semi").groupBy(jaccard.IDENTITY)
+    return one.agg(F.min_by("row", F.xxhash64(*(F.col("row")[c] for c in docs.columns))).alias("row")).select("row.*")
 
 
 def blot_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the spans of personal data in their texts replaced by their kind."""
+    """Documents with the spans of personal data in their texts replaced by their kind.
+
+    A row-by-row change: null and empty texts, repeated rows and all other columns, whatever their names, stay as they are.
+    Very long texts are read whole. An empty table gives no rows.
+    """
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces, placed in sequences."""
+    """The documents' pieces, placed in sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Null and empty texts are one end token; rows without an id and repeated rows are packed each. Very long texts are cut into
+    pieces. Columns besides doc_id and text, whatever their names, play no part. An empty table gives no rows.
+    """
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 

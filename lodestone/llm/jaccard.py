@@ -1,11 +1,13 @@
 """N-gram Jaccard join: every pair of texts whose word n-gram sets have a Jaccard similarity of at least a threshold.
 
-1. A map makes each text's set of n-grams as sorted 64-bit hashes, a 128-bit digest of the set, and segment keys. Equal sets
+1. A map makes each text's set of n-grams as sorted 64-bit hashes, a 128-bit digest of the set, and prefix keys. Equal sets
    meet by their digest, and one representative goes on for each.
-2. Candidates. If two sets of sizes a and b link, at most k elements lie in only one of them, k known from the size band of
-   the smaller. The hash range is cut into k + 1 segments (and a few spare ones), so a linked pair agrees on a whole
-   segment: its key (band, segment, hash of its elements) is shared. Chaining the sets that share a key gives candidate
-   groups, which contain every linked pair. This is exact; no key is left out for being frequent.
+2. Candidates. Sets are read in the order of their hashes, and a key is a pair of neighbours in that order. An element that
+   only one of two sets has breaks two pairs of its own set and one of the other's. As links bound how many such elements
+   there are, two linked sets share a pair among their first ones, and only those are sent (``prefix_keys``). Chaining the sets
+   that share a key gives candidate groups, which contain every linked pair. This is exact; no key is left out for being
+   frequent. Keys that repeat within a batch are chained there and leave it once, so a frequent key's rows are far fewer than
+   its texts.
 3. Tiles. A candidate group of bounded size is one tile. A larger one is dealt into blocks by size band and hash, and
    tiles are pairs of blocks of equal or adjacent bands, as no others can link.
 4. In a tile, hashed bitmaps of the sets bound overlaps from above: each bit that differs means an element that is not
@@ -15,9 +17,9 @@
 5. Connected components of the links, copies joined back through their representative.
 
 Nulls, empty texts and texts of blanks have no n-grams (n_shingles 0) and link with nothing. Texts of fewer than n words are
-one n-gram. Repeated rows (same id) keep one output row each. ``rows`` tells rows apart by id and text, so those without an id
-or with an id that another text has are rows of their own; ``join`` leaves out rows without an id. Extra columns are ignored.
-An empty table gives no rows.
+one n-gram. Rows are told apart by id and text: those without an id, or with an id that another text has, are rows of their
+own, and repeated rows keep one output row each. Ids of ``component_id`` and ``copy_of`` are null where no row of the
+component, or no equal set, has one. Extra columns are ignored, whatever their names. An empty table gives no rows.
 Two different n-grams fall together with a chance of 2**-64 a pair, two sets with 2**-128.
 """
 
@@ -33,12 +35,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import components, written
+from lodestone.llm.common import components, discard, written
 from lodestone.llm.units import held
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: A tile's most sets, and most elements over its sets.
-TILE_SETS, TILE_ELEMENTS = 2048, 1 << 21
+TILE_SETS, TILE_ELEMENTS = 2048, 1 << 20
 
 
 class Words(dict):
@@ -71,73 +73,37 @@ def shingles(text: bytes | None, n: int) -> np.ndarray:
     return np.unique(mixed(out + np.uint64(size)))
 
 
-def more_empty(n: int, m: int, e: int) -> float:
-    """About the chance that of m segments over n elements more than e are empty."""
-    mean = m * (1 - 1 / m) ** n if m > 1 else 0.0
-    term = left = math.exp(-mean)
-    for i in range(1, e + 1):
-        term *= mean / i
-        left += term
-    return max(0.0, 1 - left)
-
-
-class Bands:
-    """Size bands and how many segments a pair needs whose smaller set is in a band. The threshold is num / den."""
-
-    def __init__(self, num: int, den: int, ratio: float = 1.3):
-        self.num, self.den, lo, edges = num, den, 1, []
-        ratio = max(ratio, 1.05 * den / num)  # so that a partner lies in the next band at most
-        while lo < 1 << 40:
-            edges.append(lo)
-            lo = max(lo + 1, math.ceil(lo * ratio))
-        self.edges, self.made = np.array(edges, np.int64), {}
-
-    def of(self, n: int) -> int:
-        return int(np.searchsorted(self.edges, n, side="right")) - 1
-
-    def apart(self, n: int, band: int) -> int:
-        """Most elements that lie in one set only, for a set of n elements in a pair whose smaller set is in a band."""
-        small = min(n, int(self.edges[band + 1]) - 1)
-        large = small * self.den // self.num if self.of(n) == band else n
-        return (small + large) * (self.den - self.num) // (self.den + self.num)
-
-    def segments(self, band: int) -> tuple[int, int]:
-        """Segments and spare ones; no segments if sets of this band link only with equal ones.
-
-        So many are spare that hardly any set of the band has more empty segments than that: those share keys of empty ones.
-        """
-        if band not in self.made:
-            small = int(self.edges[band + 1]) - 1
-            apart = self.apart(small, band)
-            spare, most = 0, 8 + apart // 4
-            while spare < most and more_empty(small, apart + 1 + spare, spare) > 1e-6:
-                spare += 1
-            self.made[band] = (apart + 1 + spare, spare) if apart else (0, 0)
-        return self.made[band]
-
-    def smallest(self, n: int) -> int:
-        return -(-n * self.num // self.den)
-
-
-def segment_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """Keys of a set's segments for its own band and, where a smaller partner may lie below, the band below."""
-    if not len(s):
-        return np.empty(0, np.int64)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(s ^ MIX), dtype=np.uint64)))
-    out = []
-    for band in range(bands.of(max(1, bands.smallest(len(s)))), bands.of(len(s)) + 1):
-        m, _ = bands.segments(band)
-        if not m:
-            continue
-        cuts = np.searchsorted(s, (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64))
-        ends = np.concatenate(([0], cuts, [len(s)]))
-        key = sums[ends[1:]] - sums[ends[:-1]]
-        # A linked pair differs in `apart` segments at most. So empty ones count only where a set has no more filled ones than
-        # that, for then a pair may agree on empty ones alone.
-        empty = ends[1:] == ends[:-1]
-        key = mixed(key + mixed(np.arange(m, dtype=np.uint64) * MIX + np.uint64(band)))
-        out.append(key if m - empty.sum() <= bands.apart(len(s), band) else key[~empty])
-    return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
+def prefix_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Keys by which a set meets every other one that it links with at num / den.
+
+    Let A of a elements link with B and let A be the one that is looked at. Of A's a - 1 pairs of neighbours, at most
+    2 |A - B| + |B - A| are no pairs of B. That is largest where B lies within A, 2 a (1 - num / den). So the first pair that
+    both have stands among the first 2 a (1 - num / den) + 1 pairs of either. Above 3 / 4 every set that links with another
+    one has so many pairs; below, single elements are the keys, and a shared one is among the first a (1 - num / den) + 1.
+    """
+    n = len(s)
+    if 4 * num > 3 * den:
+        return mixed(s[:-1] * MIX + mixed(s[1:]))[: 2 * n * (den - num) // den + 1].view(np.int64)
+    return mixed(s[: n * (den - num) // den + 1]).view(np.int64)
+
+
+def band_edges(num: int, den: int, ratio: float = 1.3) -> list[int]:
+    """First sizes of the bands; a set's partners lie in its own band or in one beside it."""
+    ratio, edges = max(ratio, 1.05 * den / num), [1]
+    while edges[-1] < 1 << 30:
+        edges.append(max(edges[-1] + 1, math.ceil(edges[-1] * ratio)))
+    return edges
+
+
+def chained(keys: list[np.ndarray], digests: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each set of a batch, the keys that no earlier one has, and digests of earlier sets that have the others."""
+    owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    _, first, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    earlier = owner[first][where]
+    new, links = earlier == owner, np.unique(np.stack((owner, earlier), 1)[digests[owner] != digests[earlier]], axis=0)
+    at = np.cumsum([0, *(len(k) for k in keys)])
+    cut = np.searchsorted(links[:, 0], np.arange(len(keys) + 1))
+    return [k[new[at[i] : at[i + 1]]] for i, k in enumerate(keys)], [digests[links[cut[i] : cut[i + 1], 1]] for i in range(len(keys))]
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -199,42 +165,47 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, tile_sets: int = TILE_SETS, tile_elements: int = TILE_ELEMENTS) -> DataFrame:
-    """doc_id, n_shingles, component_id, copy_of and n_links of every row of doc_id, text that has an id.
+    """doc_id, n_shingles, component_id, copy_of and n_links of every row of doc_id, text.
 
     copy_of is the smallest id with an equal set, n_links the number of other rows that the row is linked with.
     """
-    return rows(docs.where("doc_id is not null"), n, num, den, tile_sets, tile_elements).drop(*IDENTITY, "is_first")
+    return rows(docs, n, num, den, tile_sets, tile_elements).drop(*IDENTITY, "is_first")
 
 
 def rows(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, tile_sets: int = TILE_SETS, tile_elements: int = TILE_ELEMENTS) -> DataFrame:
-    """What join gives, of all rows, with the columns of IDENTITY and is_first: the row is the smallest of its component by IDENTITY."""
+    """What join gives, with the columns of IDENTITY and is_first: the row is the smallest of its component by IDENTITY."""
     source = identified(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))).select(*IDENTITY, "text")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
         for b in (x.slice(at, 1000) for x in batches for at in range(0, x.num_rows, 1000)):
-            rows = []
+            size, high, low, keys = [], [], [], []
             for text in b.column(3).to_pylist():
                 s = shingles(text, n)
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
-                rows.append((len(s), (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), segment_keys(s, bands)))
-            cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *cols, pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=[*IDENTITY, "n", "h1", "h2", "keys"])
+                size.append(len(s))
+                high.append((d >> 64) - (1 << 63))
+                low.append((d & (1 << 64) - 1) - (1 << 63))
+                keys.append(prefix_keys(s, num, den))
+            lists = (pa.array(x, pa.list_(pa.int64())) for x in chained(keys, np.array(high, np.int64)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(x, pa.int64()) for x in (size, high, low)), *lists], names=[*IDENTITY, "n", "h1", "h2", "keys", "before"])
+
+    schema = "_row_no_id boolean, _row_id long, _row_text long, n long, h1 long, h2 long, keys array<long>, before array<long>"
+    whole = written(source.mapInArrow(keyed, schema), "keys")
+    sets = written(whole.drop("keys", "before").withColumn("uid", F.monotonically_increasing_id()), "sets")
+    shared = whole.select("h1", F.explode("keys").alias("key"))
+    across = shared.select("h1", F.expr("lag(h1) over (partition by key order by h1)").alias("before")).where("before <> h1")
+    # Groups are of digests' first halves; should two digests share one, both sets are in the group.
+    group = components(across.union(whole.select("h1", F.explode("before"))), "h1", "before")
+    discard(whole)
 
-    schema = "_row_no_id boolean, _row_id long, _row_text long"
-    sets = written(source.mapInArrow(keyed, f"{schema}, n long, h1 long, h2 long, keys array<long>").withColumn("uid", F.monotonically_increasing_id()), "sets")
     copies = sets.groupBy("h1", "h2", "n").agg(F.min(F.struct(*IDENTITY, F.col("uid").alias("rep"))).alias("x"), F.count(F.lit(1)).alias("times"))
     copies = written(copies.select("h1", "h2", "n", "times", "x.*"), "copies")
-    shared = sets.where("size(keys) > 0").select(F.col("uid").alias("rep"), "keys").join(copies.select("rep"), "rep").select("rep", F.explode("keys").alias("key"))
-    chain = shared.select("rep", F.expr("lag(rep) over (partition by key order by rep)").alias("before")).where("before <> rep")
-    group = components(chain.select(F.col("rep").alias("a"), F.col("before").alias("b")))
-
-    bands = Bands(num, den)
-    edges = F.array(*(F.lit(int(x)) for x in bands.edges[bands.edges < 1 << 31]))
-    member = group.join(copies.select(F.col("rep").alias("node"), "n", "times"), "node")
+    asked = written(group.join(copies, group.node == copies.h1).select("comp", F.col("rep").alias("node"), "n", "times", *IDENTITY), "asked")
+    edges = F.array(*(F.lit(x) for x in band_edges(num, den)))
+    member = asked.select("comp", "node", "n", "times")
     count = (F.ceil(F.count(F.lit(1)) / tile_sets), F.ceil(F.sum("n") / tile_elements))
-    whole = member.groupBy("comp").agg(F.greatest(*count).cast("int").alias("tiles"))
-    member = member.join(whole, "comp").withColumn("band", F.when(F.col("tiles") > 1, F.size(F.filter(edges, lambda x: x <= F.col("n")))).otherwise(0))
+    tiles = member.groupBy("comp").agg(F.greatest(*count).cast("int").alias("tiles"))
+    member = member.join(tiles, "comp").withColumn("band", F.when(F.col("tiles") > 1, F.size(F.filter(edges, lambda x: x <= F.col("n")))).otherwise(0))
     # Blocks hold half a tile, as a tile is two of them.
     blocks = member.groupBy("comp", "band").agg(F.greatest(F.lit(1), *(F.when(F.max("tiles") > 1, 2 * c).otherwise(1) for c in count)).cast("int").alias("blocks"))
     beside = blocks.select("comp", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
@@ -253,8 +224,7 @@ def rows(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, tile_sets:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, n).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["node", "members"])
 
-    asked = group.select("node").join(copies.select(F.col("rep").alias("node"), *IDENTITY), "node")
-    needed = source.join(asked, IDENTITY).select("node", "text").mapInArrow(rebuilt, "node long, members binary")
+    needed = source.join(asked.select("node", *IDENTITY), IDENTITY).select("node", "text").mapInArrow(rebuilt, "node long, members binary")
     needed = needed.groupBy("node").agg(F.first("members").alias("members"))  # repeated rows
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:

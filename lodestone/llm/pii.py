@@ -221,10 +221,11 @@ def listed(spans: str) -> Column:
 
 
 def redact(df: DataFrame, text: str = "text", fit: tuple | None = None) -> DataFrame:
-    """df with every span of its text replaced by the kind in brackets; null texts stay null. Columns stay as they are."""
-    marked = detect(df, text, fit)
+    """df with every span of its text replaced by the kind in brackets; null texts stay null. All other columns stay as
+    they are, whatever their names; an empty table stays empty."""
+    marked = detect(df.select(F.struct(*df.columns).alias("row"), F.col(text).alias("text")), "text", fit)
     by_start = F.array_sort(F.transform("spans", lambda c: F.struct(c["start"].alias("start"), (-c["end"]).alias("back"), c["kind"].alias("kind"))))
-    body = F.col(text)
+    body = F.col("text")
 
     def step(acc: Column, c: Column) -> Column:
         end = -c["back"]
@@ -234,4 +235,4 @@ def redact(df: DataFrame, text: str = "text", fit: tuple | None = None) -> DataF
 
     done = F.aggregate(by_start, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
     new = F.when(F.size("spans") > 0, done).otherwise(body)
-    return marked.select(*(new.alias(c) if c == text else F.col(c) for c in df.columns if c not in ("base", "spans")))
+    return marked.select(*(new.alias(c) if c == text else F.col("row")[c].alias(c) for c in df.columns))

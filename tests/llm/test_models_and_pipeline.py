@@ -10,8 +10,10 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import lm, media
+from lodestone.llm.common import written
 
 JSON, PATTERN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 
@@ -184,6 +186,24 @@ def test_near_duplicates_of_five_words(spark):
     assert got == {i for i, x in enumerate(low) if i == x}
 
 
+def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline as p
+
+    names = ["weight", "clauses", "strongest", "density", "score", "predicted", "base", "spans", "row", "keys", "n", "uid", "_row_id", "start", "length", "_read", "label"]
+    pipeline_tables(spark, f"{tmp_path}/plain")
+    docs = spark.read.parquet(f"{tmp_path}/plain/documents.parquet")
+    docs = docs.select("*", *(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in names))
+    docs.write.parquet(f"{tmp_path}/wide/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/plain/labels.parquet").write.parquet(f"{tmp_path}/wide/labels.parquet")
+    now = docs
+    for name, stage in p.STAGES[:-1]:
+        now = written(stage(spark, now, f"{tmp_path}/wide"), "wide")
+        assert now.columns == docs.columns
+        rows = now.collect()
+        assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names), name
+    assert {r.doc_id for r in p.run(spark, f"{tmp_path}/wide").collect()} == {r.doc_id for r in rows}
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     import corpus_pipeline as p
 

@@ -118,7 +118,25 @@ def test_jaccard_join_of_nothing_and_repeated_rows(spark):
     kind = "doc_id long, text string"
     assert jaccard.join(spark.createDataFrame([], kind)).collect() == []
     got = jaccard.join(spark.createDataFrame([(3, "a b c d"), (3, "a b c d"), (1, "a b c d"), (None, "a b c d")], kind)).collect()
-    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (3, 1), (3, 1)]
+    assert sorted((r.doc_id or 0, r.component_id, r.copy_of) for r in got) == [(0, 1, 1), (1, 1, 1), (3, 1, 1), (3, 1, 1)]
+    got = jaccard.join(spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (7, "e f g h"), (7, "i j k l"), (8, "i j k l")], kind)).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.n_links) for r in got) == [(0, 0, 1), (0, 0, 1), (7, 7, 0), (7, 7, 1), (8, 7, 1)]
+
+
+@pytest.mark.parametrize(("num", "den"), [(80, 100), (90, 100), (76, 100), (60, 100), (1, 1)])
+def test_linked_sets_share_a_prefix_key(num, den):
+    rng = np.random.default_rng(num)
+    linked = 0
+    for _ in range(4000):
+        a = np.unique(rng.integers(0, 1 << 63, rng.choice([2, 3, 4, 5, 9, 40, 200]), dtype=np.uint64))
+        gone, new = rng.integers(0, len(a) // 3 + 2, 2)
+        low = rng.random() < 0.5  # differences among the smallest hashes break most keys
+        b = np.unique(np.concatenate(((np.sort(a)[gone:] if low else rng.permutation(a)[gone:]), rng.integers(0, 1 << (58 if low else 63), new, dtype=np.uint64))))
+        shared = len(np.intersect1d(a, b))
+        if len(b) and den * shared >= num * (len(a) + len(b) - shared) and not np.array_equal(a, b):
+            linked += 1
+            assert len(np.intersect1d(jaccard.prefix_keys(a, num, den), jaccard.prefix_keys(b, num, den)))
+    assert linked > 50 or num == den
 
 
 def test_components(spark):
