@@ -13,6 +13,23 @@ STOPWORDS = {
     "none": [],
 }
 BLANK = r"[\s\x0b\x{85}\p{Z}]+"
+# The characters of the Unicode property White_Space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def trimmed(c: Column) -> Column:
+    """A text without white space at its ends."""
+    return F.btrim(c, F.lit(WHITE))
+
+
+def plain_id(value: str) -> str:
+    """The one spelling of a universally unique id: lower case, with hyphens, without braces or a URN's head."""
+    import uuid
+
+    try:
+        return str(uuid.UUID(value))
+    except ValueError:
+        return value
 
 
 def _nonempty(tokens: Column) -> Column:
@@ -34,7 +51,7 @@ def whitespace(c: Column) -> Column:
 
 def field(c: Column) -> Column:
     """The trimmed value as one token."""
-    return F.array(F.trim(c))
+    return F.array(trimmed(c))
 
 
 def trigram(c: Column) -> Column:
@@ -73,7 +90,7 @@ def query_tokens(text: str, tokenization: str = "word") -> list[str]:
     if tokenization == "whitespace":
         return [t for t in regex.split(blanks, text) if t]
     if tokenization == "field":
-        return [text.strip()]
+        return [text.strip(WHITE)]
     if tokenization == "trigram":
         s = regex.sub(r"[^\p{L}\p{N}]+", "", text.lower())
         return [s[i : i + 3] for i in range(len(s) - 2)]

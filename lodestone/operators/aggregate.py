@@ -58,8 +58,16 @@ def top_occurrences(df: DataFrame, prop: str, by: list[str] = (), limit: int = T
     return counts.withColumn("_r", rank).where(F.col("_r") <= limit).drop("_r")
 
 
+def declared(df: DataFrame, p: str) -> list[Column]:
+    """The property's type by its declared name."""
+    kind = _element(df, p)
+    name = {"string": "text", "boolean": "boolean", "timestamp": "date", "timestamp_ntz": "date", "date": "date"}.get(kind.simpleString())
+    name = name or ("int" if isinstance(kind, T.IntegralType) else "number" if isinstance(kind, T.NumericType) else "object")
+    return [F.lit(name + "[]" * isinstance(df.schema[p].dataType, T.ArrayType)).alias(f"{p}_type")]
+
+
 def aggregate(df: DataFrame, props: dict[str, str] | None = None, group_by: str | None = None, limit: int = GROUP_LIMIT) -> DataFrame:
-    """props: name -> numeric, boolean, date, text_count or reference. Array properties count by element, groups by distinct element."""
+    """props: name -> numeric, boolean, date, text_count, reference or type. Array properties count by element, groups by distinct element."""
     if group_by is not None and "." in group_by:
         raise ValueError("groups by nested paths are not supported")
     if group_by is not None:
@@ -69,6 +77,9 @@ def aggregate(df: DataFrame, props: dict[str, str] | None = None, group_by: str
     total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("meta_count"))
     plain, exploded = [], []
     for p, how in (props or {}).items():
+        if how == "type":
+            plain += [F.first(c).alias(f"{p}_type") for c in declared(df, p)]
+            continue
         checked(df, p)
         cols = {"numeric": numeric, "boolean": boolean, "date": date, "reference": reference, "text_count": lambda c, p: [F.count(F.col(c)).alias(f"{p}_count")]}[how](p, p)
         if isinstance(df.schema[p].dataType, T.ArrayType) and how != "reference":

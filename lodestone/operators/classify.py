@@ -20,13 +20,13 @@ def knn(unlabelled: DataFrame, labelled: DataFrame, id_col: str, vec: str, label
     near = nearest_of_each(todo, labelled, k, id_col, id_col, vec, vec, "cosine").withColumn("d", F.col("_distance") / 2)
     near = near.join(labelled.select(F.col(id_col).alias("base_id"), F.col(label).alias("label")), "base_id")
     votes = near.groupBy("query_id", "label").agg(F.count(F.lit(1)).alias("votes"), F.avg("d").alias("mean"), F.min("d").alias("closest"), F.sum("d").alias("total"))
+    # Means over the same distances in another order may differ in the last digits, so they are compared to nine.
     order = Window.partitionBy("query_id").orderBy(F.desc("votes"), F.round("mean", 9), "label")
     every = Window.partitionBy("query_id")
     votes = votes.withColumn("_r", F.row_number().over(order))
     lost = lambda c: F.when(F.col("_r") > 1, F.col(c))
     votes = votes.withColumn("closest_overall", F.min("closest").over(every)).withColumn("closest_losing", F.min(lost("closest")).over(every)).withColumn("_n", F.sum(lost("votes")).over(every)).withColumn("_t", F.sum(lost("total")).over(every)).withColumn("losing", F.coalesce("_n", F.lit(0)))
-    r6 = lambda c, n: F.round(c, 6).alias(n)
-    return votes.where("_r = 1").select(F.col("query_id").alias(id_col), "label", F.col("votes").alias("winning"), F.col("losing"), r6("mean", "mean_winning"), r6("closest", "closest_winning"), r6(F.col("_t") / F.col("_n"), "mean_losing"), r6("closest_losing", "closest_losing"), r6("closest_overall", "closest_overall"))
+    return votes.where("_r = 1").select(F.col("query_id").alias(id_col), "label", F.col("votes").alias("winning"), "losing", F.col("mean").alias("mean_winning"), F.col("closest").alias("closest_winning"), (F.col("_t") / F.col("_n")).alias("mean_losing"), "closest_losing", "closest_overall")
 
 
 def zero_shot(objects: DataFrame, targets: DataFrame, id_col: str, vec: str, target_id: str, target_vec: str) -> DataFrame:
@@ -43,13 +43,42 @@ def tf_idf(df: DataFrame, id_col: str, tokens: str) -> DataFrame:
     return out.select(id_col, "term", "tf", "idf", (F.col("tf") * F.col("idf")).alias("tf_idf"))
 
 
-def contextual(df: DataFrame, targets: DataFrame, id_col: str, tokens: str, words: DataFrame, target_id: str, target_vec: str, keep: float = 0.5) -> DataFrame:
-    """Objects by the weighted centroid of their most telling words, against target vectors. words: (term, vector)."""
+def information_gain(words: DataFrame, targets: DataFrame, target_id: str, target_vec: str) -> DataFrame:
+    """(term, gain): a word's mean distance to all targets less that to the nearest, from words (term, vector).
+
+    The mean of cosines is one product with the mean of the unit target vectors, so no word meets all targets one by one.
+    """
+    nearest = nearest_of_each(words, targets, 1, "term", target_id, "vector", target_vec).select(F.col("query_id").alias("term"), F.col("_distance").alias("_least"))
+    middle = D.centroid(targets.where(F.col(target_vec).isNotNull()).select(D.normalise(F.col(target_vec)).alias("_m")), "_m")
+    mean = words.join(F.broadcast(middle), how="cross").select("term", (1 - D.dot_product(D.normalise(F.col("vector")), F.col("_m"))).alias("_mean"))  # one row
+    return mean.join(nearest, "term").select("term", (F.col("_mean") - F.col("_least")).alias("gain"))
+
+
+def telling_words(scored: DataFrame, gain: DataFrame, id_col: str, gain_percentile: int = 50, tf_idf_percentile: int = 80, most_boost: float = 3.0, least_words: int = 3) -> DataFrame:
+    """(id, term, boost) of the words that stand for an object: those among the first gain_percentile hundredths by information
+    gain and the first tf_idf_percentile hundredths by tf-idf, or the least_words first ones by gain if they are fewer.
+
+    The word of rank i (from 0) of the first n by gain is boosted by 1 - ln(i / n), most_boost at most; the others count once.
+    """
+    each = scored.join(gain, "term").select(id_col, "term", "tf_idf", "gain")
+    mine = Window.partitionBy(id_col)
+    rank = lambda c: F.row_number().over(mine.orderBy(F.desc(c), "term")) - 1
+    cut = lambda share: F.floor(F.count(F.lit(1)).over(mine) * share / 100)
+    each = each.select("*", rank("gain").alias("_i"), rank("tf_idf").alias("_t"), cut(gain_percentile).alias("_n"), cut(tf_idf_percentile).alias("_m"))
+    both = (F.col("_i") < F.col("_n")) & (F.col("_t") < F.col("_m"))
+    each = each.withColumn("_both", F.count_if(both).over(mine))
+    boost = F.when(F.col("_i") == 0, most_boost).otherwise(F.least(F.lit(float(most_boost)), 1 - F.ln(F.col("_i") / F.col("_n"))))
+    kept = each.where(F.when(F.col("_both") < least_words, F.col("_i") < least_words).otherwise(both))
+    return kept.select(id_col, "term", F.when(F.col("_i") < F.col("_n"), boost).otherwise(1.0).alias("boost"))
+
+
+def contextual(df: DataFrame, targets: DataFrame, id_col: str, tokens: str, words: DataFrame, target_id: str, target_vec: str, **settings) -> DataFrame:
+    """Objects by the boosted centroid of their telling words, against target vectors. words: (term, vector); settings as in telling_words."""
     scored = tf_idf(df, id_col, tokens)
-    share = F.percent_rank().over(Window.partitionBy(id_col).orderBy(F.desc("tf_idf"), "term"))
-    told = scored.withColumn("_p", share).where(F.col("_p") <= keep).join(words, "term")
-    vectors = D.centroid(told, "vector", [id_col], "tf_idf")
-    return zero_shot(vectors, targets, id_col, "vector", target_id, target_vec)
+    told = telling_words(scored, information_gain(words, targets, target_id, target_vec), id_col, **settings)
+    often = df.select(id_col, F.explode(tokens).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("_often"))
+    told = told.join(often, [id_col, "term"]).join(words, "term").withColumn("_weight", F.col("boost") * F.col("_often"))
+    return zero_shot(D.centroid(told, "vector", [id_col], "_weight"), targets, id_col, "vector", target_id, target_vec)
 
 
 def written_back(df: DataFrame, found: DataFrame, id_col: str, column: str, scope: str) -> DataFrame:

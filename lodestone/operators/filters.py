@@ -1,7 +1,8 @@
-"""Filter clauses: a small algebra of predicates that become one two-valued boolean column.
+"""Filter clauses: a small algebra of predicates over rows.
 
-Missing values never make a predicate null: negations are complements over all rows. Clauses on reference paths become
-semi joins before the rest is applied.
+Negations are complements over all rows, also those with missing values. So below a negation predicates are two-valued
+columns; elsewhere null stands for false and they stay bare, which lets comparisons reach the scan (``PushedFilters``).
+Clauses on reference paths become semi joins before the rest is applied.
 """
 
 from __future__ import annotations
@@ -119,6 +120,10 @@ def points_to(ref: Ref) -> Clause:
     return Clause("Ref", ref=ref)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def true(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
@@ -135,14 +140,39 @@ class Planner:
     """Turns clauses into columns for one DataFrame and schema."""
 
     def __init__(self, df: DataFrame, schema: Schema = Schema()):
-        self.df, self.schema = df, schema
+        self.df, self.schema, self.two_valued = df, schema, True
+
+    def _true(self, c: Column) -> Column:
+        return true(c) if self.two_valued else c
+
+    def bare(self, c: Clause) -> Column:
+        """The clause as a column that may be null for false."""
+        self.two_valued = False
+        out = self.column(c)
+        self.two_valued = True
+        return out
+
+    def _complement(self, make) -> Column:
+        before, self.two_valued = self.two_valued, True
+        out = ~make()
+        self.two_valued = before
+        return out
 
     def _type(self, name: str) -> T.DataType:
-        if name not in self.df.columns:
+        """The type of a property, or of a nested one by its path (``address.city``)."""
+        top, *inner = name.split(".")
+        if top not in self.df.columns:
             raise ValueError(f"no such property: {name}")
         if name in self.schema.not_filterable and name in self.schema.not_searchable:
             raise ValueError(f"{name} has no index to filter by")
-        return self.df.schema[name].dataType
+        kind = self.df.schema[top].dataType
+        for part in inner:
+            several = isinstance(kind, T.ArrayType)
+            kind = kind.elementType if several else kind
+            if not isinstance(kind, T.StructType) or part not in kind.names:
+                raise ValueError(f"no such property: {name}")
+            kind = T.ArrayType(kind[part].dataType) if several else kind[part].dataType
+        return kind
 
     def _query_terms(self, name: str, value: str) -> list[str]:
         how = self.schema.tokenization.get(name, "word")
@@ -173,12 +203,26 @@ class Planner:
         kind = self._type(name)
         if name in ("_creationTime", "_updateTime") and not self.schema.timestamps:
             raise ValueError("timestamps are not indexed")
-        if op == "Equal" and self._is_text(kind) and self.schema.tokenization.get(name, "word") != "id":
+        how = self.schema.tokenization.get(name, "word")
+        if op == "Equal" and self._is_text(kind) and how == "field" and not isinstance(kind, T.ArrayType):
+            return self._equal_field(name, str(value))
+        if op == "Equal" and self._is_text(kind) and how != "id":
             have = self._tokens(name, kind)
-            return reduce(lambda a, b: a & b, (true(F.array_contains(have, t)) for t in self._query_terms(name, value)), F.lit(True))
+            return reduce(lambda a, b: a & b, (self._true(F.array_contains(have, t)) for t in self._query_terms(name, value)), F.lit(True))
+        if how == "id" and isinstance(value, str):
+            value = tx.plain_id(value)
         if isinstance(kind, T.ArrayType):
-            return true(F.exists(name, lambda x: getattr(x, COMPARE[op])(F.lit(value))))
-        return true(getattr(F.col(name), COMPARE[op])(F.lit(value)))
+            return self._true(F.exists(name, lambda x: getattr(x, COMPARE[op])(F.lit(value))))
+        return self._true(getattr(F.col(name), COMPARE[op])(F.lit(value)))
+
+    def _equal_field(self, name: str, value: str) -> Column:
+        """Equality of a whole trimmed value. Such a value begins with what is asked for, or with a blank; all blanks are either
+        smaller than '!' or not smaller than U+0085. The scan can test that."""
+        c, v = F.col(name), value.strip(tx.WHITE)
+        exact = tx.trimmed(c) == v
+        if not v:
+            return self._true(exact)
+        return self._true((c.startswith(v) | (c < "!") | (c >= "\x85")) & exact)
 
     def column(self, c: Clause) -> Column:
         if c.op in ("And", "Or"):
@@ -189,14 +233,17 @@ class Planner:
         if c.op == "Not":
             if len(c.children) != 1:
                 raise ValueError("Not needs exactly one operand")
-            return ~self.column(c.children[0])
+            return self._complement(lambda: self.column(c.children[0]))
         if c.op == "Ref":
             return F.col(self._lifted(c))
         if c.op == "NotEqual":
-            if self._is_text(self._type(c.prop)) and self.schema.tokenization.get(c.prop, "word") != "id":
-                have = self._tokens(c.prop, self._type(c.prop))
+            kind, how = self._type(c.prop) if not c.prop.startswith("len(") else None, self.schema.tokenization.get(c.prop, "word")
+            if kind is not None and self._is_text(kind) and how not in ("id", "field"):
+                have = self._tokens(c.prop, kind)
                 return reduce(lambda a, b: a & b, (~true(F.array_contains(have, t)) for t in self._query_terms(c.prop, c.value)), F.lit(True))
-            return ~self._compare("Equal", c.prop, c.value)
+            if kind is not None and not self._is_text(kind) and not isinstance(kind, T.ArrayType):
+                return F.col(c.prop).isNull() | (F.col(c.prop) != F.lit(c.value))
+            return self._complement(lambda: self._compare("Equal", c.prop, c.value))
         if c.op == "IsNull":
             if not self.schema.null_state:
                 raise ValueError("null states are not indexed")
@@ -211,26 +258,29 @@ class Planner:
             kind = self._type(c.prop)
             how = self.schema.tokenization.get(c.prop, "word")
             if how == "field" and re.fullmatch(r"[^?*]*\*", c.value):
-                return true(F.trim(c.prop).startswith(c.value[:-1]))
+                return self._true(tx.trimmed(F.col(c.prop)).startswith(c.value[:-1]))
             have = self._tokens(c.prop, kind)
             parts = tx.wildcard_tokens(c.value, how) if how != "field" else [c.value]
-            return reduce(lambda a, b: a & b, (true(matches_any(have, like_regex(t))) for t in parts))
+            return reduce(lambda a, b: a & b, (self._true(matches_any(have, like_regex(t))) for t in parts))
         if c.op in ("ContainsAny", "ContainsAll", "ContainsNone"):
-            parts = []
-            for v in c.value:
-                try:
-                    parts.append(self._compare("Equal", c.prop, v))
-                except OnlyStopwordsError:
-                    if c.op == "ContainsAll":
-                        raise
-            if not parts:
-                raise OnlyStopwordsError(str(c.value))
-            join = reduce(lambda a, b: a & b if c.op == "ContainsAll" else a | b, parts)
-            return ~join if c.op == "ContainsNone" else join
+
+            def joined() -> Column:
+                parts = []
+                for v in c.value:
+                    try:
+                        parts.append(self._compare("Equal", c.prop, v))
+                    except OnlyStopwordsError:
+                        if c.op == "ContainsAll":
+                            raise
+                if not parts:
+                    raise OnlyStopwordsError(str(c.value))
+                return reduce(lambda a, b: a & b if c.op == "ContainsAll" else a | b, parts)
+
+            return self._complement(joined) if c.op == "ContainsNone" else joined()
         if c.op == "WithinGeoRange":
             lat, lon, metres = c.value
             at = F.col(c.prop)
-            return true(haversine(at["latitude"].cast("double"), at["longitude"].cast("double"), F.lit(float(lat)), F.lit(float(lon))) <= metres)
+            return self._true(haversine(at["latitude"].cast("double"), at["longitude"].cast("double"), F.lit(float(lat)), F.lit(float(lon))) <= metres)
         return self._compare(c.op, c.prop, c.value)
 
     def _lifted(self, c: Clause) -> str:
@@ -271,11 +321,11 @@ def where(df: DataFrame, clause: Clause | None, schema: Schema = Schema()) -> Da
         if isinstance(df.schema[c.ref.column].dataType, T.ArrayType):
             p = Planner(df, schema)
             p._lifted(c)
-            df = p.df.where(F.col(f"_ref{id(c.ref)}")).select(names)
+            df = p.df.where(F.col(f"_ref{id(c.ref)}")).select(*map(quoted, names))
         else:
             df = df.join(inner, on, "left_semi")
     plan = Planner(df, schema)
-    columns = [plan.column(c) for c in rest if c.op != "Ref"]
+    columns = [plan.bare(c) for c in rest if c.op != "Ref"]
     if not columns:
         return df
-    return plan.df.where(reduce(lambda a, b: a & b, columns)).select(names)
+    return plan.df.where(reduce(lambda a, b: a & b, columns)).select(*map(quoted, names))

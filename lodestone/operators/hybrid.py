@@ -14,8 +14,8 @@ ALPHA = 0.75
 def _merge(parts: list[DataFrame], id_col: str) -> DataFrame:
     every = reduce(lambda a, b: a.unionByName(b), parts)
     out = every.groupBy(id_col).agg(F.sum("part").alias("s"), F.max("raw").alias("_secondary"), F.array_join(F.array_sort(F.collect_list("why")), "; ").alias("explain"))
-    # Scores that differ in the eighth digit count as equal; then the raw score, then the larger id.
-    return out.withColumn("score", F.round("s", 6)).drop("s").orderBy(F.desc(F.round("score", 7)), F.desc("_secondary"), F.desc(id_col))
+    # Scores that differ in the eighth digit only count as equal; then the raw score, then the larger id.
+    return out.withColumnRenamed("s", "score").orderBy(F.desc(F.round("score", 7)), F.desc("_secondary"), F.desc(id_col))
 
 
 def _why(name: str) -> F.Column:

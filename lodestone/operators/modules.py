@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import distance as D
@@ -81,9 +81,10 @@ def vectorize(df: DataFrame, text: str, out: str = "_vector", model: str = "bigr
     return df.withColumn(out, VECTORIZERS[model](F.col(text)))
 
 
-def near_text(df: DataFrame, vec: str, concepts: list[str], k: int, id_col: str, model: str = "bigram", towards: tuple[list[str], float] | None = None, away: tuple[list[str], float] | None = None) -> DataFrame:
-    """Nearest to the mean vector of concepts, moved towards or away from other concepts."""
-    from lodestone.operators.vector import with_distance
+def concept_vector(spark: SparkSession, concepts: list[str], model: str = "bigram", towards: tuple[list[str], float] | None = None, away: tuple[list[str], float] | None = None) -> DataFrame:
+    """One row with the mean vector ``_q`` of concepts, moved towards or away from other concepts."""
+    if model not in VECTORIZERS:
+        raise ValueError(f"vectorizer {model!r} is not configured")
 
     def mean(words: list[str]) -> Column:
         vectors = [VECTORIZERS[model](F.lit(w)) for w in words]
@@ -97,8 +98,14 @@ def near_text(df: DataFrame, vec: str, concepts: list[str], k: int, id_col: str,
         q = D.move_to(q, mean(towards[0]), towards[1])
     if away:
         q = D.move_away(q, mean(away[0]), away[1])
-    query = df.sparkSession.range(1).select(q.alias("_q"))
-    return with_distance(df.join(F.broadcast(query), how="cross"), vec, F.col("_q")).drop("_q").orderBy("_distance", id_col).limit(k)
+    return spark.range(1).select(q.alias("_q"))
+
+
+def near_text(df: DataFrame, vec: str, concepts: list[str], k: int, id_col: str, model: str = "bigram", towards: tuple[list[str], float] | None = None, away: tuple[list[str], float] | None = None) -> DataFrame:
+    """Nearest to the mean vector of concepts, moved towards or away from other concepts."""
+    from lodestone.operators.vector import with_distance_to
+
+    return with_distance_to(df, vec, concept_vector(df.sparkSession, concepts, model, towards, away)).orderBy("_distance", id_col).limit(k)
 
 
 def autocorrect(df: DataFrame, word: str, vocabulary: DataFrame, entry: str, most: int = 2) -> DataFrame:

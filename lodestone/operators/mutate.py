@@ -11,9 +11,18 @@ def last_of_each(batch: DataFrame, id_col: str, order: str) -> DataFrame:
     return batch.withColumn("_r", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc(order)))).where("_r = 1").drop("_r")
 
 
-def put(current: DataFrame, batch: DataFrame, id_col: str, order: str | None = None) -> DataFrame:
-    """Insert or replace whole objects."""
-    new = last_of_each(batch, id_col, order).select(current.columns) if order else batch.dropDuplicates([id_col]).select(current.columns)
+def put(current: DataFrame, batch: DataFrame, id_col: str, order: str | None = None, updated: str | None = None) -> DataFrame:
+    """Insert or replace whole objects. Of rows with equal ids the last by ``order`` counts, or the last of the batch's own order.
+
+    updated: the column of update times; an object that is put as it is already, apart from that column, keeps the old time.
+    """
+    new = last_of_each(batch, id_col, order) if order else last_of_each(batch.withColumn("_place", F.monotonically_increasing_id()), id_col, "_place")
+    new = new.select(current.columns)
+    if updated:
+        rest = [c for c in current.columns if c not in (id_col, updated)]
+        old = current.select(id_col, F.struct(*rest).alias("_old"), F.col(updated).alias("_time"))
+        same = F.struct(*rest).eqNullSafe(F.col("_old"))
+        new = new.join(old, id_col, "left").withColumn(updated, F.when(same, F.col("_time")).otherwise(F.col(updated))).select(current.columns)
     return current.join(new.select(id_col), id_col, "left_anti").select(current.columns).unionByName(new)
 
 
@@ -82,6 +91,11 @@ def newest_replica(replicas: list[DataFrame], id_col: str, updated: str, need: i
     return out.where(F.col("_n") >= (need or 1)).select(id_col, "_v.*")
 
 
+def shard_of(id_col: str, n: int) -> Column:
+    """The shard of an object: the first 32 bits of its id's MD5, modulo n."""
+    return F.conv(F.substring(F.md5(F.col(id_col).cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint") % n
+
+
 def shards(df: DataFrame, id_col: str, n: int) -> DataFrame:
     """Objects of each of n hash-routed shards."""
-    return df.groupBy(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n)).alias("shard")).agg(F.count(F.lit(1)).alias("objects"))
+    return df.groupBy(shard_of(id_col, n).alias("shard")).agg(F.count(F.lit(1)).alias("objects"))

@@ -76,7 +76,9 @@ def merge_group(df: DataFrame, by: list[str], order: list[str], texts: list[str]
 
 
 RERANKERS: dict[str, Callable[[str, Column], Column]] = {"dummy": lambda query, text: F.octet_length(text).cast("double")}
-GENERATORS: dict[str, Callable[[Column], Column]] = {"dummy": lambda prompt: F.concat(F.lit("You want me to generate something based on the following prompt: "), prompt)}
+GENERATORS: dict[str, Callable[[Column], Column]] = {"dummy": lambda prompt: F.concat(F.lit("Nothing was generated. The prompt is: "), prompt)}
+SUMMARIES: dict[str, Callable[[Column], Column]] = {}
+ANSWERS: dict[str, Callable[[str, Column], Column]] = {}
 
 
 def provider(table: dict, name: str):
@@ -90,6 +92,16 @@ def rerank(hits: DataFrame, prop: str, query: str, id_col: str, model: str = "du
     return hits.withColumn("_rerank", provider(RERANKERS, model)(query, F.coalesce(text, F.lit("")))).orderBy(F.desc("_rerank"), id_col)
 
 
+def summarize(hits: DataFrame, prop: str, model: str) -> DataFrame:
+    """hits with ``_summary`` of a property, by a registered function."""
+    return hits.withColumn("_summary", provider(SUMMARIES, model)(F.col(prop)))
+
+
+def answer(hits: DataFrame, question: str, prop: str, model: str) -> DataFrame:
+    """hits with ``_answer`` to a question from a property, by a registered function."""
+    return hits.withColumn("_answer", provider(ANSWERS, model)(question, F.col(prop)))
+
+
 def prompt(template: str) -> Column:
     """{name} in a template stands for a column's value."""
     import re
@@ -108,10 +120,51 @@ def generate_grouped(hits: DataFrame, task: str, props: list[str], order: list[s
     return hits.agg(provider(GENERATORS, model)(F.concat(F.lit(task + ": ["), F.array_join(rows, ","), F.lit("]"))).alias("_generated"))
 
 
+def nearest_words(hits: DataFrame, id_col: str, vec: str, words: DataFrame, k: int = 10) -> DataFrame:
+    """(id, concept, _distance, _rank): the words nearest to each hit's vector. words: (term, vector)."""
+    from lodestone.operators.vector import nearest_of_each
+
+    near = nearest_of_each(hits, words, k, id_col, "term", vec, "vector")
+    return near.select(F.col("query_id").alias(id_col), F.col("base_id").alias("concept"), "_distance", "_rank")
+
+
+def interpretation(hits: DataFrame, id_col: str, tokens: str, words: DataFrame, counts: DataFrame) -> DataFrame:
+    """(id, concept, weight, occurrence): the known words of a text in which its vector originates, and what each weighs.
+
+    counts: (term, occurrence) over the corpus. A rare word weighs most: 2 * (1 - ln(occurrence / least) / ln(most / least)).
+    """
+    ends = counts.agg(F.min("occurrence").alias("_lo"), F.max("occurrence").alias("_hi"))  # one row
+    spread = F.ln(F.col("_hi") / F.col("_lo"))
+    weight = F.when(spread > 0, 2 * (1 - F.ln(F.col("occurrence") / F.col("_lo")) / spread)).otherwise(1.0)
+    each = hits.select(id_col, F.explode(F.array_distinct(tokens)).alias("term")).join(words.select("term"), "term").join(counts, "term").join(F.broadcast(ends), how="cross")
+    return each.select(id_col, F.col("term").alias("concept"), weight.alias("weight"), "occurrence")
+
+
+def semantic_path(hits: DataFrame, id_col: str, vec: str, words: DataFrame, query: list[float], steps: int = 5) -> DataFrame:
+    """(id, step, concept, distance_to_query, distance_to_result): words on the way from the query's vector to each hit's.
+
+    The way is cut into steps + 1 equal parts; the word nearest to each cut is a station, a word that repeats is one station.
+    """
+    from lodestone.functions import distance as D
+    from lodestone.operators.vector import nearest_of_each
+
+    q = D.normalise(D.vector(query))
+    cut = lambda i: F.zip_with(q, D.normalise(F.col(vec)), lambda a, b: a + (b - a) * F.lit(i / (steps + 1)))
+    at = hits.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("_id"), F.col(vec).alias("_hit"), F.explode(F.array(*(F.struct(F.lit(i).alias("step"), cut(i).alias("v")) for i in range(1, steps + 1)))).alias("s"))
+    at = at.select("_id", "_hit", F.col("s.step").alias("step"), F.col("s.v").alias("_at"), F.concat_ws(":", F.col("_id").cast("string"), F.col("s.step").cast("string")).alias("_key"))
+    near = nearest_of_each(at, words, 1, "_key", "term", "_at", "vector").select(F.col("query_id").alias("_key"), F.col("base_id").alias("term"))
+    first = at.join(near, "_key").join(words, "term").groupBy("_id", "term").agg(F.min("step").alias("step"), F.first("vector").alias("vector"), F.first("_hit").alias("_hit"))
+    return first.select(F.col("_id").alias(id_col), "step", F.col("term").alias("concept"), D.cosine(F.col("vector"), q).alias("distance_to_query"), D.cosine(F.col("vector"), F.col("_hit")).alias("distance_to_result"))
+
+
 def project(hits: DataFrame, vec: str, dims: int = 2) -> DataFrame:
-    """Coordinates of a result's vectors along their principal components (Spark ML)."""
+    """Coordinates of a result's vectors along their principal components (Spark ML); each component's largest weight is positive."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     df = hits.withColumn("_x", array_to_vector(F.col(vec).cast("array<double>")))
-    return PCA(k=dims, inputCol="_x", outputCol="_p").fit(df).transform(df).withColumn("_projection", vector_to_array("_p")).drop("_x", "_p")
+    model = PCA(k=dims, inputCol="_x", outputCol="_p").fit(df)
+    axes = model.pc.toArray()
+    sign = np.sign(axes[np.abs(axes).argmax(0), np.arange(dims)])
+    turned = F.zip_with(vector_to_array("_p"), F.lit([float(x) for x in sign]), lambda a, b: a * b)
+    return model.transform(df).withColumn("_projection", turned).drop("_x", "_p")

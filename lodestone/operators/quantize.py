@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions import distance as D
-from lodestone.operators.vector import with_distance
+from lodestone.operators.ann import fitted_centroids
+from lodestone.operators.vector import late_interaction, with_distance
 
 # How many hits of a coded pass are scored again.
 RESCORE = {"sq": 20, "rq": 20, "brq": 512}
@@ -55,18 +56,10 @@ def rescored(df: DataFrame, coded: Column, vec: str, query: list[float], k: int,
 
 
 def product_quantizer(df: DataFrame, vec: str, segments: int = 8, centroids: int = 16, fit_rows: int = 10_000, seed: int = 7) -> list[np.ndarray]:
-    """Codebooks by k-means on each segment (Spark ML), fitted to at most about fit_rows rows, chosen by a hash."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    n = max(1, df.count())
-    part = df.where(F.pmod(F.xxhash64(vec), F.lit(1_000_000)) < int(min(1.0, fit_rows / n) * 1_000_000))
-    width = part.select(F.size(vec)).first()[0] // segments
-    books = []
-    for s in range(segments):
-        x = part.select(array_to_vector(F.slice(F.col(vec).cast("array<double>"), s * width + 1, width)).alias("features"))
-        books.append(np.stack(KMeans(k=centroids, seed=seed, maxIter=8).fit(x).clusterCenters()))
-    return books
+    """Codebooks by k-means on each segment, fitted to the fit_rows rows of smallest hash, a bounded sample."""
+    sample = df.where(F.col(vec).isNotNull()).select(F.col(vec).alias("_v")).orderBy(F.xxhash64(vec)).limit(fit_rows).toPandas()._v
+    x = np.stack(sample.to_list()).astype(float)
+    return [fitted_centroids(part, centroids, rounds=8, seed=seed) for part in np.split(x, segments, axis=1)]
 
 
 def product_codes(df: DataFrame, vec: str, books: list[np.ndarray], out: str = "_pq") -> DataFrame:
@@ -89,20 +82,31 @@ def product_distance(codes: str, books: list[np.ndarray], query: list[float]) ->
     return F.aggregate(F.zip_with(F.lit([[float(x) for x in r] for r in table]), F.col(codes), lambda row, c: F.get(row, c)), F.lit(0.0), lambda s, x: s + x)
 
 
-def rotation(dims: int, seed: int = 7) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dims, dims)))
-    return q * np.sign(np.diag(r))
-
-
-def rotational_codes(df: DataFrame, vec: str, dims: int, bits: int = 8, seed: int = 7, out: str = "_rq") -> DataFrame:
+def rotated(x: np.ndarray, seed: int = 7, rounds: int = 3) -> np.ndarray:
+    """Rows turned by a fast random rotation: signs, then a Walsh-Hadamard transform, a few times over. Rows are padded with
+    zeros to a power of two; a row takes n log n additions."""
+    n = 1 << max(0, int(x.shape[1] - 1).bit_length())
+    y, rng = np.zeros((len(x), n)), np.random.default_rng(seed)
+    y[:, : x.shape[1]] = x
+    for _ in range(rounds):
+        y *= rng.choice((-1.0, 1.0), n)
+        width = 1
+        while width < n:
+            pairs = y.reshape(len(y), -1, 2, width)
+            y = np.stack((pairs[:, :, 0] + pairs[:, :, 1], pairs[:, :, 0] - pairs[:, :, 1]), 2).reshape(len(y), n)
+            width *= 2
+        y /= np.sqrt(n)
+    return y
+
+
+def rotational_codes(df: DataFrame, vec: str, bits: int = 8, seed: int = 7, out: str = "_rq") -> DataFrame:
     """Rotated components in 2**bits steps between the vector's own ends: codes, lower end, step and norm. bits 1 gives signs."""
-    turn = rotation(dims, seed)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
                 x = np.stack(f[vec].to_list()).astype(float)
-                y = x @ turn
+                y = rotated(x, seed)
                 lo = y.min(1, keepdims=True)
                 step = (y.max(1, keepdims=True) - lo) / (2**bits - 1)
                 codes = np.rint((y - lo) / np.where(step > 0, step, 1)).astype(int)
@@ -114,10 +118,10 @@ def rotational_codes(df: DataFrame, vec: str, dims: int, bits: int = 8, seed: in
     return df.mapInPandas(run, schema)
 
 
-def rotational_distance(query: list[float], dims: int, seed: int = 7, codes: str = "_rq") -> Column:
+def rotational_distance(query: list[float], seed: int = 7, codes: str = "_rq") -> Column:
     """Cosine distance from the codes."""
     q = np.asarray(query, float)
-    y = q @ rotation(dims, seed) / (np.linalg.norm(q) or 1)
+    y = rotated(q[None], seed)[0] / (np.linalg.norm(q) or 1)
     product = F.col(f"{codes}_low") * float(y.sum()) + F.col(f"{codes}_step") * D.dot_product(F.col(codes), D.vector(y.tolist()))
     return 1 - product / F.when(F.col(f"{codes}_norm") > 0, F.col(f"{codes}_norm")).otherwise(1.0)
 
@@ -154,3 +158,47 @@ def muvera(df: DataFrame, vecs: str, dims: int, out: str = "_muvera", **kw) -> D
             yield f.assign(**{out: [code.encode(np.stack(list(x)) if len(x) else np.zeros((0, dims)), True).tolist() for x in f[vecs]]})
 
     return df.mapInPandas(run, with_fields(df, **{out: T.ArrayType(T.DoubleType())}))
+
+
+def muvera_search(df: DataFrame, vecs: str, query: list[list[float]], k: int, id_col: str, rescore: int = 100, metric: str = "dot", **kw) -> DataFrame:
+    """Token vectors searched by the product of fixed-dimensional encodings; the best ``rescore`` rows are scored exactly."""
+    tokens = np.asarray(query, float)
+    q = Muvera(tokens.shape[1], **kw).encode(tokens, False)
+    coded = muvera(df.where(F.size(vecs) > 0), vecs, tokens.shape[1], **kw).withColumn("_product", D.dot_product(F.col("_muvera"), D.vector(q.tolist())))
+    first = coded.orderBy(F.desc("_product"), id_col).limit(max(rescore, k)).drop("_muvera", "_product")
+    return late_interaction(first, vecs, query, k, id_col, metric)
+
+
+def kmeans(df: DataFrame, vec: str, start: np.ndarray, rounds: int = 10) -> tuple[DataFrame, np.ndarray]:
+    """(rows with ``_cluster``, centroids) by Lloyd's rounds from given centroids, which are a bounded table.
+
+    Each round, tasks sum their rows by cluster and one small aggregation adds the sums. Ties go to the lower cluster; an empty
+    cluster keeps its centroid.
+    """
+    rows, c = df.where(F.col(vec).isNotNull()), np.asarray(start, float)
+    near = lambda x, c: ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+
+    for _ in range(rounds):
+
+        def sums(frames: Iterator[pd.DataFrame], c=c) -> Iterator[pd.DataFrame]:
+            total, n = np.zeros_like(c), np.zeros(len(c))
+            for f in frames:
+                x = np.stack(f._v.to_list()).astype(float) if len(f) else np.zeros((0, c.shape[1]))
+                for at in range(0, len(x), 4096):
+                    mine = near(x[at : at + 4096], c)
+                    np.add.at(total, mine, x[at : at + 4096])
+                    n += np.bincount(mine, minlength=len(c))
+            i, j = np.divmod(np.arange(c.size), c.shape[1])
+            yield pd.DataFrame({"i": i, "j": j, "n": n[i], "x": total.ravel()})
+
+        got = rows.select(F.col(vec).alias("_v")).mapInPandas(sums, "i int, j int, n double, x double").groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).toPandas()
+        c = c.copy()
+        got = got[got.n > 0]
+        c[got.i.to_numpy(), got.j.to_numpy()] = got.x.to_numpy() / got.n.to_numpy()
+
+    def assign(frames: Iterator[pd.DataFrame], c=c) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                yield f.assign(_cluster=near(np.stack(f[vec].to_list()).astype(float), c).astype(np.int32))
+
+    return rows.mapInPandas(assign, with_fields(rows, _cluster=T.IntegerType())), c

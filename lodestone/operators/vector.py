@@ -1,9 +1,14 @@
-"""Vector search: k nearest, within a distance, by object, by text, over several targets, over token vectors."""
+"""Vector search: k nearest, within a distance, by object, by text, over several targets, over token vectors.
+
+Distances are doubles as computed; nothing is ranked by rounded ones.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +20,7 @@ SAME = 1e-6
 
 def with_distance(df: DataFrame, vec: str, query: list[float] | Column, metric: str = "cosine", out: str = "_distance") -> DataFrame:
     q = D.vector(query) if isinstance(query, (list, tuple)) else query
-    return df.withColumn(out, F.round(D.distance(metric, F.col(vec), q), 6))
+    return df.withColumn(out, D.distance(metric, F.col(vec), q))
 
 
 def knn(df: DataFrame, vec: str, query, k: int, id_col: str, metric: str = "cosine") -> DataFrame:
@@ -37,21 +42,77 @@ def keep_certain(hits: DataFrame, certainty: float | None = None, distance: floa
     return hits
 
 
+def with_distance_to(df: DataFrame, vec: str, one: DataFrame, metric: str = "cosine") -> DataFrame:
+    """Distances to the vector ``_q`` of a table of one row, which is broadcast; no rows if it has none."""
+    rows = df.where(F.col(vec).isNotNull()).join(F.broadcast(one.limit(1)), how="cross")
+    return with_distance(rows, vec, F.col("_q"), metric).drop("_q")
+
+
+def vector_of(df: DataFrame, vec: str, object_id, id_col: str) -> DataFrame:
+    """A stored object's vector as a table of one row, or none."""
+    return df.where((F.col(id_col) == object_id) & F.col(vec).isNotNull()).select(F.col(vec).alias("_q"))
+
+
 def near_object(df: DataFrame, vec: str, object_id, k: int, id_col: str, metric: str = "cosine") -> DataFrame:
-    """Nearest to a stored object, which is itself among the hits. One row is broadcast."""
-    q = df.where(F.col(id_col) == object_id).select(F.col(vec).alias("_q")).limit(1)
-    scored = df.where(F.col(vec).isNotNull()).join(F.broadcast(q), how="cross")
-    return with_distance(scored, vec, F.col("_q"), metric).drop("_q").orderBy("_distance", id_col).limit(k)
-
-
-def nearest_of_each(queries: DataFrame, base: DataFrame, k: int, query_id: str, base_id: str, query_vec: str, base_vec: str, metric: str = "cosine", blocks: int = 8) -> DataFrame:
-    """k nearest base rows for every query row: base rows meet each block of queries by an equi-join on the block, and a
-    limit per query inside every partition (row_number <= k) goes ahead of the shuffle by query."""
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("_q")).withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    b = base.select(F.col(base_id).alias("base_id"), F.col(base_vec).alias("_v")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-    scored = q.join(b, "_block").select("query_id", "base_id", F.round(D.distance(metric, F.col("_q"), F.col("_v")), 6).alias("_distance"))
+    """Nearest to a stored object, which is itself among the hits; no hits if there is no such object."""
+    return with_distance_to(df, vec, vector_of(df, vec, object_id, id_col), metric).orderBy("_distance", id_col).limit(k)
+
+
+#: Queries and base rows of one tile; with 1,024 dimensions a tile's base rows take 64 MB.
+TILE_QUERIES, TILE_ROWS = 512, 8192
+
+
+def tile_distances(metric: str, q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all queries to all base rows, in doubles."""
+    if metric in ("cosine", "dot"):
+        product = q @ b.T
+        # In a matrix product equal vectors may differ in the last digits by their place, so these are cut off.
+        if metric == "dot":
+            return np.round(-product, 12)
+        n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None]
+        return np.round(np.maximum(0.0, 1 - np.where(n > 0, product / np.where(n > 0, n, 1), 0.0)), 12)
+    each = {"l2-squared": lambda d: (d * d).sum(1), "manhattan": lambda d: np.abs(d).sum(1), "hamming": lambda d: (d != 0).sum(1).astype(np.float64)}[metric]
+    return np.stack([each(b - x) for x in q]) if len(q) else np.zeros((0, len(b)))
+
+
+def best_of_tile(queries: pd.DataFrame, base: pd.DataFrame, k: int, metric: str) -> pd.DataFrame:
+    """(query_id, base_id, _distance): each query's k nearest of a tile, ties to the smaller id."""
+    parts = []
+    if len(queries) and len(base):
+        order = np.argsort(base.base_id.to_numpy(), kind="stable")
+        ids = base.base_id.to_numpy()[order]
+        d = tile_distances(metric, np.stack(queries._q.to_list()).astype(np.float64), np.stack(base._v.to_list()).astype(np.float64)[order])
+        if len(ids) > k:
+            edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+            parts = [(q, np.flatnonzero(row <= e)) for q, row, e in zip(range(len(d)), d, edge[:, 0], strict=True)]
+            parts = [(q, at[np.argsort(d[q, at], kind="stable")[:k]]) for q, at in parts]
+        else:
+            parts = [(q, np.arange(len(ids))) for q in range(len(d))]
+    rows = [(np.full(len(at), queries.query_id.to_numpy()[q]), ids[at], d[q, at]) for q, at in parts]
+    cols = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [[], [], []]
+    return pd.DataFrame(dict(zip(("query_id", "base_id", "_distance"), cols, strict=True)))
+
+
+def nearest_of_each(queries: DataFrame, base: DataFrame, k: int, query_id: str, base_id: str, query_vec: str, base_vec: str, metric: str = "cosine", tile_queries: int = TILE_QUERIES, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(query_id, base_id, _distance, _rank): the k nearest base rows of every query row, ties to the smaller id.
+
+    Both sides are dealt by a hash into blocks of bounded size, sized by their counts; a tile is a pair of blocks and one
+    matrix product, so tasks grow in number and not in size. Each tile keeps k hits a query, which one window merges. Rows
+    without a vector take no part.
+    """
+    if metric not in D.METRICS:
+        raise ValueError(f"unknown metric {metric!r}")
+    q = queries.where(F.col(query_vec).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(query_vec).cast("array<double>").alias("_q"))
+    b = base.where(F.col(base_vec).isNotNull()).select(F.col(base_id).alias("base_id"), F.col(base_vec).cast("array<double>").alias("_v"))
+    n_q, n_b = max(1, -(-q.count() // tile_queries)), max(1, -(-b.count() // tile_rows))
+    blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.select("*", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("_i"), blocks(n_b).alias("_j"))
+    b = b.select("*", blocks(n_q).alias("_i"), F.pmod(F.xxhash64("base_id"), F.lit(n_b)).cast("int").alias("_j"))
+    kind = {f.name: f.dataType.simpleString() for f in (*q.schema, *b.schema)}
+    schema = f"query_id {kind['query_id']}, base_id {kind['base_id']}, _distance double"
+    best = q.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInPandas(lambda x, y: best_of_tile(x, y, k, metric), schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("_distance", "base_id"))
-    return scored.withColumn("_rank", rank).where(F.col("_rank") <= k)
+    return best.withColumn("_rank", rank).where(F.col("_rank") <= k)
 
 
 def move(vector: Column, towards: tuple[Column, float] | None = None, away: tuple[Column, float] | None = None) -> Column:
@@ -70,7 +131,7 @@ def multi_target(df: DataFrame, targets: dict[str, tuple[str, list[float]]], k:
     if combine in ("manual", "relative") and set(weights or ()) != set(targets):
         raise ValueError("a weight is needed for every target")
     names = list(targets)
-    df = df.select("*", *(F.round(D.distance(metric, F.col(c), D.vector(q)), 6).alias(f"_d_{n}") for n, (c, q) in targets.items()))
+    df = df.select("*", *(D.distance(metric, F.col(c), D.vector(q)).alias(f"_d_{n}") for n, (c, q) in targets.items()))
     cols = [F.col(f"_d_{n}") for n in names]
     if combine == "minimum":
         total = F.least(*cols) if len(cols) > 1 else cols[0]
@@ -85,7 +146,7 @@ def multi_target(df: DataFrame, targets: dict[str, tuple[str, list[float]]], k:
         w = weights if combine in ("manual", "relative") else dict.fromkeys(names, 1 / len(names) if combine == "average" else 1.0)
         total = reduce(lambda a, b: a + b, (F.lit(float(w[n])) * c for n, c in zip(names, cols, strict=True)))
     keep = [c for c in df.columns if not c.startswith(("_d_", "_min_", "_max_"))]
-    return df.withColumn("_distance", F.round(total, 6)).select(*keep, "_distance").orderBy("_distance", id_col).limit(k)
+    return df.withColumn("_distance", total).select(*keep, "_distance").orderBy("_distance", id_col).limit(k)
 
 
 def explore(collections: dict[str, tuple[DataFrame, str, str]], query, k: int, metric: str = "cosine", offset: int = 0) -> DataFrame:
@@ -99,12 +160,14 @@ def late_interaction(df: DataFrame, vecs: str, query: list[list[float]], k: int,
     """Documents of many vectors: for each query vector the nearest of the document's, summed."""
     per = [nearest_in(F.col(vecs), q, metric) for q in query]
     total = reduce(lambda a, b: a + b, per)
-    return df.withColumn("_distance", F.round(total, 6)).where("_distance is not null").orderBy("_distance", id_col).limit(k)
+    return df.withColumn("_distance", total).where("_distance is not null").orderBy("_distance", id_col).limit(k)
 
 
 def nearest_in(vecs: Column, query: list[float], metric: str) -> Column:
     return F.array_min(F.transform(vecs, lambda v: D.METRICS[metric](v, D.vector(query))))
 
 
-def skip_index(*_args, **_kwargs):
-    raise ValueError("vectors of this collection are stored but not indexed (skip)")
+def check_indexed(kind: str) -> None:
+    """A vector whose index is "skip" is stored but not searched."""
+    if kind == "skip":
+        raise ValueError("vectors of this collection are stored but not indexed (skip)")

@@ -81,9 +81,10 @@ def _(spark, sf):
     return agg.aggregate(read(spark, sf, "nation"), {"n_regionkey": "reference"}).select(F.array_join(F.transform("n_regionkey_pointing_to", lambda x: x.cast("string")), ",").alias("pointing_to"))
 
 
-@query("q_a12_types")
+@query("q_a12_types", "SELECT o_orderpriority AS _group, count(*) AS meta_count, 'int' AS o_custkey_type, 'text' AS o_orderstatus_type, 'number' AS o_totalprice_type, 'date' AS o_orderdate_type, 'int[]' AS keys_type FROM orders GROUP BY 1")
 def _(spark, sf):
-    return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in read(spark, sf, "orders").schema], "name string, type string")
+    o = read(spark, sf, "orders").withColumn("keys", F.array("o_custkey", "o_orderkey"))
+    return agg.aggregate(o, dict.fromkeys(("o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "keys"), "type"), "o_orderpriority")
 
 
 @query("q_a13_group_by", f"SELECT o_orderpriority AS _group, count(*) AS meta_count, {NUM.format(c='o_totalprice', p='o_totalprice')}, median(o_totalprice) AS o_totalprice_median FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100")
@@ -110,7 +111,7 @@ def _(spark, sf):
     return Searchable(read(spark, sf, "embeddings"), "vec_id", "embedding").aggregate(group_by="label", near_vector=vector(), object_limit=50)
 
 
-@query("q_a17_not_aggregatable")
+@query("q_a17_not_aggregatable", "SELECT 'geo can''t be aggregated' AS error")
 def _(spark, sf):
     try:
         agg.aggregate(read(spark, sf, "nation").withColumn("geo", F.struct("n_nationkey")), {"geo": "numeric"})

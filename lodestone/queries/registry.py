@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,7 +40,24 @@ def dot_sql(a: str, b: str) -> str:
 
 
 def cosine_sql(a: str, b: str) -> str:
-    return f"round(greatest(0, 1 - {dot_sql(a, b)} / (sqrt({dot_sql(a, a)}) * sqrt({dot_sql(b, b)}))), 6)"
+    return f"greatest(0, 1 - {dot_sql(a, b)} / (sqrt({dot_sql(a, a)}) * sqrt({dot_sql(b, b)})))"
+
+
+def shown_sql(sql: str, *names: str) -> str:
+    """A query's rows with some columns rounded, after whatever ranked them."""
+    return f"SELECT * REPLACE ({', '.join(f'round({n}, 6) AS {n}' for n in names)}) FROM ({sql})"
+
+
+def shown(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+def shared(spark: SparkSession) -> str:
+    """A new folder that driver and executors share. Only a session on one machine may do without spark.checkpoint.dir."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{root or 'file:///tmp/lodestone-shared'}/lodestone/{uuid.uuid4().hex}"
 
 
 EMB = "(SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
@@ -53,3 +72,31 @@ def words_sql(c: str = "text") -> str:
 
 def blanks_sql(c: str = "text") -> str:
     return BLANKS.format(c=c)
+
+
+def letters_sql(text: str) -> str:
+    return f"regexp_replace(lower({text}), '[^a-z]+', '', 'g')"
+
+
+def mod26_sql(text: str) -> str:
+    """The 26 shares of letter pairs by their sum modulo 26, as a list."""
+    s = letters_sql(text)
+    codes = f"list_transform(range(1, length({s})), lambda i: (ascii(substr({s}, i, 1)) + ascii(substr({s}, i + 1, 1)) - 194) % 26)"
+    return f"(SELECT list_transform(range(26), lambda k: len(list_filter(w.c, lambda x: x = k)) / greatest(len(w.c), 1)::DOUBLE) FROM (SELECT {codes} AS c) w)"
+
+
+def concept_sql(concepts: list[str], towards: tuple[list[str], float] | None = None, away: tuple[list[str], float] | None = None) -> str:
+    """The mean vector of concepts, moved as near_text moves it."""
+
+    def mean(words: list[str]) -> str:
+        vectors = ", ".join(f"{mod26_sql(quote(w))} AS v{i}" for i, w in enumerate(words))
+        total = " + ".join(f"n.v{i}[j]" for i in range(len(words)))
+        return f"(SELECT list_transform(range(1, 27), lambda j: ({total}) / {len(words)}) FROM (SELECT {vectors}) n)"
+
+    quote = lambda w: f"'{w}'"
+    out = mean(concepts)
+    if towards:
+        out = f"(SELECT list_transform(range(1, 27), lambda j: m.s[j] * {1 - towards[1] / 2}::DOUBLE + m.t[j] * {towards[1] / 2}::DOUBLE) FROM (SELECT {out} AS s, {mean(towards[0])} AS t) m)"
+    if away:
+        out = f"(SELECT list_transform(range(1, 27), lambda j: m.s[j] + {away[1] / 2}::DOUBLE * (m.s[j] - m.t[j])) FROM (SELECT {out} AS s, {mean(away[0])} AS t) m)"
+    return out

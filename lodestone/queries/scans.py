@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import mutate, refs
 from lodestone.plans.query import Searchable
 from lodestone.queries.registry import cosine_sql, query, read, vector, vector_sql
-from lodestone.sources.collection import Catalog, Collection, Property, after, infer_properties, sort, validate
+from lodestone.sources.collection import Catalog, Collection, Property, after, inferred, sort, validated
 
 DOC = "doc_id, lang, source, n_chars"
 
@@ -71,6 +71,13 @@ def _(spark, sf):
     return mutate.put(c, new, "c_custkey")
 
 
+@query("q_s8_put_unchanged", "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN c_name || ' v2' ELSE c_name END AS c_name, CASE WHEN c_custkey % 10 = 0 THEN 2 ELSE 1 END AS updated FROM customer")
+def _(spark, sf):
+    c = read(spark, sf, "customer").select("c_custkey", "c_name", F.lit(1).alias("updated"))
+    again = c.select("c_custkey", F.when(F.col("c_custkey") % 10 == 0, F.concat("c_name", F.lit(" v2"))).otherwise(F.col("c_name")).alias("c_name"), F.lit(2).alias("updated"))
+    return mutate.put(c, again, "c_custkey", updated="updated")
+
+
 @query("q_s9_batch_put", "WITH b AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) SELECT user_id, event_id, value FROM b WHERE r = 1")
 def _(spark, sf):
     return mutate.last_of_each(read(spark, sf, "events").select("user_id", "event_id", "value"), "user_id", "event_id")
@@ -128,17 +135,22 @@ def _(spark, sf):
     return mutate.add_references(c, edges, "c_custkey", "refs")
 
 
-@query("q_s16_validate")
+def objects(spark, sf):
+    """Events as JSON objects, some with values of the wrong kind."""
+    count, when = F.when(F.col("event_id") % 2 == 0, F.col("user_id").cast("string")), F.when(F.col("event_id") % 5 == 0, "soon").otherwise("2024-01-02T03:04:05Z")
+    fields = {"name": F.col("event_type"), "size": F.col("value"), "count": count, "n": F.col("user_id"), "when": when, "at": F.struct(F.lit(1.5).alias("latitude"), F.lit(2).alias("longitude")), "tags": F.array(F.col("event_type"), F.lit("x"))}
+    return read(spark, sf, "events").select("event_id", F.to_json(F.struct(*(c.alias(n) for n, c in fields.items()))).alias("object"))
+
+
+@query("q_s16_validate", "SELECT event_id, concat_ws('; ', 'no such property: n', CASE WHEN event_id % 2 = 0 THEN 'count: text where int is declared' END, CASE WHEN event_id % 5 = 0 THEN 'when: text where date is declared' END) AS errors FROM events")
 def _(spark, sf):
-    c = Collection("C", [Property("name", "text"), Property("size", "int"), Property("at", "geoCoordinates")])
-    rows = [{"name": "a", "size": 1}, {"name": 5}, {"other": 1}, {"at": {"latitude": 1.0, "longitude": 2.0}, "size": None}]
-    return spark.createDataFrame([(i, "; ".join(validate(r, c))) for i, r in enumerate(rows)], "row int, errors string")
+    c = Collection("C", [Property("name", "text"), Property("size", "number"), Property("count", "int"), Property("when", "date"), Property("at", "geoCoordinates"), Property("tags", "text[]")])
+    return validated(objects(spark, sf), "object", c).select("event_id", F.array_join("_errors", "; ").alias("errors"))
 
 
-@query("q_s17_auto_schema")
+@query("q_s17_auto_schema", "SELECT * FROM (VALUES ('at', 'geoCoordinates'), ('count', 'text'), ('n', 'int'), ('name', 'text'), ('size', 'number'), ('tags', 'text[]'), ('when', 'text')) AS t(name, data_type)")
 def _(spark, sf):
-    row = {"title": "x", "when": "2024-01-02T03:04:05Z", "n": 1.5, "ok": True, "ids": ["6f3ee4b2-8f6c-4d8c-9f7f-0e4e6a2c1b11"], "geo": {"latitude": 1.0, "longitude": 2.0}, "obj": {"a": "b"}, "none": []}
-    return spark.createDataFrame([(p.name, p.data_type) for p in infer_properties(row)], "name string, data_type string")
+    return inferred(objects(spark, sf), "object")
 
 
 @query("q_s19_tenants", "SELECT doc_id, lang FROM documents WHERE source = 'src3'")
@@ -150,12 +162,13 @@ def _(spark, sf):
     return cat.read("Doc", "src3").select("doc_id", "lang")
 
 
-@query("q_s20_ddl")
+@query("q_s20_ddl", "SELECT r_regionkey, r_name, 0 AS n_sizes, 'bigint' AS kind FROM region")
 def _(spark, sf):
     cat = Catalog(spark)
-    cat.create(c := Collection("A", [Property("t", "text")]))
-    c.add(Property("n", "int[]"))
-    return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in c.schema()], "name string, type string")
+    cat.create(Collection("Region", [Property("r_regionkey", "int"), Property("r_name", "text")]), read(spark, sf, "region"))
+    cat.add_property("Region", Property("sizes", "int[]"))
+    kind = cat.collections["Region"].schema()["sizes"].dataType.elementType.simpleString()
+    return cat.read("Region").select("r_regionkey", "r_name", F.coalesce(F.size("sizes"), F.lit(0)).alias("n_sizes"), F.lit(kind).alias("kind"))
 
 
 @query("q_s22_replicas", "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN c_name || ' v2' ELSE c_name END AS c_name, CASE WHEN c_custkey % 10 = 0 THEN 2 ELSE 1 END AS version FROM customer WHERE c_custkey % 4 <> 0")
@@ -174,7 +187,7 @@ def _(spark, sf):
     return cat.read("Country").select("n_nationkey", "n_name")
 
 
-@query("q_s26_shards")
+@query("q_s26_shards", "SELECT CAST('0x' || substr(md5(CAST(c_custkey AS VARCHAR)), 1, 8) AS BIGINT) % 4 AS shard, count(*) AS objects FROM customer GROUP BY 1")
 def _(spark, sf):
     return mutate.shards(read(spark, sf, "customer"), "c_custkey", 4)
 
@@ -190,6 +203,23 @@ def _(spark, sf):
     return e.select("event_id", F.col("p.k").alias("k"))
 
 
+@query("q_p2_nested_select", "SELECT c_custkey, c_name AS name, c_nationkey AS nation, [c_nationkey, c_nationkey + 1] AS keys FROM customer WHERE c_nationkey > 20")
+def _(spark, sf):
+    from lodestone.operators.filters import prop
+
+    place = F.struct("c_nationkey", F.struct(F.col("c_name").alias("name"), "c_acctbal").alias("who"), F.array(*(F.struct((F.col("c_nationkey") + i).alias("k"), F.lit("x").alias("more")) for i in (0, 1))).alias("list"))
+    d = read(spark, sf, "customer").select("c_custkey", place.alias("place"))
+    out = Searchable(d, "c_custkey").query(prop("place.c_nationkey") > 20, limit=10_000, select=["place.c_nationkey", "place.who.name", "place.list.k"])
+    return out.select("c_custkey", F.col("place.who.name").alias("name"), F.col("place.c_nationkey").alias("nation"), F.col("place.list.k").alias("keys"))
+
+
+@query("q_p4_metadata", f"SELECT vec_id, CAST(vec_id AS VARCHAR) AS id, round(_distance, 6) AS distance, round(1 - _distance / 2, 6) AS certainty, CAST(2000 + label AS BIGINT) AS created, CAST(64 AS INTEGER) AS dims FROM (SELECT vec_id, label, {cosine_sql('CAST(embedding AS DOUBLE[])', vector_sql())} AS _distance FROM embeddings ORDER BY 3, 1 LIMIT 12)")
+def _(spark, sf):
+    d = read(spark, sf, "embeddings").withColumn("_creationTime", (F.col("label") + 2000).cast("long"))
+    out = Searchable(d, "vec_id", "embedding").query(near_vector=vector(), limit=12, select=[], metadata=["id", "distance", "certainty", "creation_time", "vector"])
+    return out.select("vec_id", F.col("_meta_id").alias("id"), F.round("_meta_distance", 6).alias("distance"), F.round("_meta_certainty", 6).alias("certainty"), F.col("_meta_creation_time").alias("created"), F.size("_meta_vector").alias("dims"))
+
+
 @query("q_p3_reference", "SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
 def _(spark, sf):
     n = refs.resolve(read(spark, sf, "nation"), "n_regionkey", read(spark, sf, "region"), "r_regionkey", ["r_name"], "region")
@@ -213,9 +243,9 @@ def _(spark, sf):
     return refs.resolve_many(line, "ref", targets, ["name"], "o").select("l_orderkey", "l_linenumber", F.col("o.name").alias("name"))
 
 
-@query("q_j3_no_reference", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("q_j3_no_reference", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
 def _(spark, sf):
-    return read(spark, sf, "customer").join(read(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return read(spark, sf, "customer").join(read(spark, sf, "orders").where("o_totalprice > 450000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("q_o1_sort", "SELECT p_partkey, p_brand, p_size FROM part ORDER BY lower(p_brand), p_size DESC, p_partkey LIMIT 200")
@@ -229,10 +259,17 @@ def _(spark, sf):
     return sort(d, [("k", "asc")], "doc_id", 300)
 
 
-@query("q_o7_sort_after_search", f"WITH h AS (SELECT vec_id, label, {cosine_sql('CAST(embedding AS DOUBLE[])', vector_sql())} AS _distance FROM embeddings ORDER BY 3, 1 LIMIT 20) SELECT * FROM h")
+@query("q_o2_sort_arrays", "SELECT p_partkey, p_size FROM (SELECT p_partkey, p_size, [lower(p_brand), lower(p_type)] AS k FROM part) ORDER BY k DESC, p_partkey LIMIT 100")
+def _(spark, sf):
+    mixed = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_brand"))
+    p = read(spark, sf, "part").select("p_partkey", "p_size", F.array(mixed, "p_type").alias("k"))
+    return sort(p, [("k", "desc")], "p_partkey", 100).drop("k")
+
+
+@query("q_o7_sort_after_search", f"WITH h AS (SELECT vec_id, label, {cosine_sql('CAST(embedding AS DOUBLE[])', vector_sql())} AS _distance FROM embeddings ORDER BY 3, 1 LIMIT 20) SELECT vec_id, label, round(_distance, 6) AS _distance FROM h")
 def _(spark, sf):
     s = Searchable(read(spark, sf, "embeddings"), "vec_id", "embedding")
-    return s.query(near_vector=vector(), limit=20, sort_by=[("label", "desc")], select=["label"])
+    return s.query(near_vector=vector(), limit=20, sort_by=[("label", "desc")], select=["label"]).withColumn("_distance", F.round("_distance", 6))
 
 
 @query("q_o8_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")

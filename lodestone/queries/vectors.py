@@ -8,7 +8,7 @@ from lodestone.functions import distance as D
 from lodestone.operators import ann, quantize, vector
 from lodestone.operators.filters import prop
 from lodestone.plans.query import Searchable
-from lodestone.queries.registry import EMB, cosine_sql, dot_sql, query, read
+from lodestone.queries.registry import EMB, cosine_sql, dot_sql, query, read, shared, shown, shown_sql
 from lodestone.queries.registry import vector as qv
 from lodestone.queries.registry import vector_sql as qs
 
@@ -22,15 +22,15 @@ def emb(spark, sf):
 
 def _metric(name: str, metric: str, sql: str) -> None:
     def run(spark, sf):
-        return vector.with_distance(emb(spark, sf), "embedding", qv(), metric).select("vec_id", "_distance")
+        return shown(vector.with_distance(emb(spark, sf), "embedding", qv(), metric).select("vec_id", "_distance"), "_distance")
 
-    query(name, f"SELECT vec_id, {sql} AS _distance FROM {EMB}")(run)
+    query(name, f"SELECT vec_id, round({sql}, 6) AS _distance FROM {EMB}")(run)
 
 
 _metric("q_v1_cosine", "cosine", cosine_sql("e", qs()))
-_metric("q_v2_dot", "dot", f"round(-{dot_sql('e', qs())}, 6)")
-_metric("q_v3_l2", "l2-squared", f"round({L2.format(a='e', b=qs())}, 6)")
-_metric("q_v4_manhattan", "manhattan", f"round({L1.format(a='e', b=qs())}, 6)")
+_metric("q_v2_dot", "dot", f"-{dot_sql('e', qs())}")
+_metric("q_v3_l2", "l2-squared", L2.format(a='e', b=qs()))
+_metric("q_v4_manhattan", "manhattan", L1.format(a='e', b=qs()))
 
 
 @query("q_v5_hamming", "SELECT vec_id, CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (embedding[i] < 0) = (i % 2 = 0) THEN 0 ELSE 1 END)) AS DOUBLE) AS _distance FROM embeddings")
@@ -50,7 +50,7 @@ def _(spark, sf):
     return emb(spark, sf).select("vec_id", F.round(D.normalized_distance(F.col("embedding"), D.vector(qv())), 6).alias("d"))
 
 
-@query("q_v8_batches", f"SELECT vec_id, {cosine_sql('e', qs())} AS d FROM {EMB}")
+@query("q_v8_batches", f"SELECT vec_id, round({cosine_sql('e', qs())}, 6) AS d FROM {EMB}")
 def _(spark, sf):
     return D.cosine_batches(emb(spark, sf).select("vec_id", "embedding"), "embedding", qv()).select("vec_id", F.round("_distance", 6).alias("d"))
 
@@ -58,43 +58,43 @@ def _(spark, sf):
 KNN = f"SELECT vec_id, label, {cosine_sql('e', qs())} AS _distance FROM {EMB}"
 
 
-@query("q_v9_knn", f"{KNN} WHERE label >= 3 ORDER BY 3, 1 LIMIT 10")
+@query("q_v9_knn", shown_sql(f"{KNN} WHERE label >= 3 ORDER BY 3, 1 LIMIT 10", "_distance"))
 def _(spark, sf):
-    return Searchable(emb(spark, sf), "vec_id", "embedding").query(prop("label") >= 3, near_vector=qv(), limit=10, select=["label"])
+    return shown(Searchable(emb(spark, sf), "vec_id", "embedding").query(prop("label") >= 3, near_vector=qv(), limit=10, select=["label"]), "_distance")
 
 
-@query("q_v10_within", f"SELECT * FROM ({KNN}) WHERE _distance <= 0.9")
+@query("q_v10_within", shown_sql(f"SELECT * FROM ({KNN}) WHERE _distance <= 0.9", "_distance"))
 def _(spark, sf):
-    return vector.within(emb(spark, sf), "embedding", qv(), 0.9, "vec_id").select("vec_id", "label", "_distance")
+    return shown(vector.within(emb(spark, sf), "embedding", qv(), 0.9, "vec_id").select("vec_id", "label", "_distance"), "_distance")
 
 
-@query("q_v11_certainty", f"SELECT vec_id, _distance, round(1 - _distance / 2, 6) AS certainty FROM ({KNN} ORDER BY 3, 1 LIMIT 50) WHERE 1 - _distance / 2 >= 0.58")
+@query("q_v11_certainty", f"SELECT vec_id, round(_distance, 6) AS _distance, round(1 - _distance / 2, 6) AS certainty FROM ({KNN} ORDER BY 3, 1 LIMIT 50) WHERE 1 - _distance / 2 >= 0.58")
 def _(spark, sf):
     hits = vector.keep_certain(vector.knn(emb(spark, sf), "embedding", qv(), 50, "vec_id"), certainty=0.58)
-    return hits.select("vec_id", "_distance", F.round(D.certainty(F.col("_distance")), 6).alias("certainty"))
+    return hits.select("vec_id", F.round("_distance", 6).alias("_distance"), F.round(D.certainty(F.col("_distance")), 6).alias("certainty"))
 
 
-@query("q_v12_near_object", f"SELECT a.vec_id, {cosine_sql('a.e', 'b.e')} AS _distance FROM {EMB} a, {EMB} b WHERE b.vec_id = 7 ORDER BY 2, 1 LIMIT 10")
+@query("q_v12_near_object", shown_sql(f"SELECT a.vec_id, {cosine_sql('a.e', 'b.e')} AS _distance FROM {EMB} a, {EMB} b WHERE b.vec_id = 7 ORDER BY 2, 1 LIMIT 10", "_distance"))
 def _(spark, sf):
-    return vector.near_object(emb(spark, sf), "embedding", 7, 10, "vec_id").select("vec_id", "_distance")
+    return shown(vector.near_object(emb(spark, sf), "embedding", 7, 10, "vec_id").select("vec_id", "_distance"), "_distance")
 
 
 MOVED = f"list_transform(range(1, 65), lambda i: {qs()}[i] * 0.75 + {qs(3)}[i] * 0.25)"
 
 
-@query("q_v14_move_to", f"SELECT vec_id, {cosine_sql('e', 'm.q')} AS _distance FROM {EMB}, (SELECT {MOVED} AS q) m ORDER BY 2, 1 LIMIT 10")
+@query("q_v14_move_to", shown_sql(f"SELECT vec_id, {cosine_sql('e', 'm.q')} AS _distance FROM {EMB}, (SELECT {MOVED} AS q) m ORDER BY 2, 1 LIMIT 10", "_distance"))
 def _(spark, sf):
     q = vector.move(D.vector(qv()), (D.vector(qv(3)), 0.5))
-    return vector.knn(emb(spark, sf), "embedding", q, 10, "vec_id").select("vec_id", "_distance")
+    return shown(vector.knn(emb(spark, sf), "embedding", q, 10, "vec_id").select("vec_id", "_distance"), "_distance")
 
 
 AWAY = f"list_transform(range(1, 65), lambda i: {qs()}[i] + 0.25 * ({qs()}[i] - {qs(5)}[i]))"
 
 
-@query("q_v15_move_away", f"SELECT vec_id, {cosine_sql('e', 'm.q')} AS _distance FROM {EMB}, (SELECT {AWAY} AS q) m ORDER BY 2, 1 LIMIT 10")
+@query("q_v15_move_away", shown_sql(f"SELECT vec_id, {cosine_sql('e', 'm.q')} AS _distance FROM {EMB}, (SELECT {AWAY} AS q) m ORDER BY 2, 1 LIMIT 10", "_distance"))
 def _(spark, sf):
     q = vector.move(D.vector(qv()), away=(D.vector(qv(5)), 0.5))
-    return vector.knn(emb(spark, sf), "embedding", q, 10, "vec_id").select("vec_id", "_distance")
+    return shown(vector.knn(emb(spark, sf), "embedding", q, 10, "vec_id").select("vec_id", "_distance"), "_distance")
 
 
 @query("q_v16_centroid", "SELECT label, pos, round(avg(x), 6) AS mean FROM (SELECT label, unnest(range(64)) AS pos, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY label, pos")
@@ -113,9 +113,9 @@ def _targets(spark, sf):
 def _multi(name: str, combine: str, sql: str, weights=None) -> None:
     def run(spark, sf):
         d, t = _targets(spark, sf)
-        return vector.multi_target(d, t, 10, "vec_id", combine, weights).select("vec_id", "_distance")
+        return shown(vector.multi_target(d, t, 10, "vec_id", combine, weights).select("vec_id", "_distance"), "_distance")
 
-    query(name, f"SELECT vec_id, round({sql}, 6) AS _distance FROM ({TWO}) ORDER BY 2, 1 LIMIT 10")(run)
+    query(name, shown_sql(f"SELECT vec_id, {sql} AS _distance FROM ({TWO}) ORDER BY 2, 1 LIMIT 10", "_distance"))(run)
 
 
 _multi("q_v18_sum", "sum", "a + b")
@@ -125,37 +125,67 @@ _multi("q_v18_manual", "manual", "0.7::DOUBLE * a + 0.3::DOUBLE * b", {"a": 0.7,
 _multi("q_v18_relative", "relative", "0.7::DOUBLE * (a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) + 0.3::DOUBLE * (b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ())", {"a": 0.7, "b": 0.3})
 
 
-@query("q_v19_missing_target", f"SELECT vec_id, round(a + b, 6) AS _distance FROM ({TWO}) WHERE vec_id % 3 <> 0 ORDER BY 2, 1 LIMIT 10")
+@query("q_v19_missing_target", shown_sql(f"SELECT vec_id, a + b AS _distance FROM ({TWO}) WHERE vec_id % 3 <> 0 ORDER BY 2, 1 LIMIT 10", "_distance"))
 def _(spark, sf):
     d, t = _targets(spark, sf)
-    return vector.multi_target(d.withColumn("back", F.when(F.col("vec_id") % 3 != 0, F.col("back"))), t, 10, "vec_id", "sum").select("vec_id", "_distance")
+    return shown(vector.multi_target(d.withColumn("back", F.when(F.col("vec_id") % 3 != 0, F.col("back"))), t, 10, "vec_id", "sum").select("vec_id", "_distance"), "_distance")
 
 
-@query("q_v20_explore", f"SELECT class, id, _distance FROM (SELECT 'Even' AS class, CAST(vec_id AS VARCHAR) AS id, {cosine_sql('e', qs())} AS _distance FROM {EMB} WHERE vec_id % 2 = 0 UNION ALL SELECT 'Odd', CAST(vec_id AS VARCHAR), {cosine_sql('e', qs())} FROM {EMB} WHERE vec_id % 2 = 1) ORDER BY 3, 1, 2 LIMIT 12 OFFSET 3")
+@query("q_v20_explore", shown_sql(f"SELECT class, id, _distance FROM (SELECT 'Even' AS class, CAST(vec_id AS VARCHAR) AS id, {cosine_sql('e', qs())} AS _distance FROM {EMB} WHERE vec_id % 2 = 0 UNION ALL SELECT 'Odd', CAST(vec_id AS VARCHAR), {cosine_sql('e', qs())} FROM {EMB} WHERE vec_id % 2 = 1) ORDER BY 3, 1, 2 LIMIT 12 OFFSET 3", "_distance"))
 def _(spark, sf):
     d = emb(spark, sf)
-    return vector.explore({"Even": (d.where("vec_id % 2 = 0"), "embedding", "vec_id"), "Odd": (d.where("vec_id % 2 = 1"), "embedding", "vec_id")}, qv(), 12, offset=3)
+    return shown(vector.explore({"Even": (d.where("vec_id % 2 = 0"), "embedding", "vec_id"), "Odd": (d.where("vec_id % 2 = 1"), "embedding", "vec_id")}, qv(), 12, offset=3), "_distance")
 
 
-@query("q_v21_ivf")
+def nearest_sql(q: str, k: int = 10) -> str:
+    return shown_sql(f"SELECT vec_id, {cosine_sql('e', q)} AS _distance FROM {EMB} ORDER BY 2, 1 LIMIT {k}", "_distance")
+
+
+def kept_index(spark, sf, lists: int, replicas: int) -> ann.InvertedFile:
+    """An index that is built, written, and read back by its lists."""
+    return ann.build(emb(spark, sf).select("vec_id", "embedding"), "embedding", "vec_id", lists=lists, replicas=replicas).write(shared(spark))
+
+
+@query("q_v21_ivf", nearest_sql(qs()))
+def _(spark, sf):
+    return shown(kept_index(spark, sf, 16, 3).search(qv(), 10, probes=10).select("vec_id", "_distance"), "_distance")
+
+
+def recall(found, exact):
+    """(n, good): queries' exact hits, and whether at least nine in ten were found."""
+    keys = ["query_id", "base_id"]
+    hit = exact.select(keys).join(found.select(*keys, F.lit(1).alias("hit")), keys, "left")
+    return hit.agg(F.count(F.lit(1)).alias("n"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("good"))
+
+
+@query("q_v21_many", "SELECT 10 * count(*) AS n, true AS good FROM embeddings WHERE vec_id % 50 = 0")
+def _(spark, sf):
+    e = emb(spark, sf)
+    q = e.where("vec_id % 50 = 0")
+    found = kept_index(spark, sf, 16, 3).search_many(q, "vec_id", "embedding", 10, probes=8)
+    return recall(found, vector.nearest_of_each(q, e, 10, "vec_id", "vec_id", "embedding", "embedding"))
+
+
+@query("q_v24_dynamic", nearest_sql(qs()))
 def _(spark, sf):
-    return ann.build(emb(spark, sf).select("vec_id", "embedding"), "embedding", "vec_id", lists=16, replicas=3).search(qv(), 10, probes=10).select("vec_id", "_distance")
+    return shown(ann.dynamic(emb(spark, sf).select("vec_id", "embedding"), "embedding", "vec_id", qv(), 10).select("vec_id", "_distance"), "_distance")
 
 
-@query("q_v24_dynamic")
+@query("q_v24_dynamic_beyond", nearest_sql(qs()))
 def _(spark, sf):
-    return ann.dynamic(emb(spark, sf).select("vec_id", "embedding"), "embedding", "vec_id", qv(), 10).select("vec_id", "_distance")
+    found = ann.dynamic(emb(spark, sf).select("vec_id", "embedding"), "embedding", "vec_id", qv(), 10, flat_until=100, probes=12, lists=16, replicas=3)
+    return shown(found.select("vec_id", "_distance"), "_distance")
 
 
-@query("q_v25_probed")
+@query("q_v25_probed", nearest_sql(qs(3)))
 def _(spark, sf):
-    return ann.build(emb(spark, sf).select("vec_id", "embedding"), "embedding", "vec_id", lists=24, replicas=4).search(qv(3), 10, probes=16).select("vec_id", "_distance")
+    return shown(kept_index(spark, sf, 24, 4).search(qv(3), 10, probes=16).select("vec_id", "_distance"), "_distance")
 
 
-@query("q_v26_skip")
+@query("q_v26_skip", "SELECT 'vectors of this collection are stored but not indexed (skip)' AS error")
 def _(spark, sf):
     try:
-        vector.skip_index()
+        Searchable(emb(spark, sf), "vec_id", "embedding", index="skip").query(near_vector=qv(), limit=10)
         said = "none"
     except ValueError as e:
         said = str(e)
@@ -165,16 +195,19 @@ def _(spark, sf):
 PARTS = "list_transform(range(0, 4), lambda k: e[k * 16 + 1 : k * 16 + 16])"
 
 
-@query("q_v27_late_interaction", f"WITH t AS (SELECT vec_id, unnest({PARTS}) AS tok FROM {EMB}), q AS (SELECT 1 AS n, {qs()}[1:16] AS v UNION ALL SELECT 2, {qs(3)}[1:16]) SELECT vec_id, round(sum(d), 6) AS _distance FROM (SELECT vec_id, n, min(-list_dot_product(tok, v)) AS d FROM t, q GROUP BY vec_id, n) GROUP BY vec_id ORDER BY 2, 1 LIMIT 10")
+LATE = f"WITH t AS (SELECT vec_id, unnest({PARTS}) AS tok FROM {EMB}), q AS (SELECT 1 AS n, {qs()}[1:16] AS v UNION ALL SELECT 2, {qs(3)}[1:16]) SELECT vec_id, sum(d) AS _distance FROM (SELECT vec_id, n, min(-list_dot_product(tok, v)) AS d FROM t, q GROUP BY vec_id, n) GROUP BY vec_id ORDER BY 2, 1 LIMIT 10"
+
+
+@query("q_v27_late_interaction", shown_sql(LATE, "_distance"))
 def _(spark, sf):
     d = emb(spark, sf).select("vec_id", F.array(*(F.slice("embedding", k * 16 + 1, 16) for k in range(4))).alias("tokens"))
-    return vector.late_interaction(d, "tokens", [qv()[:16], qv(3)[:16]], 10, "vec_id").select("vec_id", "_distance")
+    return shown(vector.late_interaction(d, "tokens", [qv()[:16], qv(3)[:16]], 10, "vec_id").select("vec_id", "_distance"), "_distance")
 
 
-@query("q_v28_muvera")
+@query("q_v28_muvera", shown_sql(LATE, "_distance"))
 def _(spark, sf):
     d = emb(spark, sf).select("vec_id", F.array(*(F.slice("embedding", k * 16 + 1, 16) for k in range(4))).alias("tokens"))
-    return quantize.muvera(d, "tokens", 16, projected=4, repetitions=4).select("vec_id", F.size("_muvera").alias("dims"))
+    return shown(quantize.muvera_search(d, "tokens", [qv()[:16], qv(3)[:16]], 10, "vec_id", rescore=350).select("vec_id", "_distance"), "_distance")
 
 
 @query("q_v29_scalar_codes", "WITH r AS (SELECT min(x) AS b, max(x) - min(x) AS a FROM (SELECT unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings)) SELECT vec_id, CAST(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: least(greatest(floor((x - r.b) * 255 / r.a), 0), 255))) AS BIGINT) AS code_sum FROM embeddings, r")
@@ -189,42 +222,55 @@ def _(spark, sf):
     return d.join(F.broadcast(q), how="cross").select("vec_id", quantize.binary_distance(F.col("code"), F.col("q")).cast("long").alias("d"))
 
 
-@query("q_v31_product_codes")
+@query("q_v31_product_codes", nearest_sql(qs()))
 def _(spark, sf):
     d = emb(spark, sf).select("vec_id", "embedding")
     books = quantize.product_quantizer(d, "embedding", 8, 16)
     coded = quantize.product_codes(d, "embedding", books)
-    return quantize.rescored(coded, quantize.product_distance("_pq", books, qv()), "embedding", qv(), 10, 200, "vec_id").select("vec_id", "_distance")
+    return shown(quantize.rescored(coded, quantize.product_distance("_pq", books, qv()), "embedding", qv(), 10, 500, "vec_id").select("vec_id", "_distance"), "_distance")
+
+
+@query("q_v32_rotational_codes", nearest_sql(qs()))
+def _(spark, sf):
+    coded = quantize.rotational_codes(emb(spark, sf).select("vec_id", "embedding"), "embedding")
+    return shown(quantize.rescored(coded, quantize.rotational_distance(qv()), "embedding", qv(), 10, quantize.RESCORE["rq"], "vec_id").select("vec_id", "_distance"), "_distance")
 
 
-@query("q_v32_rotational_codes")
+@query("q_v32_one_bit", nearest_sql(qs()))
 def _(spark, sf):
-    coded = quantize.rotational_codes(emb(spark, sf).select("vec_id", "embedding"), "embedding", 64)
-    return quantize.rescored(coded, quantize.rotational_distance(qv(), 64), "embedding", qv(), 10, quantize.RESCORE["rq"], "vec_id").select("vec_id", "_distance")
+    coded = quantize.rotational_codes(emb(spark, sf).select("vec_id", "embedding"), "embedding", bits=1)
+    return shown(quantize.rescored(coded, quantize.rotational_distance(qv()), "embedding", qv(), 10, quantize.RESCORE["brq"], "vec_id").select("vec_id", "_distance"), "_distance")
 
 
-@query("q_v33_rescoring", f"WITH c AS (SELECT vec_id, label, e, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (e[i] < 0) <> ({qs()}[i] < 0) THEN 1 ELSE 0 END)) AS h FROM {EMB} ORDER BY h, vec_id LIMIT 60) SELECT vec_id, {cosine_sql('e', qs())} AS _distance FROM c ORDER BY 2, 1 LIMIT 10")
+@query("q_v33_rescoring", shown_sql(f"WITH c AS (SELECT vec_id, label, e, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (e[i] < 0) <> ({qs()}[i] < 0) THEN 1 ELSE 0 END)) AS h FROM {EMB} ORDER BY h, vec_id LIMIT 60) SELECT vec_id, {cosine_sql('e', qs())} AS _distance FROM c ORDER BY 2, 1 LIMIT 10", "_distance"))
 def _(spark, sf):
     d = emb(spark, sf).withColumn("code", quantize.binary_codes("embedding"))
     q = sum(1 << i for i, x in enumerate(qv()) if x < 0)
     q = q - (1 << 64) if q >= 1 << 63 else q
     coded = quantize.binary_distance(F.col("code"), F.array(F.lit(q).cast("long")))
-    return quantize.rescored(d, coded, "embedding", qv(), 10, 60, "vec_id").select("vec_id", "_distance")
+    return shown(quantize.rescored(d, coded, "embedding", qv(), 10, 60, "vec_id").select("vec_id", "_distance"), "_distance")
 
 
-@query("q_v34_kmeans")
-def _(spark, sf):
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def assigned_sql(centres: str) -> str:
+    """(vec_id, e, c): each vector's nearest of some centres (c, v)."""
+    return f"SELECT vec_id, any_value(e) AS e, arg_min(c, d) AS c FROM (SELECT x.vec_id, x.e, k.c, {L2.format(a='x.e', b='k.v')} AS d FROM {EMB} x, {centres} k) GROUP BY vec_id"
+
+
+def means_sql(assigned: str) -> str:
+    return f"SELECT c, list(m ORDER BY i) AS v FROM (SELECT c, i, avg(e[i]) AS m FROM {assigned}, (SELECT unnest(range(1, 65)) AS i) GROUP BY c, i) GROUP BY c"
 
-    x = emb(spark, sf).select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    return KMeans(k=10, seed=7, maxIter=10).fit(x).transform(x).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
+
+@query("q_v34_kmeans", f"WITH k0 AS (SELECT vec_id AS c, e AS v FROM {EMB} WHERE vec_id < 6), a0 AS ({assigned_sql('k0')}), k1 AS ({means_sql('a0')}), a1 AS ({assigned_sql('k1')}), k2 AS ({means_sql('a1')}) SELECT vec_id, CAST(c AS INTEGER) AS _cluster FROM ({assigned_sql('k2')})")
+def _(spark, sf):
+    e = emb(spark, sf).select("vec_id", "embedding")
+    start = [r.embedding for r in e.where("vec_id < 6").orderBy("vec_id").collect()]
+    return quantize.kmeans(e, "embedding", start, rounds=2)[0].select("vec_id", "_cluster")
 
 
 PAIRS = f"SELECT q.vec_id AS query_id, b.vec_id AS base_id, {cosine_sql('q.e', 'b.e')} AS _distance FROM {EMB} q, {EMB} b WHERE q.vec_id % 50 = 0"
 
 
-@query("q_j6_nearest_of_each", f"SELECT query_id, base_id, _distance, row_number() OVER (PARTITION BY query_id ORDER BY _distance, base_id) AS _rank FROM ({PAIRS}) QUALIFY _rank <= 3")
+@query("q_j6_nearest_of_each", shown_sql(f"SELECT query_id, base_id, _distance, row_number() OVER (PARTITION BY query_id ORDER BY _distance, base_id) AS _rank FROM ({PAIRS}) QUALIFY _rank <= 3", "_distance"))
 def _(spark, sf):
     d = emb(spark, sf)
-    return vector.nearest_of_each(d.where("vec_id % 50 = 0"), d, 3, "vec_id", "vec_id", "embedding", "embedding").select("query_id", "base_id", "_distance", F.col("_rank").cast("long").alias("_rank"))
+    return shown(vector.nearest_of_each(d.where("vec_id % 50 = 0"), d, 3, "vec_id", "vec_id", "embedding", "embedding").select("query_id", "base_id", "_distance", F.col("_rank").cast("long").alias("_rank")), "_distance")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,6 +94,61 @@ def validate(row: dict, collection: Collection) -> list[str]:
     return errors
 
 
+#: JSON kinds by the name of a variant's type, before a value's text is looked at.
+KINDS = {"BIGINT": "int", "DOUBLE": "number", "DECIMAL": "number", "STRING": "text", "BOOLEAN": "boolean", "OBJECT": "object", "VOID": "null"}
+
+
+def kind_of(value: Column) -> Column:
+    """The data type of a JSON value (a variant column) by the rules of ``infer``: "text", "int[]" and so on; null for null."""
+    name = F.schema_of_variant(value)
+    plain = lambda n: F.coalesce(*(F.when(n.startswith(k), F.lit(v)) for k, v in KINDS.items()))
+    s = F.try_variant_get(value, "$", "string")
+    fields = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
+    text = F.when(s.rlike(RFC3339.pattern), "date").when(s.rlike(UUID.pattern), "uuid").otherwise("text")
+    geo = (F.size(fields) == 2) & F.array_contains(fields, "latitude") & F.array_contains(fields, "longitude")
+    phone = F.array_contains(fields, "input") & (F.size(F.array_except(fields, F.array(*(F.lit(f.name) for f in PHONE)))) == 0)
+    some = F.when(geo, "geoCoordinates").when(phone, "phoneNumber").otherwise("object")
+    many = F.try_variant_get(value, "$", "array<variant>")
+    each = F.array_distinct(F.transform(F.try_variant_get(value, "$", "array<string>"), lambda x: F.when(x.rlike(RFC3339.pattern), "date").when(x.rlike(UUID.pattern), "uuid").otherwise("text")))
+    inner = F.regexp_extract(name, "^ARRAY<(.*)>$", 1)
+    listed = F.when(F.size(many) == 0, "text[]").when(inner.startswith("STRING"), F.when(F.size(each) == 1, F.concat(each[0], F.lit("[]"))).otherwise("text[]")).when(inner.startswith("VARIANT"), "mixed[]").otherwise(F.concat(plain(inner), F.lit("[]")))
+    return F.when(name.startswith("ARRAY"), listed).when(name.startswith("STRING"), text).when(name.startswith("OBJECT"), some).when(name != "VOID", plain(name))
+
+
+def validated(df: DataFrame, objects: str, collection: Collection) -> DataFrame:
+    """df with ``_errors``: what keeps the JSON object in a column from being stored, by the rules of ``validate``, as column expressions."""
+    value = F.try_parse_json(objects)
+    unknown = F.array_except(F.json_object_keys(objects), F.array(*(F.lit(p.name) for p in collection.properties)).cast("array<string>"))
+    errors = [F.transform(F.array_sort(unknown), lambda k: F.concat(F.lit("no such property: "), k))]
+    for p in collection.properties:
+        got, want = kind_of(F.try_variant_get(value, f"$.{p.name}", "variant")), p.data_type
+        fits = got == want
+        if want in ("number", "number[]"):
+            fits = fits | (got == want.replace("number", "int"))
+        if want in ("text", "text[]"):
+            fits = fits | got.isin(*(k + want[4:] for k in ("uuid", "date")))
+        if want.endswith("[]"):
+            fits = fits | (F.size(F.try_variant_get(value, f"$.{p.name}", "array<variant>")) == 0)
+        if want == "blob":
+            fits = fits | (got == "text")
+        errors.append(F.when(~fits, F.array(F.concat(F.lit(f"{p.name}: "), got, F.lit(f" where {want} is declared")))).otherwise(F.array().cast("array<string>")))
+    found = F.concat(*(F.coalesce(e, F.array().cast("array<string>")) for e in errors))
+    return df.withColumn("_errors", F.when(value.isNull(), F.array(F.lit("not a JSON object"))).otherwise(found))
+
+
+def inferred(df: DataFrame, objects: str) -> DataFrame:
+    """(name, data_type) of all properties that the JSON objects of a column have: one pass, one row for each name and kind moved.
+
+    Whole and other numbers together are numbers; texts, dates and ids together are texts; else kinds that differ are an error.
+    """
+    value = F.try_parse_json(objects)
+    each = df.select(F.explode(F.try_variant_get(value, "$", "map<string,variant>")).alias("name", "v")).select("name", kind_of(F.col("v")).alias("kind")).where("kind is not null")
+    kinds = each.groupBy("name").agg(F.array_sort(F.collect_set("kind")).alias("k"))
+    among = lambda *names: F.size(F.array_except("k", F.array(*map(F.lit, names)))) == 0
+    merged = F.when(F.size("k") == 1, F.col("k")[0]).when(among("int", "number"), "number").when(among("int[]", "number[]"), "number[]").when(among("text", "uuid", "date"), "text").when(among("text[]", "uuid[]", "date[]"), "text[]")
+    return kinds.select("name", F.coalesce(merged, F.concat(F.lit("conflict: "), F.array_join("k", ", "))).alias("data_type"))
+
+
 class Catalog:
     """Collections and aliases of one session; each collection's rows are a DataFrame."""
 
@@ -108,6 +163,12 @@ class Catalog:
         self.collections[c.name] = c
         self.rows[c.name] = rows if rows is not None else self.spark.createDataFrame([], c.schema())
 
+    def add_property(self, name: str, p: Property) -> None:
+        """Declare a further property; rows that are there have none."""
+        name = self.resolve(name)
+        self.collections[name].add(p)
+        self.rows[name] = self.rows[name].withColumn(p.name, F.lit(None).cast(p.spark_type()))
+
     def drop(self, name: str) -> None:
         self.collections.pop(name)
         self.rows.pop(name)
@@ -145,13 +206,16 @@ class Catalog:
 
         return reduce(lambda a, b: a.union(b), (self.rows[n].where(F.col(c) == object_id).select(F.lit(n).alias("class"), F.col(c).cast("string").alias("id")) for n, c in id_cols.items()))
 
-    def backup(self, path: str) -> None:
-        for n, df in self.rows.items():
-            df.write.mode("overwrite").parquet(f"{path}/{n}")
+    def backup(self, path: str, include: list[str] | None = None, exclude: list[str] = ()) -> list[str]:
+        """Write the rows of all collections, or of some, to a folder; gives their names."""
+        names = [n for n in (include or self.rows) if n not in exclude]
+        for n in names:
+            self.rows[self.resolve(n)].write.mode("overwrite").parquet(f"{path}/{self.resolve(n)}")
+        return names
 
-    def restore(self, path: str) -> None:
-        for n in self.collections:
-            self.rows[n] = self.spark.read.parquet(f"{path}/{n}")
+    def restore(self, path: str, include: list[str] | None = None) -> None:
+        for n in include or self.collections:
+            self.rows[self.resolve(n)] = self.spark.read.parquet(f"{path}/{self.resolve(n)}")
 
 
 def after(df: DataFrame, id_col: str, last, n: int) -> DataFrame:
@@ -168,7 +232,9 @@ def sort(df: DataFrame, keys: list[tuple[str, str]], id_col: str, limit: int | N
         raise ValueError(f"limit and offset reach beyond {maximum}")
     cols = []
     for name, way in keys:
-        c = F.lower(name) if isinstance(df.schema[name].dataType, SORT_LOWER) else F.col(name)
+        kind = df.schema[name].dataType
+        folded = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, SORT_LOWER)
+        c = F.transform(name, F.lower) if folded else F.lower(name) if isinstance(kind, SORT_LOWER) else F.col(name)
         cols.append(c.asc_nulls_first() if way == "asc" else c.desc_nulls_last())
     out = df.orderBy(*cols, id_col).offset(offset)
     return out.limit(limit) if limit is not None else out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,13 +11,41 @@ from lodestone.operators.filters import Clause, Schema, where
 from lodestone.operators.mutate import put
 
 
-def upsert(stream: DataFrame, path: str, id_col: str, order: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Each micro-batch replaces objects of equal ids; versions are folders numbered by batch, so a batch done again is the same."""
+BUCKETS = 64
+
+
+def current(spark: SparkSession, path: str, epoch: int | None = None) -> DataFrame:
+    """The collection that ``upsert`` keeps, after its last batch or after a given one."""
+    heads = spark.read.parquet(f"{path}/heads")
+    heads = heads.where(F.col("epoch") <= epoch) if epoch is not None else heads
+    newest = heads.groupBy("bucket").agg(F.max("epoch").alias("epoch")).collect()  # a row for each bucket
+    return spark.read.parquet(*sorted(f"{path}/epoch={r.epoch}/_bucket={r.bucket}" for r in newest))
+
+
+def upsert(stream: DataFrame, path: str, id_col: str, order: str, checkpoint: str, once: bool = True, buckets: int = BUCKETS) -> StreamingQuery:
+    """Each micro-batch replaces objects of equal ids. Rows live in hash buckets; a batch rewrites only the buckets that it touches.
+
+    A batch writes its buckets under its own number and then their names, so a batch done again writes the same.
+    """
 
     def batch(df: DataFrame, epoch: int) -> None:
-        spark = df.sparkSession
-        old = spark.read.parquet(f"{path}/v{epoch - 1}") if epoch else spark.createDataFrame([], df.schema)
-        put(old, df, id_col, order).write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        spark, names = df.sparkSession, df.columns
+        bucket = F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int")
+        df = df.withColumn("_bucket", bucket)
+        touched = [r[0] for r in df.select("_bucket").distinct().collect()]  # at most so many as there are buckets
+        if not touched:
+            return
+        held = []
+        if epoch:
+            try:
+                heads = spark.read.parquet(f"{path}/heads").where(F.col("epoch") < epoch)
+                held = [f"{path}/epoch={r.epoch}/_bucket={r.bucket}" for r in heads.where(F.col("bucket").isin(touched)).groupBy("bucket").agg(F.max("epoch").alias("epoch")).collect()]
+            except AnalysisException:  # no batch before this one had rows
+                held = []
+        old = spark.read.parquet(*held).select(names) if held else spark.createDataFrame([], df.select(names).schema)
+        now = put(old, df.select(names), id_col, order).withColumn("_bucket", bucket)
+        now.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/epoch={epoch}")
+        spark.createDataFrame([(b,) for b in touched], "bucket int").coalesce(1).write.mode("overwrite").parquet(f"{path}/heads/epoch={epoch}")
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
