@@ -98,6 +98,72 @@ def test_media_copies(spark):
     assert media.copies(df.limit(0), "id").collect() == []
 
 
+def halved(p: np.ndarray) -> np.ndarray:
+    return ((p[::2, ::2].astype(int) + p[1::2, ::2] + p[::2, 1::2] + p[1::2, 1::2]) // 4).astype(np.uint8)
+
+
+def edited(p: np.ndarray) -> np.ndarray:
+    out = p.copy()
+    out[60:90, 60:90] = 0
+    return out
+
+
+CHANGES = {
+    "crop": lambda p: p[20:, 24:], "small crop": lambda p: p[40:130, 30:130], "edit": edited, "brighter": lambda p: np.clip(p.astype(int) + 20, 0, 255).astype(np.uint8),
+    "quarter turn": np.rot90, "half turn": lambda p: p[::-1, ::-1], "half size": halved, "double size": lambda p: p.repeat(2, 0).repeat(2, 1),
+}
+
+
+def brute_classes(pics: dict[int, np.ndarray]) -> dict[int, int]:
+    """Classes by comparing all pairs of images, each corner with each."""
+    ids = list(pics)
+    found, keys = media.corners([pics[i] for i in ids])
+    mine = [np.flatnonzero(found[:, 0] == i) for i in range(len(ids))]
+    low = {i: i for i in ids}
+    for a in range(len(ids)):
+        for b in range(a + 1, len(ids)):
+            at = [(i, j) for t in range(media.TABLES) for i in mine[a] for j in mine[b][keys[mine[b], t] == keys[i, t]]]
+            if len(at) < media.CONSENSUS:
+                continue
+            i, j = np.array(at).T
+            rows = np.unique(np.column_stack((media.votes(found[i], found[j]), i)), axis=0)
+            if np.unique(rows[:, :4], axis=0, return_counts=True)[1].max() >= max(media.CONSENSUS, media.SHARE * min(len(mine[a]), len(mine[b]))):
+                x, y = low[ids[a]], low[ids[b]]
+                low = {k: min(x, y) if v in (x, y) else v for k, v in low.items()}
+    return low
+
+
+def test_media_copies_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(media, "BATCH", 7)  # so that most copies meet by the tables
+    pics = {100 * s: picture(s) for s in range(1, 16)}
+    for n, change in enumerate(CHANGES.values(), 1):
+        pics |= {100 * s + n: np.ascontiguousarray(change(pics[100 * s])) for s in range(1, 16)}
+    for s in range(16, 40):  # a patch that many share does not make copies of them
+        pics[100 * s] = picture(s)
+        pics[100 * s][:30, :30] = picture(1)[:30, :30]
+    rows = [(i, p.shape[1], p.shape[0], p.tobytes()) for i, p in pics.items()]
+    random.Random(3).shuffle(rows)
+    df = spark.createDataFrame(rows, "id long, width int, height int, pixels binary").repartition(5)
+    got = {r.id: r.class_id for r in media.copies(df, "id").collect()}
+    want = brute_classes(pics)
+    pairs = [(a, b) for a in pics for b in pics if a < b]
+    linked = [(a, b) for a, b in pairs if want[a] == want[b]]
+    assert sum(got[a] == got[b] for a, b in linked) >= 0.9 * len(linked)
+    assert not any(got[a] == got[b] and want[a] != want[b] for a, b in pairs)
+    for n, name in enumerate(CHANGES, 1):
+        assert sum(got[100 * s] == got[100 * s + n] for s in range(1, 16)) >= 0.9 * 15, name
+    assert len({got[100 * s] for s in range(1, 40)}) == 39
+
+
+def test_media_copies_of_odd_rows(spark):
+    p, kind = picture(1), "class_id long, id long, width int, height int, pixels binary, n string"
+    rows = [(1, None, 160, 160, p.tobytes(), ""), (1, None, 160, 160, p.tobytes(), ""), (1, 9, 140, 160, p[:, :140].tobytes(), ""), (1, 5, -160, -160, p.tobytes(), ""), (1, 6, -160, -160, p.tobytes(), ""), (1, 7, 160, 160, picture(2).tobytes(), ""), (1, 7, 160, 160, picture(3).tobytes(), ""), (1, 8, 160, 160, picture(3).tobytes(), ""), (1, None, 5, 5, bytes(25), ""), (1, None, None, None, None, "")]
+    got = media.copies(spark.createDataFrame(rows, kind), "id").collect()
+    assert sorted((r.id or 0, r.class_id or 0) for r in got) == [(0, 0), (0, 0), (0, 9), (0, 9), (5, 5), (6, 5), (7, 7), (7, 7), (8, 7), (9, 9)]
+    none = media.page_media(spark.createDataFrame([], "page_id long, html string, width string"))
+    assert none.collect() == [] and media.copies(none, "page_id").collect() == []
+
+
 def test_page_rasters(spark):
     df = spark.createDataFrame([(1, "<p>Some words <b>here</b></p><script>no</script>"), (2, None), (3, ""), (4, "<div>Some words here</div>")], "page_id long, html string")
     got = {r.page_id: (r.width, r.height, bytes(r.pixels)) if r.pixels is not None else None for r in media.page_media(df).collect()}
