@@ -8,12 +8,14 @@
    that share a key gives candidate groups, which contain every linked pair. This is exact; no key is left out for being
    frequent. Keys that repeat within a batch are chained there and leave it once, so a frequent key's rows are far fewer than
    its texts.
-3. Tiles. A candidate group of bounded size is one tile. A larger one is dealt into blocks by size band and hash, and
-   tiles are pairs of blocks of equal or adjacent bands, as no others can link.
-4. In a tile, hashed bitmaps of the sets bound overlaps from above: each bit that differs means an element that is not
-   shared, so overlap <= (a + b - bits that differ) / 2. All pairs that pass are verified by intersecting their sets, so every
-   link is found, each pair in one tile. Each set's number of links, weighed by copies, leaves the tile, and of the links
-   themselves only connecting ones, never all pairs of a group.
+3. Tiles of bitmaps. A candidate group of bounded size is one tile. A larger one is dealt into blocks by size band and hash,
+   and tiles are pairs of blocks of equal or adjacent bands, as no others can link. In a tile, hashed bitmaps of one or two
+   bits an element bound overlaps from above: each bit that differs means an element that is not shared, so
+   overlap <= (a + b - bits that differ) / 2. Edges between sets that pass the bound, only connecting ones, cut the group
+   into close groups; linked sets are always in one of these, and texts that merely share a passage seldom are.
+4. Tiles of sets, laid over the close groups in the same way. All pairs that pass the bound again, by larger bitmaps, are
+   verified by intersecting their sorted sets, so every link is found, each pair in one tile. Each set's number of links,
+   weighed by copies, leaves the tile, and of the links themselves only connecting ones, never all pairs of a group.
 5. Connected components of the links, copies joined back through their representative.
 
 Nulls, empty texts and texts of blanks have no n-grams (n_shingles 0) and link with nothing. Texts of fewer than n words are
@@ -95,15 +97,58 @@ def band_edges(num: int, den: int, ratio: float = 1.3) -> list[int]:
     return edges
 
 
-def chained(keys: list[np.ndarray], digests: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each set of a batch, the keys that no earlier one has, and digests of earlier sets that have the others."""
+def chained(keys: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each set of a batch, the keys that no earlier one has, and how far before it the sets stand that have the others."""
     owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
     _, first, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     earlier = owner[first][where]
-    new, links = earlier == owner, np.unique(np.stack((owner, earlier), 1)[digests[owner] != digests[earlier]], axis=0)
+    new, links = earlier == owner, np.unique(np.stack((owner, earlier), 1)[owner != earlier], axis=0)
     at = np.cumsum([0, *(len(k) for k in keys)])
     cut = np.searchsorted(links[:, 0], np.arange(len(keys) + 1))
-    return [k[new[at[i] : at[i + 1]]] for i, k in enumerate(keys)], [digests[links[cut[i] : cut[i + 1], 1]] for i in range(len(keys))]
+    return [k[new[at[i] : at[i + 1]]] for i, k in enumerate(keys)], [i - links[cut[i] : cut[i + 1], 1] for i in range(len(keys))]
+
+
+def width(n: int) -> int:
+    """64-bit words of a set's small bitmap: one to two bits an element."""
+    return 1 << max(1, min(16, n.bit_length()) - 6)
+
+
+def small_map(s: np.ndarray) -> bytes:
+    out = np.zeros(width(len(s)), np.uint64)
+    h = mixed(s + MIX) & np.uint64(64 * len(out) - 1)
+    np.bitwise_or.at(out, (h >> np.uint64(6)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
+    return out.tobytes()
+
+
+def close_in_tile(ids: np.ndarray, side: np.ndarray, size: np.ndarray, maps: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """Edges that connect the sets of a tile whose small bitmaps allow a link. side as in links_in_tile."""
+    order = np.argsort(size, kind="stable")
+    ids, side, size, group, out = ids[order], side[order], size[order].astype(np.int64), np.arange(len(ids)), []
+    words = np.array([width(int(n)) for n in size])
+    # Sets of one width stand together; a set meets those of its own width and, halved, those of the next smaller one.
+    rows = {int(w): np.frombuffer(b"".join(maps[i] for i in order[words == w]), np.uint64).reshape(-1, w) for w in np.unique(words)}
+    start = {w: int(np.searchsorted(words, w)) for w in rows}
+    for i in range(1, len(ids)):
+        w, first = int(words[i]), int(np.searchsorted(size, -(-int(size[i]) * num // den)))
+        mine = rows[w][i - start[w]]
+        while first < i:
+            until = min(i, start[w]) if first < start[w] else i
+            part = np.arange(first, until)
+            v = int(words[first])
+            fold = mine
+            while len(fold) > v:
+                fold = fold[: len(fold) // 2] | fold[len(fold) // 2 :]
+            until = min(until, start[v] + len(rows[v]))
+            part = part[: until - first]
+            part = part[((side[part] < 0) | (side[part] != side[i])) & (group[part] != group[i])]
+            apart = np.bitwise_count(rows[v][part - start[v]] ^ fold).sum(1, dtype=np.int64)
+            most = (size[part] + size[i] - apart) // 2
+            for j in part[den * most >= num * (size[part] + size[i] - most)]:
+                if group[j] != group[i]:
+                    out.append((int(ids[i]), int(ids[j])))
+                    group[group == group[j]] = group[i]
+            first = until
+    return out
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -172,37 +217,10 @@ def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, tile_sets:
     return rows(docs, n, num, den, tile_sets, tile_elements).drop(*IDENTITY, "is_first")
 
 
-def rows(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, tile_sets: int = TILE_SETS, tile_elements: int = TILE_ELEMENTS) -> DataFrame:
-    """What join gives, with the columns of IDENTITY and is_first: the row is the smallest of its component by IDENTITY."""
-    source = identified(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))).select(*IDENTITY, "text")
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (x.slice(at, 1000) for x in batches for at in range(0, x.num_rows, 1000)):
-            size, high, low, keys = [], [], [], []
-            for text in b.column(3).to_pylist():
-                s = shingles(text, n)
-                d = xxhash.xxh3_128_intdigest(s.tobytes())
-                size.append(len(s))
-                high.append((d >> 64) - (1 << 63))
-                low.append((d & (1 << 64) - 1) - (1 << 63))
-                keys.append(prefix_keys(s, num, den))
-            lists = (pa.array(x, pa.list_(pa.int64())) for x in chained(keys, np.array(high, np.int64)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(x, pa.int64()) for x in (size, high, low)), *lists], names=[*IDENTITY, "n", "h1", "h2", "keys", "before"])
-
-    schema = "_row_no_id boolean, _row_id long, _row_text long, n long, h1 long, h2 long, keys array<long>, before array<long>"
-    whole = written(source.mapInArrow(keyed, schema), "keys")
-    sets = written(whole.drop("keys", "before").withColumn("uid", F.monotonically_increasing_id()), "sets")
-    shared = whole.select("h1", F.explode("keys").alias("key"))
-    across = shared.select("h1", F.expr("lag(h1) over (partition by key order by h1)").alias("before")).where("before <> h1")
-    # Groups are of digests' first halves; should two digests share one, both sets are in the group.
-    group = components(across.union(whole.select("h1", F.explode("before"))), "h1", "before")
-    discard(whole)
-
-    copies = sets.groupBy("h1", "h2", "n").agg(F.min(F.struct(*IDENTITY, F.col("uid").alias("rep"))).alias("x"), F.count(F.lit(1)).alias("times"))
-    copies = written(copies.select("h1", "h2", "n", "times", "x.*"), "copies")
-    asked = written(group.join(copies, group.node == copies.h1).select("comp", F.col("rep").alias("node"), "n", "times", *IDENTITY), "asked")
+def tiled(member: DataFrame, num: int, den: int, tile_sets: int, tile_elements: int) -> DataFrame:
+    """(comp, node, low, high, i, j, side): the tiles of every member (comp, node, n) of a group. Two members of one group whose
+    sizes allow a link meet in one tile: within it if side is -1, else only if their sides differ."""
     edges = F.array(*(F.lit(x) for x in band_edges(num, den)))
-    member = asked.select("comp", "node", "n", "times")
     count = (F.ceil(F.count(F.lit(1)) / tile_sets), F.ceil(F.sum("n") / tile_elements))
     tiles = member.groupBy("comp").agg(F.greatest(*count).cast("int").alias("tiles"))
     member = member.join(tiles, "comp").withColumn("band", F.when(F.col("tiles") > 1, F.size(F.filter(edges, lambda x: x <= F.col("n")))).otherwise(0))
@@ -217,8 +235,52 @@ def rows(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, tile_sets:
     down = F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda j: F.struct((F.col("band") - 1).alias("low"), F.col("band").alias("high"), j.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side")))
     none = F.array().cast("array<struct<low:int,high:int,i:int,j:int,side:int>>")
     # Two blocks of one band need their within-block tile once only; it is the tile (i, i).
-    tiles = F.concat(own, F.coalesce(up, none), F.coalesce(down, none))
-    placed = member.select("comp", "node", "times", F.explode(tiles).alias("t")).select("comp", "node", "times", "t.*")
+    return member.select("comp", "node", F.explode(F.concat(own, F.coalesce(up, none), F.coalesce(down, none))).alias("t")).select("comp", "node", "t.*")
+
+
+def rows(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, tile_sets: int = TILE_SETS, tile_elements: int = TILE_ELEMENTS) -> DataFrame:
+    """What join gives, with the columns of IDENTITY and is_first: the row is the smallest of its component by IDENTITY."""
+    source = identified(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))).select(*IDENTITY, "text")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(at, 1000) for x in batches for at in range(0, x.num_rows, 1000)):
+            size, high, low, maps, keys = [], [], [], [], []
+            for text in b.column(3).to_pylist():
+                s = shingles(text, n)
+                d = xxhash.xxh3_128_intdigest(s.tobytes())
+                size.append(len(s))
+                high.append((d >> 64) - (1 << 63))
+                low.append((d & (1 << 64) - 1) - (1 << 63))
+                maps.append(small_map(s))
+                keys.append(prefix_keys(s, num, den))
+            new, before = chained(keys)
+            cols = [*(pa.array(x, pa.int64()) for x in (size, high, low)), pa.array(maps, pa.binary()), pa.array(new, pa.list_(pa.int64())), pa.array(before, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *cols], names=[*IDENTITY, "n", "h1", "h2", "map", "keys", "before"])
+
+    schema = "_row_no_id boolean, _row_id long, _row_text long, n long, h1 long, h2 long, map binary, keys array<long>, before array<int>"
+    # Numbers are consecutive within a task's rows, and a batch is a run of these.
+    whole = written(source.mapInArrow(keyed, schema).withColumn("uid", F.monotonically_increasing_id()), "keys")
+    sets = written(whole.drop("keys", "before", "map"), "sets")
+    shared = whole.select("uid", F.explode("keys").alias("key"))
+    across = shared.select("uid", F.expr("lag(uid) over (partition by key order by uid)").alias("before")).where("before is not null and before <> uid")
+    loose = components(across.union(whole.select("uid", F.explode(F.transform("before", lambda x: F.col("uid") - x)).alias("before"))), "uid", "before")
+
+    copies = whole.groupBy("h1", "h2", "n").agg(F.min(F.struct(*IDENTITY, F.col("uid").alias("rep"))).alias("x"), F.count(F.lit(1)).alias("times"), F.first("map").alias("map"))
+    copies = written(copies.select("h1", "h2", "n", "times", "map", "x.*"), "copies")
+    discard(whole)
+    # Equal sets have all keys in common, so they are in one group.
+    digests = loose.join(sets.select(F.col("uid").alias("node"), "h1", "h2", "n"), "node").groupBy("h1", "h2", "n").agg(F.min("comp").alias("comp"))
+    member = written(digests.join(copies, ["h1", "h2", "n"]).select("comp", F.col("rep").alias("node"), "n"), "member")
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = close_in_tile(pdf.node.to_numpy(), pdf.side.to_numpy(), pdf.n.to_numpy(), pdf["map"].tolist(), num, den)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    placed = tiled(member, num, den, 4 * tile_sets, 8 * tile_elements)  # maps are that much smaller
+    maps = member.select("node").join(copies.select(F.col("rep").alias("node"), "n", "map"), "node")
+    close = components(placed.join(maps, "node").groupBy("comp", "low", "high", "i", "j").applyInPandas(near, "a long, b long"))
+    asked = written(close.join(copies.select(F.col("rep").alias("node"), "n", "times", *IDENTITY), "node"), "asked")
+    placed = tiled(asked.select("comp", "node", "n"), num, den, tile_sets, tile_elements).join(asked.select("node", "times"), "node")
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -143,3 +143,25 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (201, 202), (202, 200), (5, 5)]
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 0, **{i: 200 for i in (200, 201, 202)}}
+
+
+def test_small_bitmaps_keep_linked_sets_together():
+    rng = np.random.default_rng(9)
+    sets = []
+    for size in (1, 3, 30, 60, 63, 64, 65, 127, 128, 140, 500, 1030):
+        base = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        sets += [np.unique(np.concatenate((base[i:], rng.integers(0, 1 << 63, i, dtype=np.uint64)))) for i in (0, 1, max(1, size // 20), size // 8, size // 2)]
+    sets = [s for s in sets if len(s)]
+    ids, sizes, sides = np.arange(len(sets)), np.array([len(s) for s in sets]), rng.integers(0, 2, len(sets))
+    for side in (np.full(len(sets), -1), sides):
+        group = list(range(len(sets)))
+        for a, b in jaccard.close_in_tile(ids, side, sizes, [jaccard.small_map(s) for s in sets], 80, 100):
+            group = [group[a] if g == group[b] else g for g in group]
+        linked = 0
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                shared = len(np.intersect1d(a, b))
+                if 100 * shared >= 80 * (len(a) + len(b) - shared) and (side[i] < 0 or side[i] != side[j]):
+                    linked += 1
+                    assert group[i] == group[j]
+        assert linked > 10 and len(set(group)) > len(sets) // 5
