@@ -1,15 +1,19 @@
 """Language-model scoring: a causal self-attention model over subword ids, beside a unigram word score.
 
 Counting pass. Words of the training documents are counted by 64-bit hash in each task and summed by one shuffle of distinct
-words; subword counts come along. The ``hot`` most frequent words, a bounded table, go to every worker; all others are
-looked up by a join on their hashes, each document sending each of its rare words once, so neither frequent words nor
-frequent documents meet in one task.
+words; subword counts come along. The most frequent words, a table of at most ``HOT_WORDS`` rows, go to every worker; all
+others are looked up by a join on their hashes, each document sending each of its rare words once, so neither frequent words
+nor frequent documents meet in one task.
 
 Model. A subword is one of ``CLASSES`` classes (the most frequent ones by themselves, the rest shared out) times its share of
 the class. The class comes from one layer of causal attention, written in numpy: query, key and value rows by frequency
-bucket, biases by distance, and the current subword's own row, into a softmax. It is trained by Adam in every task on a
-fixed share of the training documents, so what is learned from grows with the input; the tasks' parameters are averaged by
-one small aggregation, for a few rounds.
+bucket, biases by distance, and the current subword's own row, into a softmax.
+
+Training. Every training document is learned from: one in ``EVERY`` of its windows, the first of them chosen by its id, one at
+least. The counting pass writes these windows. They are dealt by a hash into ``ROUNDS`` rounds and, within a round, into lanes
+of about ``LANE`` windows, whose number grows with the input. A lane is trained by Adam in one task, in the order of the hashes;
+the lanes' parameters are averaged by one small aggregation, from which the next round starts. So the result does not
+depend on how the input is partitioned, but for the rounding of sums.
 
 Scoring pass. A document's subwords are cut into windows of ``WINDOW``; each is scored once, with at least
 ``WINDOW - STRIDE`` earlier ones (where there are any) as context, in batches of windows under one mask.
@@ -33,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import remainder, written
+from lodestone.llm.common import discard, remainder, written
 from lodestone.llm.units import held, library_encoder
 
 VOCABULARY, END = 50_257, 50_256
@@ -42,10 +46,13 @@ OWN_BUCKETS, OWN_CLASSES = 960, 72
 WINDOW, STRIDE = 32, 24
 BACK = WINDOW - STRIDE
 HOT_WORDS = 1 << 17
-#: One in so many training documents is trained on in each round.
-SHARE, ROUNDS = 48, 2
+#: One in so many windows of a document is trained on; rounds of averaging; windows of a lane.
+EVERY, ROUNDS, LANE = 8, 4, 8192
 BATCH = 48
-SHAPES = {"q": (BUCKETS, DIM), "k": (BUCKETS, DIM), "v": (BUCKETS, DIM), "e": (BUCKETS, DIM), "near": (WINDOW,), "w": (2 * DIM, CLASSES), "b": (CLASSES,)}
+#: In a stored window, what is no subword.
+NONE = 65_535
+#: By bucket: a query and the subword's own row, and a key and a value; biases by distance; the output layer.
+SHAPES = {"qe": (BUCKETS, 2 * DIM), "kv": (BUCKETS, 2 * DIM), "near": (WINDOW,), "w": (2 * DIM, CLASSES), "b": (CLASSES,)}
 
 
 class WordBook(dict):
@@ -132,7 +139,8 @@ def slices(b: pa.RecordBatch, column: int, chars: int = 2_000_000) -> Iterator[t
 
 
 def counted(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(token, h, c): counts of words by hash (token false) and of subwords by id (token true) over all rows."""
+    """Rows of three kinds over all documents: counts (token, h, c, null) of words by hash and of subwords (token true) by id,
+    to be summed; and windows (null, h, 1, w) to train on, h a hash of the document's id and the window's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, totals = book(path, pattern), np.zeros(0, np.int64)
@@ -145,21 +153,39 @@ def counted(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = np.bincount(words.subwords(n), np.repeat(c, size), VOCABULARY).astype(np.int64)
             t = np.flatnonzero(ids)
             h = np.concatenate((np.frombuffer(words.hash, np.uint64)[n].view(np.int64), t))
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(h)) >= len(n)), pa.array(h), pa.array(np.concatenate((c, ids[t])))], names=["token", "h", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(h)) >= len(n)), pa.array(h), pa.array(np.concatenate((c, ids[t]))), pa.nulls(len(h), pa.binary())], names=["token", "h", "c", "w"])
 
         for b in batches:
             for i, j in slices(b, 0):
-                numbers, _ = words.numbers(b.column(0)[i:j].to_pylist())
+                numbers, n_words = words.numbers(b.column(0)[i:j].to_pylist())
                 got = np.bincount(numbers, minlength=len(totals))
                 got[: len(totals)] += totals
                 totals = got
+                sizes = grouped(np.frombuffer(words.size, np.int32)[numbers].astype(np.int64), n_words)
+                w, h = stored_windows(words.subwords(numbers), sizes, np.asarray(b.column(1)[i:j]).astype(np.int64))
+                rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * (WINDOW + STRIDE)), len(w), [None, pa.py_buffer(w.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(w), pa.bool_()), pa.array(h), pa.array(np.ones(len(w), np.int64)), rows], names=["token", "h", "c", "w"])
                 if len(words) > words.MOST:
                     yield out()
                     words.trim()
                     totals = np.zeros(0, np.int64)
         yield out()
 
-    return docs.select(F.col("text").cast("binary")).mapInArrow(run, "token boolean, h long, c long").groupBy("token", "h").agg(F.sum("c").alias("c"))
+    return docs.select(F.col("text").cast("binary"), F.xxhash64("doc_id")).mapInArrow(run, "token boolean, h long, c long, w binary")
+
+
+def stored_windows(ids: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(windows to train on, their hashes): a window's inputs and scored subwords as 16-bit numbers, in one row."""
+    n = -(-sizes // STRIDE)
+    doc = np.repeat(np.arange(len(sizes)), n)
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    first = (hashes.view(np.uint64) % np.minimum(n, EVERY).astype(np.uint64)).astype(np.int64)
+    pick = k % EVERY == first[doc]
+    place, real, scored, _ = windows(sizes, pick)
+    x = np.where(real, inputs(ids, sizes)[place], NONE)
+    y = np.where(scored, ids[place[:, BACK:]], NONE)
+    h = (hashes[doc[pick]].view(np.uint64) ^ (k[pick].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.concatenate((x, y), 1).astype("<u2"), (h ^ (h >> np.uint64(31))).view(np.int64)
 
 
 class Vocabulary:
@@ -211,53 +237,63 @@ AGO = BACK + np.arange(STRIDE)[:, None] - np.arange(WINDOW)[None, :]
 SEEN = AGO >= 0
 
 
-def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places in the flat ids (n, WINDOW), which of them are real, which positions are scored (n, STRIDE), and the document."""
+def windows(sizes: np.ndarray, pick: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places in the flat ids (n, WINDOW), which of them are real, which positions are scored (n, STRIDE), and the document.
+
+    pick: which of all windows are wanted.
+    """
     n = -(-sizes // STRIDE)
     doc = np.repeat(np.arange(len(sizes)), n)
     k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    if pick is not None:
+        doc, k = doc[pick], k[pick]
     inner = (k * STRIDE - BACK)[:, None] + np.arange(WINDOW)[None, :]
     real = (inner >= 0) & (inner < sizes[doc][:, None])
     first = (np.cumsum(sizes) - sizes)[doc][:, None]
     return np.where(real, inner + first, 0), real, real[:, BACK:], doc
 
 
-def forward(p: dict[str, np.ndarray], x: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Attention of the scored positions over their windows; x: buckets (n, WINDOW). Weights are not yet divided by their sums."""
-    q, k, v = p["q"][x[:, BACK:]] * np.float32(DIM**-0.5), p["k"][x], p["v"][x]
-    s = np.matmul(q, k.transpose(0, 2, 1))
-    s += np.where(SEEN, p["near"][np.maximum(AGO, 0)], np.float32(-1e9))
+def forward(p: dict[str, np.ndarray], x: np.ndarray, real: np.ndarray, attend: bool = True) -> tuple[np.ndarray, ...]:
+    """Attention of the scored positions over their windows; x: buckets (n, WINDOW). attend False: each sees its own row only."""
+    qe, kv = p["qe"][x[:, BACK:]], p["kv"][x]
+    q, k, v = qe[..., :DIM] * np.float32(DIM**-0.5), kv[..., :DIM], kv[..., DIM:]
+    a = np.matmul(q, k.transpose(0, 2, 1))
+    a += np.where(SEEN, p["near"][np.maximum(AGO, 0)], np.float32(-1e9)).astype(a.dtype)
     edge = np.flatnonzero(~real.all(1))
-    s[edge] -= np.where(real[edge], np.float32(0), np.float32(1e9))[:, None, :]
-    np.exp(s, out=s)
-    total = s.sum(2, keepdims=True) + np.float32(1e-20)
-    h = np.concatenate((np.matmul(s, v) / total, p["e"][x[:, BACK:]]), 2)
+    a[edge] -= np.where(real[edge], np.float32(0), np.float32(1e9))[:, None, :]
+    a -= a.max(2, keepdims=True)
+    np.exp(a, out=a)
+    a /= a.sum(2, keepdims=True)
+    h = np.concatenate((np.matmul(a, v) if attend else np.zeros_like(q), qe[..., DIM:]), 2)
     z = h.reshape(-1, 2 * DIM) @ p["w"]
     z += p["b"]
-    return q, k, v, s, total, h, z
+    return q, k, v, a, h, z
 
 
-def gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, real: np.ndarray, scored: np.ndarray) -> np.ndarray:
-    q, k, v, a, total, h, z = forward(p, x, real)
-    a /= total
+def scattered(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of values (n, c) by row number."""
+    c = values.shape[-1]
+    at = (rows.reshape(-1, 1) * c + np.arange(c)).ravel()
+    return np.bincount(at, values.ravel(), BUCKETS * c)
+
+
+def gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, real: np.ndarray, scored: np.ndarray, attend: bool = True) -> np.ndarray:
+    """Gradient of the mean loss over the scored positions, as one flat array in the order of SHAPES."""
+    q, k, v, a, h, z = forward(p, x, real, attend)
     z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    z[np.arange(len(z)), y.ravel()] -= 1
-    z *= scored.reshape(-1, 1) / max(1, scored.sum())
-    g = {n: np.zeros(s, np.float32) for n, s in SHAPES.items()}
-    flat = h.reshape(-1, 2 * DIM)
-    g["w"], g["b"] = flat.T @ z, z.sum(0)
+    z *= (scored.reshape(-1) / max(1, scored.sum()) / z.sum(1)).astype(z.dtype)[:, None]
+    z[np.arange(len(z)), y.ravel()] -= (scored.reshape(-1) / max(1, scored.sum())).astype(z.dtype)
     dh = (z @ p["w"].T).reshape(h.shape)
-    do, de = dh[..., :DIM], dh[..., DIM:]
-    da = np.matmul(do, v.transpose(0, 2, 1))
-    ds = a * (da - (da * a).sum(2, keepdims=True))
-    np.add.at(g["v"], x, np.matmul(a.transpose(0, 2, 1), do))
-    np.add.at(g["near"], np.maximum(AGO, 0), np.where(SEEN, ds.sum(0), 0))
-    np.add.at(g["q"], x[:, BACK:], np.matmul(ds, k) * np.float32(DIM**-0.5))
-    np.add.at(g["k"], x, np.matmul(ds.transpose(0, 2, 1), q))
-    np.add.at(g["e"], x[:, BACK:], de)
-    return np.concatenate([g[n].ravel() for n in SHAPES]).astype(np.float32)
+    do = dh[..., :DIM] * np.float32(attend)
+    ds = np.matmul(do, v.transpose(0, 2, 1))
+    ds -= (do * h[..., :DIM]).sum(2, keepdims=True)  # the mean over what is attended to
+    ds *= a
+    dkv = np.concatenate((np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), do)), 2)
+    dqe = np.concatenate((np.matmul(ds, k) * np.float32(DIM**-0.5), dh[..., DIM:]), 2)
+    near = np.bincount(np.maximum(AGO, 0).ravel(), np.where(SEEN, ds.sum(0), 0).ravel(), WINDOW)
+    parts = (scattered(x[:, BACK:], dqe), scattered(x, dkv), near, (h.reshape(-1, 2 * DIM).T @ z).ravel(), z.sum(0))
+    return np.concatenate([g.astype(np.float32) for g in parts])
 
 
 def inputs(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -273,53 +309,69 @@ def grouped(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
 
 
-def trained(docs: DataFrame, vocabulary: Vocabulary, path: str, pattern: str, rate: float = 0.02) -> np.ndarray:
-    """Parameters after ROUNDS rounds of training in every task and averaging over tasks, weighed by their subwords."""
-    flat = initial(vocabulary.prior)
-    shared_words = docs.sparkSession.sparkContext.broadcast((vocabulary.bucket, vocabulary.kind))
+def lane_trainer(start, classes, rate: float, attend: bool):
+    """A function from a lane's windows to its parameters (i, n, x), n the subwords that it was trained on, x the parameter times n."""
+
+    def run(lane: pa.Table) -> pa.Table:
+        bucket, kind = classes.value
+        now, (m, s), step = start.value.copy(), np.zeros((2, len(start.value)), np.float32), 0
+        lane = lane.sort_by([("h", "ascending"), ("w", "ascending")])
+        rows = np.frombuffer(b"".join(lane.column("w").to_pylist()), "<u2").reshape(-1, WINDOW + STRIDE)
+        real, scored = rows[:, :WINDOW] != NONE, rows[:, WINDOW:] != NONE
+        x, y = bucket[np.where(real, rows[:, :WINDOW], 0)], kind[np.where(scored, rows[:, WINDOW:], 0)]
+        for at in range(0, len(rows), BATCH):
+            w = slice(at, at + BATCH)
+            g = gradient(unpack(now), x[w], y[w], real[w], scored[w], attend)
+            step += 1
+            m += np.float32(0.1) * (g - m)
+            s += np.float32(0.01) * (g * g - s)
+            now -= np.float32(rate / (1 + step / 2000) / (1 - 0.9**step)) * m / (np.sqrt(s / np.float32(1 - 0.99**step)) + np.float32(1e-6))
+        n = float(scored.sum())
+        return pa.table({"i": pa.array(np.arange(len(now), dtype=np.int32)), "n": pa.array(np.full(len(now), n)), "x": pa.array(now.astype(np.float64) * n)})
+
+    return run
+
+
+def trained(stored: DataFrame, vocabulary: Vocabulary, rate: float = 0.02, attend: bool = True) -> np.ndarray:
+    """Parameters after ROUNDS rounds of training in lanes and averaging over them, weighed by their subwords. stored: (h, w)."""
+    flat, spark = initial(vocabulary.prior), stored.sparkSession
+    lanes = max(1, -(-stored.count() // (ROUNDS * LANE)))
+    classes = spark.sparkContext.broadcast((vocabulary.bucket, vocabulary.kind))
     for r in range(ROUNDS):
-        shared = docs.sparkSession.sparkContext.broadcast(flat)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            words, (bucket, kind) = book(path, pattern), shared_words.value
-            now = shared.value.copy()
-            m, s, step, seen = np.zeros_like(now), np.zeros_like(now), 0, 0
-            for b in batches:
-                for i, j in slices(b, 0):
-                    words.trim()
-                    numbers, sizes = words.numbers(b.column(0)[i:j].to_pylist())
-                    ids = words.subwords(numbers)
-                    sizes = grouped(np.frombuffer(words.size, np.int32)[numbers].astype(np.int64), sizes)
-                    x, y = bucket[inputs(ids, sizes)], kind[ids]
-                    place, real, scored, _ = windows(sizes)
-                    seen += len(ids)
-                    order = np.random.default_rng(step).permutation(len(place))
-                    for at in range(0, len(order), BATCH):
-                        w = order[at : at + BATCH]
-                        g = gradient(unpack(now), x[place[w]], y[place[w][:, BACK:]], real[w], scored[w])
-                        step += 1
-                        m += 0.1 * (g - m)
-                        s += 0.01 * (g * g - s)
-                        now -= rate / (1 + step / 2000) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(now), dtype=np.int32)), pa.array(np.full(len(now), float(seen))), pa.array(now.astype(np.float64) * seen)], names=["i", "n", "x"])
-
-        part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SHARE)) == r).select(F.col("text").cast("binary"))
-        mean = part.mapInArrow(run, "i int, n double, x double").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
+        part = stored.where(F.pmod("h", F.lit(ROUNDS)) == r).select(F.pmod(F.xxhash64("h"), F.lit(lanes)).alias("lane"), "h", "w")
+        done = part.groupBy("lane").applyInArrow(lane_trainer(spark.sparkContext.broadcast(flat), classes, rate, attend), "i int, n double, x double")
+        mean = done.groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
         if len(mean):
             flat = flat.copy()
             flat[mean.i.to_numpy()] = mean.x.to_numpy()
     return flat
 
 
-def log_probability(p: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def frequent(words: DataFrame, most: int) -> DataFrame:
+    """The most frequent words (h, c), as many as come to ``most`` at most, by a threshold on counts.
+
+    The threshold comes from a histogram of logarithms, a table of bounded size; no word is ranked.
+    """
+    step = F.floor(F.log2("c") * 16).cast("int")
+    bins = words.groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("b")).collect()  # 1,024 rows at most
+    total, least = 0, None
+    for r in bins:
+        total += r.n
+        if total > most:
+            break
+        least = r.b
+    return words.where(step >= least) if least is not None else words.limit(0)
+
+
+def log_probability(p: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray, sizes: np.ndarray, attend: bool = True) -> np.ndarray:
     """log10 probability of each document's subwords, each scored once."""
     x, kind = vocabulary.bucket[inputs(ids, sizes)], vocabulary.kind[ids]
     place, real, scored, doc = windows(sizes)
     out = np.zeros(len(ids), np.float32)
     for at in range(0, len(place), 256):
         w = slice(at, at + 256)
-        z = forward(p, x[place[w]], real[w])[-1]
+        z = forward(p, x[place[w]], real[w], attend)[-1]
+        z -= z.max(1, keepdims=True)
         mine = place[w][:, BACK:].ravel()
         got = z[np.arange(len(z)), kind[mine]]
         got -= np.log(np.exp(z, out=z).sum(1))
@@ -328,21 +380,26 @@ def log_probability(p: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.nd
     return grouped(out.astype(np.float64) * np.log10(np.e) + vocabulary.share[ids], sizes)
 
 
-def score(docs: DataFrame, path: str, pattern: str, held_out: int = 2, parts: int = 7) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of doc_id, text."""
+def score(docs: DataFrame, path: str, pattern: str, held_out: int = 2, parts: int = 7, attend: bool = True) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of doc_id, text.
+
+    attend False trains and scores a model without context, to compare with.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     training = docs.where(F.coalesce(remainder("doc_id", parts) != held_out, F.lit(True)))
-    counts = written(counted(training, path, pattern), "counts")
+    gathered = written(counted(training, path, pattern), "gathered")
+    counts = written(gathered.where("token is not null").groupBy("token", "h").agg(F.sum("c").alias("c")), "counts")
     words = counts.where("not token").select("h", "c")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = words.orderBy(F.desc("c"), "h").limit(HOT_WORDS).toPandas().sort_values("h", key=lambda h: h.to_numpy().view(np.uint64))
+    top = frequent(words, HOT_WORDS).toPandas().sort_values("h", key=lambda h: h.to_numpy(np.int64).view(np.uint64))
     hot = spark.sparkContext.broadcast((top.h.to_numpy(np.int64).view(np.uint64), np.log10(top.c.to_numpy(np.float64) + 1)))
     by_id = counts.where("token").select("h", "c").toPandas()  # at most one row for each subword
     tokens = np.zeros(VOCABULARY)
     tokens[by_id.h.to_numpy(np.int64)] = by_id.c.to_numpy()
     vocabulary = Vocabulary(tokens, word_starts(path))
-    model = spark.sparkContext.broadcast((trained(training, vocabulary, path, pattern), vocabulary))
+    model = spark.sparkContext.broadcast((trained(gathered.where("w is not null").select("h", "w"), vocabulary, attend=attend), vocabulary))
+    discard(gathered)
     schema = "doc_id long, n_tokens long, n_hot long, log_hot double, score double, rare array<long>, times array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,7 +412,7 @@ def score(docs: DataFrame, path: str, pattern: str, held_out: int = 2, parts: in
                 logs = words.logs(hot.value)[numbers]
                 known = ~np.isnan(logs)
                 length = np.frombuffer(words.size, np.int32)[numbers].astype(np.int64)
-                got = log_probability(p, vocab, words.subwords(numbers), grouped(length, sizes))
+                got = log_probability(p, vocab, words.subwords(numbers), grouped(length, sizes), attend)
                 doc = np.repeat(np.arange(len(sizes)), sizes)[~known]
                 seen, times = np.unique(np.stack((doc, np.frombuffer(words.hash, np.uint64)[numbers[~known]].view(np.int64))), axis=1, return_counts=True) if len(doc) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
                 ends = pa.array(np.searchsorted(seen[0], np.arange(len(sizes) + 1)), pa.int32())

@@ -30,7 +30,6 @@ def lm_rows() -> list[tuple]:
 
 
 def test_lm_base_score(spark, monkeypatch):
-    monkeypatch.setattr(lm, "SHARE", 2)
     monkeypatch.setattr(lm, "HOT_WORDS", 10)  # so that most words go by the join
     rows = lm_rows()
     df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, score double").repartition(4)
@@ -51,6 +50,49 @@ def brute_counts(rows):
     return counts, sum(counts.values()), len(counts)
 
 
+def test_every_training_document_gives_windows():
+    sizes, rng = np.array([1, 24, 25, 700, 193, 24 * 8, 24 * 8 + 1]), np.random.default_rng(2)
+    ids, hashes = rng.integers(0, 50_000, sizes.sum()), rng.integers(-(1 << 62), 1 << 62, len(sizes))
+    w, h = lm.stored_windows(ids, sizes, hashes)
+    place, _, scored, doc = lm.windows(sizes)
+    n = np.bincount(doc)
+    rows = {tuple(np.where(s, ids[p[lm.BACK :]], lm.NONE)): d for p, s, d in zip(place, scored, doc, strict=True)}
+    got = np.bincount([rows[tuple(r[lm.WINDOW :])] for r in w.tolist()], minlength=len(sizes))
+    assert (got >= 1).all() and (got <= -(-n // lm.EVERY)).all() and (got >= n // lm.EVERY).all() and len(set(h.tolist())) == len(w)
+
+
+def sentences(n: int, seed: int) -> list[tuple]:
+    """Texts in which a word depends on another some words before it."""
+    rng, rows = random.Random(seed), []
+    pairs = {f"open{i}": f"close{i}" for i in range(12)}
+    for i in range(n):
+        words = []
+        while len(words) < 120:
+            k = rng.choice(list(pairs))
+            words += [k, *("the" if rng.random() < 0.5 else "of" for _ in range(3)), pairs[k]]
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_attention_makes_held_out_texts_likelier(spark):
+    df = spark.createDataFrame(sentences(1200, 4), "doc_id long, text string")
+    whole = {(r.doc_id, r.held_out): r.score for r in lm.score(df.repartition(7), JSON, PATTERN).collect()}
+    again = {(r.doc_id, r.held_out): r.score for r in lm.score(df.repartition(2), JSON, PATTERN).collect()}
+    assert all(again[k] == pytest.approx(x, rel=1e-3) for k, x in whole.items())  # however the input is partitioned
+    without = {(r.doc_id, r.held_out): r.score for r in lm.score(df, JSON, PATTERN, attend=False).collect()}
+    held = [k for k in whole if k[1]]
+    assert len(held) > 100 and sum(whole[k] > without[k] for k in held) > 0.95 * len(held)
+
+
+def test_large_logits_stay_finite():
+    p = lm.unpack(lm.initial(np.zeros(lm.CLASSES, np.float32)).copy())
+    for name in ("qe", "kv", "w"):
+        p[name] *= 3000
+    place, real, _, _ = lm.windows(np.array([60]))
+    x = np.random.default_rng(0).integers(0, lm.BUCKETS, 60)
+    assert np.isfinite(lm.forward(p, x[place], real)[-1]).all()
+
+
 def test_windows_score_each_position_once():
     sizes = np.array([1, 24, 25, 100, 7])
     place, real, scored, doc = lm.windows(sizes)
@@ -117,17 +159,16 @@ CHANGES = {
 def brute_classes(pics: dict[int, np.ndarray]) -> dict[int, int]:
     """Classes by comparing all pairs of images, each corner with each."""
     ids = list(pics)
-    found, keys = media.corners([pics[i] for i in ids])
+    found, keys, count = media.corners([pics[i] for i in ids])
     mine = [np.flatnonzero(found[:, 0] == i) for i in range(len(ids))]
     low = {i: i for i in ids}
     for a in range(len(ids)):
         for b in range(a + 1, len(ids)):
             at = [(i, j) for t in range(media.TABLES) for i in mine[a] for j in mine[b][keys[mine[b], t] == keys[i, t]]]
-            if len(at) < media.CONSENSUS:
-                continue
-            i, j = np.array(at).T
-            rows = np.unique(np.column_stack((media.votes(found[i], found[j]), i)), axis=0)
-            if np.unique(rows[:, :4], axis=0, return_counts=True)[1].max() >= max(media.CONSENSUS, media.SHARE * min(len(mine[a]), len(mine[b]))):
+            weight = Counter()
+            for vote, (i, j) in {(*v, i): (i, j) for v, (i, j) in zip(media.votes(found[[x[0] for x in at]], found[[x[1] for x in at]]).tolist(), at, strict=True)}.items() if at else ():
+                weight[vote[:4]] += min(found[i, 5], found[j, 5])
+            if max(weight.values(), default=0) >= max(media.CONSENSUS, media.SHARE * min(count[a], count[b])):
                 x, y = low[ids[a]], low[ids[b]]
                 low = {k: min(x, y) if v in (x, y) else v for k, v in low.items()}
     return low
