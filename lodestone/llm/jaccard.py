@@ -114,10 +114,9 @@ def width(n: int) -> int:
 
 
 def small_map(s: np.ndarray) -> bytes:
-    out = np.zeros(width(len(s)), np.uint64)
-    h = mixed(s + MIX) & np.uint64(64 * len(out) - 1)
-    np.bitwise_or.at(out, (h >> np.uint64(6)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
-    return out.tobytes()
+    bits = np.zeros(64 * width(len(s)), bool)
+    bits[(mixed(s + MIX) & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
 def close_in_tile(ids: np.ndarray, side: np.ndarray, size: np.ndarray, maps: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
@@ -125,29 +124,29 @@ def close_in_tile(ids: np.ndarray, side: np.ndarray, size: np.ndarray, maps: lis
     order = np.argsort(size, kind="stable")
     ids, side, size, group, out = ids[order], side[order], size[order].astype(np.int64), np.arange(len(ids)), []
     words = np.array([width(int(n)) for n in size])
-    # Sets of one width stand together; a set meets those of its own width and, halved, those of the next smaller one.
-    rows = {int(w): np.frombuffer(b"".join(maps[i] for i in order[words == w]), np.uint64).reshape(-1, w) for w in np.unique(words)}
-    start = {w: int(np.searchsorted(words, w)) for w in rows}
+    # Sets of one width stand together, a word of all of them in a row. A set meets those of its own width and, folded, those
+    # of smaller ones.
+    maps = {int(w): np.ascontiguousarray(np.frombuffer(b"".join(maps[i] for i in order[words == w]), np.uint64).reshape(-1, w).T) for w in np.unique(words)}
+    start = {w: int(np.searchsorted(words, w)) for w in maps}
     for i in range(1, len(ids)):
-        w, first = int(words[i]), int(np.searchsorted(size, -(-int(size[i]) * num // den)))
-        mine = rows[w][i - start[w]]
-        while first < i:
-            until = min(i, start[w]) if first < start[w] else i
-            part = np.arange(first, until)
-            v = int(words[first])
-            fold = mine
-            while len(fold) > v:
+        first, fold = int(np.searchsorted(size, -(-int(size[i]) * num // den))), maps[int(words[i])][:, i - start[int(words[i])]]
+        parts = []
+        for w in sorted(maps, reverse=True):
+            low, high = max(first, start[w]), min(i, start[w] + maps[w].shape[1])
+            if w > words[i] or low >= high:
+                continue
+            while len(fold) > w:
                 fold = fold[: len(fold) // 2] | fold[len(fold) // 2 :]
-            until = min(until, start[v] + len(rows[v]))
-            part = part[: until - first]
-            part = part[((side[part] < 0) | (side[part] != side[i])) & (group[part] != group[i])]
-            apart = np.bitwise_count(rows[v][part - start[v]] ^ fold).sum(1, dtype=np.int64)
-            most = (size[part] + size[i] - apart) // 2
-            for j in part[den * most >= num * (size[part] + size[i] - most)]:
-                if group[j] != group[i]:
-                    out.append((int(ids[i]), int(ids[j])))
-                    group[group == group[j]] = group[i]
-            first = until
+            there, apart = maps[w][:, low - start[w] : high - start[w]], np.zeros(high - low, np.int32)
+            for mine, theirs in zip(fold, there, strict=True):
+                apart += np.bitwise_count(theirs ^ mine)
+            most = (size[low:high] + size[i] - apart) // 2
+            parts.append(low + np.flatnonzero(den * most >= num * (size[low:high] + size[i] - most)))
+        part = np.concatenate(parts) if parts else np.zeros(0, int)
+        for j in part[((side[part] < 0) | (side[part] != side[i])) & (group[part] != group[i])]:
+            if group[j] != group[i]:
+                out.append((int(ids[i]), int(ids[j])))
+                group[group == group[j]] = group[i]
     return out
 
 

@@ -4,8 +4,8 @@ Base spans come from fixed patterns with checks (parts of an address, Luhn sums,
 then propose overlapping candidates that the base leaves out: obfuscated mail addresses, telephone numbers without a plus,
 card numbers in other groupings, IPv6 addresses. Gradient-boosted trees, fitted by Spark ML on a small table of labelled
 spans, score a candidate from its format and the words around it; the trees are compiled into one column expression, so
-scoring is a map without a shuffle. Each kind has its own threshold: above every negative of a calibration table. Of
-candidates that overlap the best stays; those that touch a base span go.
+scoring is a map without a shuffle. Each kind has its own threshold: above every negative of a calibration table, whose
+formats and contexts are none of the training table's. Of candidates that overlap the best stays; those that touch a base span go.
 
 Positions are code points, ends exclusive. Null and empty texts have no spans. Very long texts are read whole; patterns are
 written so that no text makes them backtrack without bound. Repeated rows get equal results. Further columns of the input
@@ -112,21 +112,37 @@ def features(kind: Column, s: Column, left: Column, right: Column) -> dict[str,
     }
 
 
-def labelled(offset: int, rounds: int = 8) -> list[tuple[str, str, str, str, float]]:
-    """(kind, left, span, right, label): a small table made from templates; # stands for a digit, changing with the round."""
+# Templates by kind: what stands before a span, and spans; # stands for a digit, changing with the round.
+GOOD = {
+    "email": (["mail me: ", "contact ", "reach us at ", "", "address "], ["jane.doe [at] mail.example.org", "sales(at)example.com", "a.b [at] example [dot] net", "office(AT)sub.example.info"]),
+    "ip": (["server ", "from host ", "ip ", "", "login from "], ["2001:0db8:85a3:#f00:0000:8a2e:0370:733#", "fe80:0:0:0:20#:ff:fe00:#", "2a02:#10:aaaa:b:c:d:e:f"]),
+    "card": (["amex card ", "paid by credit card ", "visa ", "card number "], ["3782 822463 10005", "371449635398431", "4111.1111.1111.1111", "5105/1051/0510/5100", "30569309025904"]),
+    "phone": (["call ", "tel. ", "phone: ", "my mobile number is ", "fax "], ["(555) 2##-01##", "555-2##-01##", "0## 2## 44##", "(0##) 44# 2###", "020 79## 0###"]),
+}
+BAD = {
+    "email": (["see figure ", "token ", "in "], ["x(at)y.z", "q [at] 1.2", "f(at)0.5"]),
+    "ip": (["at ", "time ", "lap "], ["12:30:45:11:22:33:44:55", "1:2:3:4:5:6:7:#", "00:01:02:03:04:05:06:07"]),
+    "card": (["order ", "invoice ", "serial ", "in ", "the ", "version "], ["1234 5678 90## 12##", "20##-01-0# 11", "978-3-16-1484##-0", "49015420323751#", "100 200 3## 400", "0000 0000 00## 0000"]),
+    "phone": (["order ", "date ", "score ", "page ", "of ", "in ", "item "], ["20##-0#-12", "12-0#-20##", "100 200 3##", "55-2##-01##", "10 20 30##", "1##/2##/3##"]),
+}
+#: For the thresholds: formats and contexts of which the trees have seen none.
+GOOD_HELD = {
+    "email": (["write to ", "e-mail "], ["john_smith [AT] corp.example [DOT] com", "help(at)support.example.co.uk"]),
+    "ip": (["the server's address is ", "host: "], ["2620:0:2d0:#00:0:0:0:7", "fd12:3456:789a:1:#:2:3:4"]),
+    "card": (["mastercard ", "to pay, use "], ["5555-5555-5555-4444", "6011 1111 1111 1117"]),
+    "phone": (["whatsapp ", "contact: "], ["(212) 7##-4###", "069-1##-23##"]),
+}
+BAD_HELD = {
+    "email": (["note ", "by "], ["n(at)k.m", "b [at] 9.9"]),
+    "ip": (["from ", "split "], ["10:20:30:40:50:60:70:8#", "3:1:4:1:5:9:2:#"]),
+    "card": (["ref ", "batch ", "about "], ["2222 3333 44## 55##", "1000-2000-30##", "35-209900-17614#-1"]),
+    "phone": (["total ", "sku ", "near "], ["19##/1#/31", "31.1#.19##", "300-4##-50##"]),
+}
+
+
+def labelled(good: dict, bad: dict, offset: int = 1, rounds: int = 8) -> list[tuple[str, str, str, str, float]]:
+    """(kind, left, span, right, label): a small table made from templates."""
     rows = []
-    good = {
-        "email": (["mail me: ", "contact ", "reach us at ", ""], ["jane.doe [at] mail.example.org", "sales(at)example.com", "a.b [at] example [dot] net"]),
-        "ip": (["server ", "from host ", "ip ", ""], ["2001:0db8:85a3:#f00:0000:8a2e:0370:733#", "fe80:0:0:0:20#:ff:fe00:#"]),
-        "card": (["amex card ", "paid by credit card ", "visa "], ["3782 822463 10005", "371449635398431", "4111.1111.1111.1111"]),
-        "phone": (["call ", "tel. ", "phone: ", "my mobile number is "], ["(555) 2##-01##", "555-2##-01##", "0## 2## 44##"]),
-    }
-    bad = {
-        "email": (["see figure ", "token "], ["x(at)y.z", "q [at] 1.2"]),
-        "ip": (["at ", "time "], ["12:30:45:11:22:33:44:55", "1:2:3:4:5:6:7:#"]),
-        "card": (["order ", "invoice ", "serial ", "in ", "the "], ["1234 5678 90## 12##", "20##-01-0# 11", "978-3-16-1484##-0", "49015420323751#"]),
-        "phone": (["order ", "date ", "score ", "page ", "of ", "in "], ["20##-0#-12", "12-0#-20##", "100 200 3##", "55-2##-01##"]),
-    }
     for label, table in ((1.0, good), (0.0, bad)):
         for kind, (lefts, spans) in table.items():
             for i, (a, s) in enumerate((a, s) for a in lefts for s in spans):
@@ -139,9 +155,9 @@ def labelled(offset: int, rounds: int = 8) -> list[tuple[str, str, str, str, flo
     return rows
 
 
-def spans_table(spark: SparkSession, offset: int) -> DataFrame:
+def spans_table(spark: SparkSession, rows: list[tuple[str, str, str, str, float]]) -> DataFrame:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    values = ", ".join(f"({', '.join(map(quote, r[:4]))}, {r[4]}D)" for r in labelled(offset))
+    values = ", ".join(f"({', '.join(map(quote, r[:4]))}, {r[4]}D)" for r in rows)
     df = spark.sql(f"SELECT * FROM VALUES {values} AS t(kind, a, s, z, label)").coalesce(1)
     return df.select("kind", "label", *(c.alias(n) for n, c in features(F.col("kind"), F.col("s"), F.col("a"), F.col("z")).items()))
 
@@ -177,10 +193,10 @@ def compiled(model) -> callable:
 
 def fitted(spark: SparkSession, trees: int = 12, depth: int = 3) -> tuple[callable, dict[str, float]]:
     """The scoring expression and each kind's threshold."""
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(spans_table(spark, 1))
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(spans_table(spark, labelled(GOOD, BAD)))
     model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=depth, seed=7).fit(rows)
     score = compiled(model)
-    held = spans_table(spark, 5).withColumn("p", score({n: F.col(n) for n in FEATURES}))
+    held = spans_table(spark, labelled(GOOD_HELD, BAD_HELD)).withColumn("p", score({n: F.col(n) for n in FEATURES}))
     worst = {r.kind: r.p for r in held.where("label = 0").groupBy("kind").agg(F.max("p").alias("p")).collect()}  # four rows
     return score, {k: max(0.5, min(0.95, worst.get(k, 0.5) + 0.02)) for k in KINDS}
 

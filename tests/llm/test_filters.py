@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import pii, toxicity, urls
 from lodestone.llm.common import remainder
@@ -154,3 +155,20 @@ def test_toxicity_held_out(spark):
     pos, neg = [r.score for r in got if r.toxic], [r.score for r in got if not r.toxic]
     auc = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
     assert auc >= 0.9 and sum(x >= 0.7 for x in neg) <= 0.01 * len(neg)
+
+
+def test_added_spans_of_unseen_formats(spark):
+    """Precision and recall on formats and contexts of neither the training nor the calibration table."""
+    good = {"email": (["please mail ", "you can reach "], ["mary.jones (at) city-example.org", "dev [at] tools.example [dot] io"]), "ip": (["blocked ip ", "node "], ["2001:db8:#:1:2:3:4:5"]), "card": (["charge my visa ", "credit card: "], ["4012 8888 8888 1881", "3714-496353-98431"]), "phone": (["please call ", "office phone "], ["(030) 12#-45##", "0171 2## 88##"])}
+    bad = {"email": (["value "], ["p(at)q.r", "i [at] 2.0"]), "ip": (["clock "], ["23:59:58:57:56:55:54:5#"]), "card": (["part ", "isbn "], ["7777 8888 99## 11##", "978-0-306-40615-#"]), "phone": (["scores ", "version "], ["200-3##-40##", "20##.1#.05"])}
+    score, threshold = pii.fitted(spark)
+    rows = pii.spans_table(spark, pii.labelled(good, bad, 3)).withColumn("p", score({n: F.col(n) for n in pii.FEATURES})).toPandas()
+    hit, label = rows.p >= rows.kind.map(threshold), rows.label == 1
+    assert (hit & label).sum() >= 0.95 * hit.sum() and (hit & label).sum() >= 0.9 * label.sum()
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "mail a@b.cd now", "x", 5, None), (2, None, "y", 6, "z"), (3, "", None, None, None)], "doc_id long, text string, base string, spans int, row string")
+    got = sorted(map(tuple, pii.redact(df).collect()))
+    assert got == [(1, "mail [EMAIL] now", "x", 5, None), (2, None, "y", 6, "z"), (3, "", None, None, None)]
+    assert pii.redact(df.limit(0)).collect() == [] and pii.redact(df).columns == df.columns
