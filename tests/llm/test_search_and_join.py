@@ -29,9 +29,7 @@ def brute_top(rows, asked, k=5):
 
 
 @pytest.mark.parametrize(("n", "lane", "block"), [(400, 8192, 1024), (700, 64, 4)])
-def test_top_k(spark, monkeypatch, n, lane, block):
-    monkeypatch.setattr(topk, "LANE", lane)
-    monkeypatch.setattr(topk, "BLOCK", block)
+def test_top_k(spark, n, lane, block):
     rng = np.random.default_rng(n)
     base = rng.normal(size=(n, 8)) * rng.choice((0.01, 0.3, 2), (n, 1))
     base[n // 3 : n // 2] = base[0]  # one vector repeated by many rows
@@ -41,10 +39,18 @@ def test_top_k(spark, monkeypatch, n, lane, block):
     rows += rows[7:9]  # repeated rows
     df = spark.createDataFrame(rows, VEC)
     asked = [i for i in range(n + 5) if i % 50 == 0]
-    got = topk.search(df, df.where("vec_id % 50 = 0")).collect()
+    got = topk.search(df, df.where("vec_id % 50 = 0"), lane=lane, block=block).collect()
     assert sorted(tuple(r) for r in got) == brute_top(rows, asked)
 
 
+def test_top_k_of_large_products(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.integers(-250_000, 250_000, 6)], "a", "b") for i in range(120)] + [(500, [1e9] * 6, "a", "b")]
+    df = spark.createDataFrame(rows, VEC)
+    got = topk.search(df, df.where("vec_id % 50 = 0"), lane=16, block=2).collect()
+    assert sorted(tuple(r) for r in got) == brute_top(rows[:-1], [0, 50, 100]) and max(r.score for r in got) > 1 << 50
+
+
 def test_top_k_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], None, None), (1, [0.5, 0.5], None, None)], VEC)
     assert [tuple(r) for r in topk.search(df, df.where("vec_id = 0")).collect()] == [(0, 1, 1, 128 * 256)]
