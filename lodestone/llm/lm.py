@@ -9,11 +9,11 @@ Model. A subword is one of ``CLASSES`` classes (the most frequent ones by themse
 the class. The class comes from one layer of causal attention, written in numpy: query, key and value rows by frequency
 bucket, biases by distance, and the current subword's own row, into a softmax.
 
-Training. Every training document is learned from: one in ``EVERY`` of its windows, the first of them chosen by its id, one at
-least. The counting pass writes these windows. They are dealt by a hash into ``ROUNDS`` rounds and, within a round, into lanes
-of about ``LANE`` windows, whose number grows with the input. A lane is trained by Adam in one task, in the order of the hashes;
-the lanes' parameters are averaged by one small aggregation, from which the next round starts. So the result does not
-depend on how the input is partitioned, but for the rounding of sums.
+Training. Every window of every training document is trained on once. The counting pass writes them, in chunks of ``CHUNK``
+consecutive ones. Chunks are dealt by a hash into ``ROUNDS`` rounds and, within a round, into lanes of about ``LANE`` chunks, whose
+number grows with the input. A lane is trained by Adam in one task, in the order of the hashes; the lanes' parameters are
+averaged by one small aggregation, from which the next round starts. So the result does not depend on how the input is
+partitioned, but for the rounding of sums.
 
 Scoring pass. A document's subwords are cut into windows of ``WINDOW``; each is scored once, with at least
 ``WINDOW - STRIDE`` earlier ones (where there are any) as context, in batches of windows under one mask.
@@ -46,11 +46,11 @@ OWN_BUCKETS, OWN_CLASSES = 960, 72
 WINDOW, STRIDE = 32, 24
 BACK = WINDOW - STRIDE
 HOT_WORDS = 1 << 17
-#: One in so many windows of a document is trained on; rounds of averaging; windows of a lane.
-EVERY, ROUNDS, LANE = 8, 4, 8192
+#: Windows of a stored chunk; rounds of averaging; chunks of a lane.
+CHUNK, ROUNDS, LANE = 8, 4, 2048
 BATCH = 48
-#: In a stored window, what is no subword.
-NONE = 65_535
+#: In a stored chunk, what is no subword; numbers that a chunk has.
+NONE, STORED = 65_535, BACK + CHUNK * STRIDE + 1
 #: By bucket: a query and the subword's own row, and a key and a value; biases by distance; the output layer.
 SHAPES = {"qe": (BUCKETS, 2 * DIM), "kv": (BUCKETS, 2 * DIM), "near": (WINDOW,), "w": (2 * DIM, CLASSES), "b": (CLASSES,)}
 
@@ -62,7 +62,7 @@ class WordBook(dict):
 
     def __init__(self, path: str, pattern: str):
         super().__init__()
-        self.encode, self.find = library_encoder(path), regex.compile(pattern).findall
+        self.encode, self.find, self.parts = library_encoder(path), regex.compile(pattern).findall, {}
         self.hot: tuple[np.ndarray, np.ndarray] | None = None
         self.start_afresh()
 
@@ -92,7 +92,17 @@ class WordBook(dict):
         return n
 
     def __missing__(self, word: bytes) -> int:
-        return self.add(word, [i for m in self.find(" " + word.decode()) for i in self.encode(m)])
+        out = []
+        for m in self.find(" " + word.decode()):
+            ids = self.parts.get(m)
+            if ids is None:
+                if len(self.parts) > 150_000:
+                    self.parts.clear()
+                ids = self.encode(m)
+                if len(m) <= 40:  # words share these parts, as before a comma
+                    self.parts[m] = ids
+            out += ids
+        return self.add(word, out)
 
     def numbers(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all words of the texts, each text followed by the end word (number 0), and the texts' lengths."""
@@ -140,7 +150,7 @@ def slices(b: pa.RecordBatch, column: int, chars: int = 2_000_000) -> Iterator[t
 
 def counted(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Rows of three kinds over all documents: counts (token, h, c, null) of words by hash and of subwords (token true) by id,
-    to be summed; and windows (null, h, 1, w) to train on, h a hash of the document's id and the window's place."""
+    to be summed; and chunks (null, h, 1, w) to train on, h a hash of the document's id and the chunk's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, totals = book(path, pattern), np.zeros(0, np.int64)
@@ -162,8 +172,8 @@ def counted(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 got[: len(totals)] += totals
                 totals = got
                 sizes = grouped(np.frombuffer(words.size, np.int32)[numbers].astype(np.int64), n_words)
-                w, h = stored_windows(words.subwords(numbers), sizes, np.asarray(b.column(1)[i:j]).astype(np.int64))
-                rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * (WINDOW + STRIDE)), len(w), [None, pa.py_buffer(w.tobytes())]).cast(pa.binary())
+                w, h = stored_chunks(words.subwords(numbers), sizes, np.asarray(b.column(1)[i:j]).astype(np.int64))
+                rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * STORED), len(w), [None, pa.py_buffer(w.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(w), pa.bool_()), pa.array(h), pa.array(np.ones(len(w), np.int64)), rows], names=["token", "h", "c", "w"])
                 if len(words) > words.MOST:
                     yield out()
@@ -174,18 +184,28 @@ def counted(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.select(F.col("text").cast("binary"), F.xxhash64("doc_id")).mapInArrow(run, "token boolean, h long, c long, w binary")
 
 
-def stored_windows(ids: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(windows to train on, their hashes): a window's inputs and scored subwords as 16-bit numbers, in one row."""
-    n = -(-sizes // STRIDE)
+def stored_chunks(ids: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(chunks, their hashes): the inputs of a chunk's positions as 16-bit numbers, with those of BACK positions before them and one
+    after. A position's own subword is the next one's input; the input of the position behind a document's end is its last subword."""
+    n = -(-sizes // (CHUNK * STRIDE))
     doc = np.repeat(np.arange(len(sizes)), n)
     k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    first = (hashes.view(np.uint64) % np.minimum(n, EVERY).astype(np.uint64)).astype(np.int64)
-    pick = k % EVERY == first[doc]
-    place, real, scored, _ = windows(sizes, pick)
-    x = np.where(real, inputs(ids, sizes)[place], NONE)
-    y = np.where(scored, ids[place[:, BACK:]], NONE)
-    h = (hashes[doc[pick]].view(np.uint64) ^ (k[pick].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.concatenate((x, y), 1).astype("<u2"), (h ^ (h >> np.uint64(31))).view(np.int64)
+    at = (k * (CHUNK * STRIDE) - BACK)[:, None] + np.arange(STORED)[None, :]  # positions within the document
+    there = (at >= 0) & (at <= sizes[doc][:, None])
+    place = np.where(there & (at > 0), at - 1 + (np.cumsum(sizes) - sizes)[doc][:, None], 0)
+    x = np.where(there, np.where(at > 0, ids[place], END), NONE).astype("<u2")
+    h = (hashes[doc].view(np.uint64) ^ (k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x, (h ^ (h >> np.uint64(31))).view(np.int64)
+
+
+def chunk_windows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(inputs, scored subwords, which places are real, which positions are scored) of the windows of stored chunks."""
+    x = np.lib.stride_tricks.sliding_window_view(rows, WINDOW, axis=1)[:, : CHUNK * STRIDE : STRIDE].reshape(-1, WINDOW)
+    after = np.lib.stride_tricks.sliding_window_view(rows[:, 1:], WINDOW, axis=1)[:, : CHUNK * STRIDE : STRIDE].reshape(-1, WINDOW)
+    real = (x != NONE) & (after != NONE)
+    keep = real[:, BACK]  # a window begins with a scored position
+    x, after, real = x[keep], after[keep], real[keep]
+    return np.where(real, x, 0), np.where(real, after, 0)[:, BACK:], real, real[:, BACK:]
 
 
 class Vocabulary:
@@ -237,16 +257,11 @@ AGO = BACK + np.arange(STRIDE)[:, None] - np.arange(WINDOW)[None, :]
 SEEN = AGO >= 0
 
 
-def windows(sizes: np.ndarray, pick: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places in the flat ids (n, WINDOW), which of them are real, which positions are scored (n, STRIDE), and the document.
-
-    pick: which of all windows are wanted.
-    """
+def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places in the flat ids (n, WINDOW), which of them are real, which positions are scored (n, STRIDE), and the document."""
     n = -(-sizes // STRIDE)
     doc = np.repeat(np.arange(len(sizes)), n)
     k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    if pick is not None:
-        doc, k = doc[pick], k[pick]
     inner = (k * STRIDE - BACK)[:, None] + np.arange(WINDOW)[None, :]
     real = (inner >= 0) & (inner < sizes[doc][:, None])
     first = (np.cumsum(sizes) - sizes)[doc][:, None]
@@ -310,16 +325,16 @@ def grouped(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def lane_trainer(start, classes, rate: float, attend: bool):
-    """A function from a lane's windows to its parameters (i, n, x), n the subwords that it was trained on, x the parameter times n."""
+    """A function from a lane's chunks to its parameters (i, n, x), n the subwords that it was trained on, x the parameter times n."""
 
     def run(lane: pa.Table) -> pa.Table:
         bucket, kind = classes.value
         now, (m, s), step = start.value.copy(), np.zeros((2, len(start.value)), np.float32), 0
         lane = lane.sort_by([("h", "ascending"), ("w", "ascending")])
-        rows = np.frombuffer(b"".join(lane.column("w").to_pylist()), "<u2").reshape(-1, WINDOW + STRIDE)
-        real, scored = rows[:, :WINDOW] != NONE, rows[:, WINDOW:] != NONE
-        x, y = bucket[np.where(real, rows[:, :WINDOW], 0)], kind[np.where(scored, rows[:, WINDOW:], 0)]
-        for at in range(0, len(rows), BATCH):
+        rows = np.frombuffer(b"".join(lane.column("w").to_pylist()), "<u2").reshape(-1, STORED)
+        x, y, real, scored = chunk_windows(rows)
+        x, y = bucket[x], kind[y]
+        for at in range(0, len(x), BATCH):
             w = slice(at, at + BATCH)
             g = gradient(unpack(now), x[w], y[w], real[w], scored[w], attend)
             step += 1
@@ -388,7 +403,7 @@ def score(docs: DataFrame, path: str, pattern: str, held_out: int = 2, parts: in
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     training = docs.where(F.coalesce(remainder("doc_id", parts) != held_out, F.lit(True)))
-    gathered = written(counted(training, path, pattern), "gathered")
+    gathered = written(counted(training, path, pattern), "gathered", "zstd")
     counts = written(gathered.where("token is not null").groupBy("token", "h").agg(F.sum("c").alias("c")), "counts")
     words = counts.where("not token").select("h", "c")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
@@ -413,8 +428,11 @@ def score(docs: DataFrame, path: str, pattern: str, held_out: int = 2, parts: in
                 known = ~np.isnan(logs)
                 length = np.frombuffer(words.size, np.int32)[numbers].astype(np.int64)
                 got = log_probability(p, vocab, words.subwords(numbers), grouped(length, sizes), attend)
-                doc = np.repeat(np.arange(len(sizes)), sizes)[~known]
-                seen, times = np.unique(np.stack((doc, np.frombuffer(words.hash, np.uint64)[numbers[~known]].view(np.int64))), axis=1, return_counts=True) if len(doc) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+                doc, rare = np.repeat(np.arange(len(sizes)), sizes)[~known], np.frombuffer(words.hash, np.uint64)[numbers[~known]].view(np.int64)
+                order = np.lexsort((rare, doc))
+                doc, rare = doc[order], rare[order]
+                first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (rare[1:] != rare[:-1]))[: len(doc)])
+                seen, times = (doc[first], rare[first]), np.diff(np.append(first, len(doc)))
                 ends = pa.array(np.searchsorted(seen[0], np.arange(len(sizes) + 1)), pa.int32())
                 cols = [b.column(0)[i:j], pa.array(sizes), pa.array(grouped(known.astype(np.int64), sizes)), pa.array(grouped(np.where(known, logs, 0), sizes)), pa.array(got), pa.ListArray.from_arrays(ends, pa.array(seen[1])), pa.ListArray.from_arrays(ends, pa.array(times, pa.int32()))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "n_hot", "log_hot", "score", "rare", "times"])

@@ -50,15 +50,16 @@ def brute_counts(rows):
     return counts, sum(counts.values()), len(counts)
 
 
-def test_every_training_document_gives_windows():
+def test_chunks_hold_every_window():
     sizes, rng = np.array([1, 24, 25, 700, 193, 24 * 8, 24 * 8 + 1]), np.random.default_rng(2)
     ids, hashes = rng.integers(0, 50_000, sizes.sum()), rng.integers(-(1 << 62), 1 << 62, len(sizes))
-    w, h = lm.stored_windows(ids, sizes, hashes)
-    place, _, scored, doc = lm.windows(sizes)
-    n = np.bincount(doc)
-    rows = {tuple(np.where(s, ids[p[lm.BACK :]], lm.NONE)): d for p, s, d in zip(place, scored, doc, strict=True)}
-    got = np.bincount([rows[tuple(r[lm.WINDOW :])] for r in w.tolist()], minlength=len(sizes))
-    assert (got >= 1).all() and (got <= -(-n // lm.EVERY)).all() and (got >= n // lm.EVERY).all() and len(set(h.tolist())) == len(w)
+    w, h = lm.stored_chunks(ids, sizes, hashes)
+    x, y, real, scored = lm.chunk_windows(w)
+    place, is_real, is_scored, _ = lm.windows(sizes)
+    before = lm.inputs(ids, sizes)
+    rows = lambda x, y, real, scored: sorted(zip(np.where(real, x.astype(int), -1).tolist(), np.where(scored, y.astype(int), -1).tolist(), strict=True))
+    assert rows(x, y, real, scored) == rows(before[place], ids[place[:, lm.BACK :]], is_real, is_scored)
+    assert scored.sum() == sizes.sum() and len(set(h.tolist())) == len(w)
 
 
 def sentences(n: int, seed: int) -> list[tuple]:
