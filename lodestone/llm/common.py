@@ -45,24 +45,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge table: (node, comp), comp the smallest node reachable. Nodes without edges are absent.
 
     Alternating large-star and small-star contraction: every round is two aggregations and two joins on node ids,
-    no node's neighbours are ever gathered in one place, and the rounds grow with the logarithm of the diameter. The smallest
-    neighbours are written before the join, so that adaptive execution can split the rows of a node with very many edges.
+    no node's neighbours are ever gathered in one place, and the rounds grow with the logarithm of the diameter. Each round is
+    written once, and the round before it deleted.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = written(e, "edges")
+    seen = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.where("u <> v").distinct(), "edges")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        large = large.where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         new = written(small.where("u <> v").distinct(), "edges")
-        before, after = (x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (e, new))
-        for done in (e, low, large, least):
-            discard(done)
-        if before == after:
+        discard(e)
+        now = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == seen:
             break
-        e = new
+        e, seen = new, now
     pairs = new.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     return pairs.union(pairs.select(F.col("comp").alias("node"), "comp").distinct())
