@@ -148,7 +148,7 @@ def kept_index(spark, sf, lists: int, replicas: int) -> ann.InvertedFile:
 
 @query("q_v21_ivf", nearest_sql(qs()))
 def _(spark, sf):
-    return shown(kept_index(spark, sf, 16, 3).search(qv(), 10, probes=10).select("vec_id", "_distance"), "_distance")
+    return shown(kept_index(spark, sf, 16, 3).search(qv(), 10, probes=14).select("vec_id", "_distance"), "_distance")
 
 
 def recall(found, exact):
