@@ -285,7 +285,9 @@ def rows(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, tile_sets:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, n).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["node", "members"])
 
-    needed = source.join(asked.select("node", *IDENTITY), IDENTITY).select("node", "text").mapInArrow(rebuilt, "node long, members binary")
+    # Few texts are asked for. Where the list of their hashes is small by its file, Spark broadcasts it, and no other text is moved.
+    there = source.join(asked.select("_row_text"), "_row_text", "left_semi")
+    needed = there.join(asked.select("node", *IDENTITY), IDENTITY).select("node", "text").mapInArrow(rebuilt, "node long, members binary")
     needed = needed.groupBy("node").agg(F.first("members").alias("members"))  # repeated rows
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
