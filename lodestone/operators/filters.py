@@ -291,8 +291,9 @@ class Planner:
         inner = where(r.target, r.where, r.schema) if r.where is not None else r.target
         keys = inner.select(F.col(r.key).alias("_k")).distinct()
         if isinstance(self.df.schema[r.column].dataType, T.ArrayType):
-            rows = self.df.withColumn("_row", F.monotonically_increasing_id())
-            hits = rows.select("_row", F.explode(r.column).alias("_k")).join(keys, "_k", "left_semi").select("_row").distinct().withColumn(name, F.lit(True))
+            # Rows meet their hits again by a digest of the keys; numbers may differ when rows are computed again.
+            rows = self.df.withColumn("_row", F.unhex(F.sha2(F.to_json(F.struct(F.col(r.column).alias("k"))), 256)))
+            hits = rows.select("_row", r.column).dropDuplicates(["_row"]).select("_row", F.explode(r.column).alias("_k")).join(keys, "_k", "left_semi").select("_row").distinct().withColumn(name, F.lit(True))
             self.df = rows.join(hits, "_row", "left").withColumn(name, true(F.col(name))).drop("_row")
         else:
             self.df = self.df.join(keys.withColumn(name, F.lit(True)), F.col(r.column) == F.col("_k"), "left").drop("_k").withColumn(name, true(F.col(name)))

@@ -10,12 +10,15 @@ from pyspark.sql import types as T
 
 
 def resolve(df: DataFrame, column: str, target: DataFrame, key: str, fields: list[str], out: str) -> DataFrame:
-    """df with ``out``: the target's fields as a struct, or an array of structs for an array of keys, in the keys' order."""
+    """df with ``out``: the target's fields as a struct, or an array of structs for an array of keys, in the keys' order.
+
+    Rows meet their lists again by a digest of the keys, as numbers given to rows may differ when these are computed again.
+    """
     right = target.select(F.col(key).alias("_k"), F.struct(*fields).alias(out))
     if not isinstance(df.schema[column].dataType, T.ArrayType):
         return df.join(right, F.col(column) == F.col("_k"), "left").drop("_k")
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
-    each = rows.select("_row", F.posexplode_outer(column).alias("_pos", "_k")).join(right, "_k", "left")
+    rows = df.withColumn("_row", F.unhex(F.sha2(F.to_json(F.struct(F.col(column).alias("k"))), 256)))
+    each = rows.select("_row", column).dropDuplicates(["_row"]).select("_row", F.posexplode_outer(column).alias("_pos", "_k")).join(right, "_k", "left")
     lists = each.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col(out).isNotNull(), F.struct("_pos", out)))), lambda s: s[out]).alias(out))
     return rows.join(lists, "_row", "left").drop("_row")
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import ann, classify, hybrid, keyword, mutate, post, quantize, vector
+from lodestone.operators.filters import Ref, points_to, prop, where
 from lodestone.plans.query import Hybrid, NearText, Searchable
 from lodestone.sources.collection import Collection, Property, inferred, validated
 from lodestone.streaming import ingest
@@ -236,3 +237,16 @@ def test_one_call_searches(spark):
     assert found.id == 3 and found._meta_creation_time == 3 and "t3" in found._meta_explain_score and found._meta_certainty is None
     near = s.query(hybrid=Hybrid("t5", vector=[math.cos(5), math.sin(5)]), limit=3)
     assert near.first().id == 5 and near.count() == 3
+
+
+def test_references_meet_their_rows_however_often_these_are_computed(spark):
+    from lodestone.operators import refs
+
+    chance = F.udf(lambda: __import__("random").random(), "double").asNondeterministic()
+    rows = [(i, [i, i + 1, -1]) for i in range(40)] + [(90, []), (91, None), (92, [3, 2, 3]), (93, [3, 2, 3])]
+    df = spark.createDataFrame(rows, "id long, keys array<bigint>").orderBy(chance())  # another order each time
+    target = spark.range(60).select(F.col("id").alias("k"), (F.col("id") * 10).alias("x"))
+    got = {r.id: [o.x for o in r.o] for r in refs.resolve(df, "keys", target, "k", ["x"], "o").collect()}
+    assert got == {**{i: [10 * i, 10 * i + 10] for i in range(40)}, 90: [], 91: [], 92: [30, 20, 30], 93: [30, 20, 30]}
+    few = where(df, points_to(Ref("keys", target, "k", prop("x") < 30)) | (prop("id") == 90))
+    assert sorted(r.id for r in few.collect()) == [0, 1, 2, 90, 92, 93]
