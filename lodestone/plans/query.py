@@ -75,17 +75,18 @@ class Searchable:
     index: str = "hnsw"
     vectorizer: str = "bigram"
 
-    def _near(self, rows: DataFrame, to: list[float] | DataFrame, limit: int, distance: float | None, certainty: float | None) -> DataFrame:
-        """Rows by their distance to a vector, or to that of a one-row table; a limit below 0 asks for all within a distance."""
+    def _near(self, rows: DataFrame, to: list[float] | DataFrame, limit: int | None, distance: float | None, certainty: float | None) -> DataFrame:
+        """Rows by their distance to a vector, or to that of a one-row table; a limit below 0 asks for all within a distance,
+        none for all."""
         vector.check_indexed(self.index)
-        if limit < 0 and distance is None and certainty is None:
+        if limit is not None and limit < 0 and distance is None and certainty is None:
             raise ValueError("a search without a limit needs a distance or a certainty")
         if isinstance(to, DataFrame):
             scored = vector.with_distance_to(rows, self.vec, to, self.metric)
         else:
             scored = vector.with_distance(rows.where(F.col(self.vec).isNotNull()), self.vec, to, self.metric)
-        if limit < 0:
-            scored, limit = vector.keep_certain(scored, certainty, distance), vector.MAXIMUM_RESULTS
+        if limit is None or limit < 0:
+            return vector.keep_certain(scored, certainty, distance)
         return vector.keep_certain(scored.orderBy("_distance", self.id_col).limit(limit), certainty, distance)
 
     def _concepts(self, n: NearText) -> DataFrame:
@@ -98,8 +99,8 @@ class Searchable:
         """(id, score, explain)"""
         k = self._keyword(h.query or "", h.properties, None, rows if filtered else None)
         to = h.vector if h.vector is not None else self._concepts(h.near_text or NearText([h.query]))
-        v = self._near(rows, to, max(limit, vector.MAXIMUM_RESULTS), h.max_distance, None).select(self.id_col, "_distance")
-        return hy.hybrid(k, v, self.id_col, h.alpha, h.fusion, limit, max_distance=h.max_distance)
+        v = self._near(rows, to, None, h.max_distance, None).select(self.id_col, "_distance")
+        return hy.hybrid(k, v, self.id_col, h.alpha, h.fusion, limit if limit >= 0 else None, max_distance=h.max_distance)
 
     def query(
         self, clause: Clause | None = None, near_vector: list[float] | None = None, near_object=None, near_text: NearText | None = None, bm25: str | None = None, hybrid: Hybrid | None = None, sort_by: list[tuple[str, str]] | None = None, limit: int = LIMIT, offset: int = 0, cursor=None, autocut: int | None = None,
@@ -107,6 +108,8 @@ class Searchable:
     ) -> DataFrame:
         """At most one of near_vector, near_object, near_text, bm25 and hybrid; all else applies to its hits.
 
+        A limit below 0 asks for all rows, for vectors all within a distance.
+
         select names properties or nested paths, metadata some of METADATA, shown as ``_meta_id``, ``_meta_certainty`` and so on.
         """
         if sum(x is not None for x in (near_vector, near_object, near_text, bm25, hybrid)) > 1:
@@ -127,11 +130,11 @@ class Searchable:
             out, order, score = self._near(rows, to, wanted, distance, certainty), ["_distance", self.id_col], "_distance"
         elif bm25 is not None or hybrid is not None:
             filtered = clause is not None
-            hits = self._keyword(bm25, None, wanted, rows if filtered else None, "explain_score" in metadata) if bm25 is not None else self._hybrid(hybrid, rows, filtered, wanted)
+            hits = self._keyword(bm25, None, wanted if wanted >= 0 else None, rows if filtered else None, "explain_score" in metadata) if bm25 is not None else self._hybrid(hybrid, rows, filtered, wanted)
             tie = self.id_col if bm25 is not None else F.desc(self.id_col)
             out, order, score = hits.join(rows, self.id_col), [F.desc("score"), tie], "score"
         else:
-            return self._shown(sort(rows, sort_by or [], self.id_col, limit, offset), select, metadata)
+            return self._shown(sort(rows, sort_by or [], self.id_col, limit if limit >= 0 else None, offset), select, metadata)
         if autocut:
             out = post.autocut(out, score, order, autocut)
         if group_by:
