@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import distance as D
 
-MAXIMUM_RESULTS = 10_000
 SAME = 1e-6
 
 
@@ -28,10 +27,11 @@ def knn(df: DataFrame, vec: str, query, k: int, id_col: str, metric: str = "cosi
     return with_distance(df.where(F.col(vec).isNotNull()), vec, query, metric).orderBy("_distance", id_col).limit(k)
 
 
-def within(df: DataFrame, vec: str, query, most: float, id_col: str, metric: str = "cosine", maximum: int = MAXIMUM_RESULTS) -> DataFrame:
-    """All rows at most so far away, the nearest ``maximum`` of them."""
+def within(df: DataFrame, vec: str, query, most: float, id_col: str, metric: str = "cosine", maximum: int | None = None) -> DataFrame:
+    """All rows at most so far away, or the nearest ``maximum`` of them if that is given."""
     near = with_distance(df.where(F.col(vec).isNotNull()), vec, query, metric).where(F.col("_distance") <= most)
-    return near.orderBy("_distance", id_col).limit(maximum)
+    near = near.orderBy("_distance", id_col)
+    return near.limit(maximum) if maximum is not None else near
 
 
 def keep_certain(hits: DataFrame, certainty: float | None = None, distance: float | None = None) -> DataFrame:
