@@ -209,7 +209,7 @@ def _(spark, sf):
 
     place = F.struct("c_nationkey", F.struct(F.col("c_name").alias("name"), "c_acctbal").alias("who"), F.array(*(F.struct((F.col("c_nationkey") + i).alias("k"), F.lit("x").alias("more")) for i in (0, 1))).alias("list"))
     d = read(spark, sf, "customer").select("c_custkey", place.alias("place"))
-    out = Searchable(d, "c_custkey").query(prop("place.c_nationkey") > 20, limit=10_000, select=["place.c_nationkey", "place.who.name", "place.list.k"])
+    out = Searchable(d, "c_custkey").query(prop("place.c_nationkey") > 20, limit=-1, select=["place.c_nationkey", "place.who.name", "place.list.k"])
     return out.select("c_custkey", F.col("place.who.name").alias("name"), F.col("place.c_nationkey").alias("nation"), F.col("place.list.k").alias("keys"))
 
 

@@ -250,3 +250,33 @@ def test_references_meet_their_rows_however_often_these_are_computed(spark):
     assert got == {**{i: [10 * i, 10 * i + 10] for i in range(40)}, 90: [], 91: [], 92: [30, 20, 30], 93: [30, 20, 30]}
     few = where(df, points_to(Ref("keys", target, "k", prop("x") < 30)) | (prop("id") == 90))
     assert sorted(r.id for r in few.collect()) == [0, 1, 2, 90, 92, 93]
+
+
+def test_a_query_without_a_limit_gives_all_rows(spark):
+    s = Searchable(spark.range(10_050).withColumn("t", F.lit("word")), "id", text_props=("t",))
+    assert s.query(prop("id") >= 20, limit=-1).count() == 10_030
+    assert s.query(bm25="word", limit=-1).count() == 10_050
+
+
+def test_all_within_a_distance_are_found(spark):
+    df = spark.range(10_050).withColumn("v", F.array(F.lit(1.0), F.col("id") / 1e6))
+    assert vector.within(df, "v", [1.0, 0.0], 0.5, "id").count() == 10_050
+    assert [r.id for r in vector.within(df, "v", [1.0, 0.0], 0.5, "id", maximum=3).collect()] == [0, 1, 2]
+    assert Searchable(df, "id", "v").query(near_vector=[1.0, 0.0], limit=-1, distance=0.5).count() == 10_050
+
+
+@pytest.mark.parametrize("fusion", ["relative", "ranked"])
+def test_fusion_takes_whole_legs(spark, fusion):
+    n = 10_050
+    key = spark.range(n).select("id", (F.col("id") % 5000 + 1.0).alias("score"))
+    near = spark.range(n).select("id", (F.col("id") / n).alias("_distance"))
+    got = {r.id: r.score for r in hybrid.hybrid(key, near, "id", fusion=fusion).collect()}
+    k = {i: i % 5000 + 1.0 for i in range(n)}
+    v = {i: 1 - i / n for i in range(n)}
+    place = lambda s: {i: p for p, i in enumerate(sorted(s, key=lambda i: (-s[i], i)))}
+    spread = lambda s: {i: (x - min(s.values())) / (max(s.values()) - min(s.values())) for i, x in s.items()}
+    if fusion == "ranked":
+        k, v = ({i: 1 / (60 + p) for i, p in place(s).items()} for s in (k, v))
+    else:
+        k, v = spread(k), spread(v)
+    assert len(got) == n and all(abs(got[i] - 0.25 * k[i] - 0.75 * v[i]) < 1e-12 for i in range(n))
