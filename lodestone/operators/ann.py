@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.operators.vector import TILE_ROWS, best_of_tile, knn, with_distance
+from lodestone.operators.vector import TILE_ROWS, best_of_tile, knn, least_cosine, still_near, with_distance
 
 #: Rows up to which search is exact.
 FLAT_UNTIL = 10_000
@@ -51,7 +51,8 @@ def fitted_centroids(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) ->
 
 @dataclass
 class InvertedFile:
-    """postings: every row once for each of its ``replicas`` centroids, in a column ``_list``. centroids: a bounded table."""
+    """postings: every row once for each of its ``replicas`` centroids, in a column ``_list``, with its cosine to that one in
+    ``_turn`` and whether that is its nearest in ``_first``. centroids: a bounded table."""
 
     postings: DataFrame
     centroids: np.ndarray
@@ -72,12 +73,24 @@ class InvertedFile:
         near = np.argsort(d, axis=1, kind="stable")[:, :probes]
         return [[int(i) for i in row if d[n, i] <= max(d[n, row[0]], 1e-12) * max_ratio] for n, row in enumerate(near)]
 
-    def search(self, query: list[float], k: int, probes: int = 8, max_ratio: float = 10.0, metric: str = "cosine") -> DataFrame:
-        """The k nearest of what the probed lists hold, scored exactly."""
+    def search(self, query: list[float], k: int, probes: int = 8, max_ratio: float = 10.0, metric: str = "cosine", exact: bool = False) -> DataFrame:
+        """The k nearest of what the probed lists hold, scored exactly.
+
+        exact: the k nearest of all rows. Of the other lists those rows are scored, too, which by their angle to the list's
+        centroid can be as near as the k-th found.
+        """
+        if exact and metric != "cosine":
+            raise ValueError("bounds are known for the cosine distance only")
         lists = self.probed(np.asarray([query], float), probes, max_ratio)[0]
-        hits = with_distance(self.postings.where(F.col("_list").isin(lists)), self.vec, query, metric).drop("_list")
+        hits = with_distance(self.postings.where(F.col("_list").isin(lists)), self.vec, query, metric).drop("_list", "_turn", "_first")
         best = hits.orderBy("_distance", self.id_col).limit(k * len(lists))  # an id stands in each of them once at most
-        return best.dropDuplicates([self.id_col]).orderBy("_distance", self.id_col).limit(k)
+        best = best.dropDuplicates([self.id_col]).orderBy("_distance", self.id_col).limit(k)
+        if not exact:
+            return best
+        cosines = F.lit((unit(self.centroids) @ unit(np.asarray([query], float))[0]).tolist())
+        once = self.postings.where("_first")
+        near = still_near(once, least_cosine(F.get(cosines, F.col("_list")), F.col("_turn")), best, k)
+        return with_distance(near, self.vec, query, metric).drop("_list", "_turn", "_first").orderBy("_distance", self.id_col).limit(k)
 
     def search_many(self, queries: DataFrame, query_id: str, query_vec: str, k: int, probes: int = 8, max_ratio: float = 10.0, metric: str = "cosine") -> DataFrame:
         """(query_id, base_id, _distance, _rank) for a table of queries: a tile is a list's part and the queries that probe it."""
@@ -114,10 +127,12 @@ def build(df: DataFrame, vec: str, id_col: str, lists: int = 32, replicas: int =
             if len(f):
                 x = unit(np.stack(f[vec].to_list()).astype(float))
                 near = np.argsort(-2 * x @ centers.T + (centers**2).sum(1), axis=1, kind="stable")[:, :replicas]
-                yield f.assign(_list=near.astype(np.int32).tolist())
+                turn = np.einsum("nd,nrd->nr", x, unit(centers)[near])
+                yield f.assign(_list=near.astype(np.int32).tolist(), _turn=turn.tolist())
 
-    posted = have.mapInPandas(post, T.StructType([*df.schema, T.StructField("_list", T.ArrayType(T.IntegerType()))]))
-    return InvertedFile(posted.withColumn("_list", F.explode("_list")), centers, vec, id_col)
+    posted = have.mapInPandas(post, T.StructType([*df.schema, T.StructField("_list", T.ArrayType(T.IntegerType())), T.StructField("_turn", T.ArrayType(T.DoubleType()))]))
+    each = posted.select(*df.columns, F.posexplode(F.arrays_zip("_list", "_turn")).alias("_pos", "_at"))
+    return InvertedFile(each.select(*df.columns, F.col("_at._list").alias("_list"), F.col("_at._turn").alias("_turn"), (F.col("_pos") == 0).alias("_first")), centers, vec, id_col)
 
 
 def open_index(spark: SparkSession, path: str) -> InvertedFile:
@@ -126,8 +141,8 @@ def open_index(spark: SparkSession, path: str) -> InvertedFile:
     return InvertedFile(spark.read.parquet(f"{path}/postings"), np.asarray(head["centroids"]), head["vec"], head["id"])
 
 
-def dynamic(df: DataFrame, vec: str, id_col: str, query: list[float], k: int, flat_until: int = FLAT_UNTIL, probes: int = 8, **index) -> DataFrame:
-    """Exact while the collection is small, by an inverted file beyond. Only whether there are more rows than that is asked."""
+def dynamic(df: DataFrame, vec: str, id_col: str, query: list[float], k: int, flat_until: int = FLAT_UNTIL, probes: int = 8, exact: bool = False, **index) -> DataFrame:
+    """Exact while the collection is small, by an inverted file beyond (with ``exact``, completed by its bounds). Only whether there are more rows than that is asked."""
     if df.select(F.lit(1)).limit(flat_until + 1).count() <= flat_until:
         return knn(df, vec, query, k, id_col)
-    return build(df, vec, id_col, **index).search(query, k, probes)
+    return build(df, vec, id_col, **index).search(query, k, probes, exact=exact)

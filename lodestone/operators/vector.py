@@ -34,6 +34,23 @@ def within(df: DataFrame, vec: str, query, most: float, id_col: str, metric: str
     return near.limit(maximum) if maximum is not None else near
 
 
+#: Bounds are compared with so much room for the last digits of doubles.
+SLACK = 1e-7
+
+
+def least_cosine(c: Column, turn: Column) -> Column:
+    """The least cosine distance of a row to a query from their cosines to a third vector: angles differ by their difference at least."""
+    c = F.least(F.greatest(c, F.lit(-1.0)), F.lit(1.0))
+    return 1 - (c * turn + F.sqrt((1 - c * c) * F.greatest(1 - turn * turn, F.lit(0.0))))
+
+
+def still_near(df: DataFrame, least: Column, first: DataFrame, k: int) -> DataFrame:
+    """Rows whose least distance doesn't exceed that of the k-th of some first hits, so that the k nearest are among them."""
+    edge = first.agg(F.when(F.count(F.lit(1)) >= k, F.max("_distance")).alias("_edge"))  # one row
+    rows = df.withColumn("_least", least).join(F.broadcast(edge), how="cross")
+    return rows.where(~F.coalesce(F.col("_least") > F.col("_edge") + SLACK, F.lit(False))).drop("_least", "_edge")
+
+
 def keep_certain(hits: DataFrame, certainty: float | None = None, distance: float | None = None) -> DataFrame:
     if certainty is not None:
         hits = hits.where(D.certainty(F.col("_distance")) >= certainty)
