@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,42 +99,63 @@ def validate(row: dict, collection: Collection) -> list[str]:
 KINDS = {"BIGINT": "int", "DOUBLE": "number", "DECIMAL": "number", "STRING": "text", "BOOLEAN": "boolean", "OBJECT": "object", "VOID": "null"}
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def kind_of(value: Column) -> Column:
     """The data type of a JSON value (a variant column) by the rules of ``infer``: "text", "int[]" and so on; null for null."""
-    name = F.schema_of_variant(value)
+    return bound(value, lambda v: bound(F.schema_of_variant(v), lambda name: _kind(v, name)))
+
+
+def _kind(value: Column, name: Column) -> Column:
     plain = lambda n: F.coalesce(*(F.when(n.startswith(k), F.lit(v)) for k, v in KINDS.items()))
-    s = F.try_variant_get(value, "$", "string")
-    fields = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
-    text = F.when(s.rlike(RFC3339.pattern), "date").when(s.rlike(UUID.pattern), "uuid").otherwise("text")
-    geo = (F.size(fields) == 2) & F.array_contains(fields, "latitude") & F.array_contains(fields, "longitude")
-    phone = F.array_contains(fields, "input") & (F.size(F.array_except(fields, F.array(*(F.lit(f.name) for f in PHONE)))) == 0)
-    some = F.when(geo, "geoCoordinates").when(phone, "phoneNumber").otherwise("object")
+    text_kind = lambda s: F.when(s.rlike(RFC3339.pattern), "date").when(s.rlike(UUID.pattern), "uuid").otherwise("text")
+    text = bound(F.try_variant_get(value, "$", "string"), text_kind)
+
+    def some_kind(fields: Column) -> Column:
+        geo = (F.size(fields) == 2) & F.array_contains(fields, "latitude") & F.array_contains(fields, "longitude")
+        phone = F.array_contains(fields, "input") & (F.size(F.array_except(fields, F.array(*(F.lit(f.name) for f in PHONE)))) == 0)
+        return F.when(geo, "geoCoordinates").when(phone, "phoneNumber").otherwise("object")
+
+    some = bound(F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")), some_kind)
     many = F.try_variant_get(value, "$", "array<variant>")
-    each = F.array_distinct(F.transform(F.try_variant_get(value, "$", "array<string>"), lambda x: F.when(x.rlike(RFC3339.pattern), "date").when(x.rlike(UUID.pattern), "uuid").otherwise("text")))
-    inner = F.regexp_extract(name, "^ARRAY<(.*)>$", 1)
-    listed = F.when(F.size(many) == 0, "text[]").when(inner.startswith("STRING"), F.when(F.size(each) == 1, F.concat(each[0], F.lit("[]"))).otherwise("text[]")).when(inner.startswith("VARIANT"), "mixed[]").otherwise(F.concat(plain(inner), F.lit("[]")))
+    each = F.array_distinct(F.transform(F.try_variant_get(value, "$", "array<string>"), text_kind))
+    texts = bound(each, lambda e: F.when(F.size(e) == 1, F.concat(e[0], F.lit("[]"))).otherwise("text[]"))
+    kinds = lambda inner: F.when(F.size(many) == 0, "text[]").when(inner.startswith("STRING"), texts).when(inner.startswith("VARIANT"), "mixed[]").otherwise(F.concat(plain(inner), F.lit("[]")))
+    listed = bound(F.regexp_extract(name, "^ARRAY<(.*)>$", 1), kinds)
     return F.when(name.startswith("ARRAY"), listed).when(name.startswith("STRING"), text).when(name.startswith("OBJECT"), some).when(name != "VOID", plain(name))
 
 
 def validated(df: DataFrame, objects: str, collection: Collection) -> DataFrame:
     """df with ``_errors``: what keeps the JSON object in a column from being stored, by the rules of ``validate``, as column expressions."""
-    value = F.try_parse_json(objects)
     unknown = F.array_except(F.json_object_keys(objects), F.array(*(F.lit(p.name) for p in collection.properties)).cast("array<string>"))
-    errors = [F.transform(F.array_sort(unknown), lambda k: F.concat(F.lit("no such property: "), k))]
-    for p in collection.properties:
-        got, want = kind_of(F.try_variant_get(value, f"$.{p.name}", "variant")), p.data_type
+    none = F.array().cast("array<string>")
+
+    def misfit(p: Property, one: Column, got: Column) -> Column:
+        want = p.data_type
         fits = got == want
         if want in ("number", "number[]"):
             fits = fits | (got == want.replace("number", "int"))
         if want in ("text", "text[]"):
             fits = fits | got.isin(*(k + want[4:] for k in ("uuid", "date")))
         if want.endswith("[]"):
-            fits = fits | (F.size(F.try_variant_get(value, f"$.{p.name}", "array<variant>")) == 0)
+            fits = fits | (F.size(F.try_variant_get(one, "$", "array<variant>")) == 0)
         if want == "blob":
             fits = fits | (got == "text")
-        errors.append(F.when(~fits, F.array(F.concat(F.lit(f"{p.name}: "), got, F.lit(f" where {want} is declared")))).otherwise(F.array().cast("array<string>")))
-    found = F.concat(*(F.coalesce(e, F.array().cast("array<string>")) for e in errors))
-    return df.withColumn("_errors", F.when(value.isNull(), F.array(F.lit("not a JSON object"))).otherwise(found))
+        return F.when(~fits, F.array(F.concat(F.lit(f"{p.name}: "), got, F.lit(f" where {want} is declared")))).otherwise(none)
+
+    def checked(value: Column, p: Property) -> Column:
+        return bound(F.try_variant_get(value, f"$.{p.name}", "variant"), lambda one: bound(kind_of(one), lambda got: misfit(p, one, got)))
+
+    def found(value: Column) -> Column:
+        errors = [F.transform(F.array_sort(unknown), lambda k: F.concat(F.lit("no such property: "), k))]
+        errors += [checked(value, p) for p in collection.properties]
+        return F.when(value.isNull(), F.array(F.lit("not a JSON object"))).otherwise(F.concat(*(F.coalesce(e, none) for e in errors)))
+
+    # The object is parsed once, and so is what is asked of each property.
+    return df.withColumn("_errors", bound(F.try_parse_json(objects), found))
 
 
 def inferred(df: DataFrame, objects: str) -> DataFrame:

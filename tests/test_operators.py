@@ -323,3 +323,9 @@ def test_exact_search_by_rotational_codes(spark, bits):
     coded = quantize.rotational_codes(df, "v", bits=bits)
     for q, want in asked.values():
         assert [r.id for r in quantize.rescored(coded, quantize.rotational_distance(q), "v", q, 10, 10, "id", least=quantize.rotational_least(q)).collect()] == want
+
+
+def test_validation_parses_an_object_once(spark):
+    df = spark.createDataFrame([('{"a": 1, "b": "x"}',)], "j string")
+    c = Collection("C", [Property("a", "int"), Property("b", "text[]"), Property("c", "date")])
+    assert validated(df, "j", c)._jdf.queryExecution().analyzed().toString().count("try_parse_json") == 1
