@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import distance as D
 from lodestone.operators.vector import nearest_of_each
+from lodestone.sources.collection import bound
 
 LIMIT = 10_000
 
@@ -34,13 +35,28 @@ def zero_shot(objects: DataFrame, targets: DataFrame, id_col: str, vec: str, tar
     return nearest_of_each(objects, targets, 1, id_col, target_id, vec, target_vec).select(F.col("query_id").alias(id_col), F.col("base_id").alias("label"), "_distance")
 
 
+def counted(tokens: Column) -> Column:
+    """(term, n) of a list's different tokens: runs of the sorted list."""
+    starts = lambda t: F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: (i == 1) | (F.get(t, i - 1) != F.get(t, i - 2)))
+    run = lambda t, s: F.transform(s, lambda i, j: F.struct(F.get(t, i - 1).alias("term"), (F.coalesce(F.get(s, j + 1), F.size(t) + 1) - i).cast("long").alias("_c")))
+    return F.when(F.size(tokens) > 0, bound(F.array_sort(tokens), lambda t: bound(starts(t), lambda s: run(t, s))))
+
+
 def tf_idf(df: DataFrame, id_col: str, tokens: str) -> DataFrame:
     """(id, term, tf, idf, tf_idf): tf = count / length, idf = log10(N / documents with the term)."""
+    return _tf_idf(df, id_col, tokens).select(id_col, "term", "tf", "idf", (F.col("tf") * F.col("idf")).alias("tf_idf"))
+
+
+def _tf_idf(df: DataFrame, id_col: str, tokens: str) -> DataFrame:
+    """(id, term, _c, tf, idf). Terms are counted within their row and moved once, by term, to be joined without a sort with the
+    count of their documents, which tasks sum before. Only where ids repeat are the counts of equal ids added before."""
     n = df.agg(F.count(F.lit(1)).alias("_n"))
-    each = df.select(id_col, F.size(tokens).alias("_len"), F.explode(tokens).alias("term")).groupBy(id_col, "_len", "term").agg(F.count(F.lit(1)).alias("_c"))
+    each = df.select(id_col, F.size(tokens).alias("_len"), F.inline(counted(F.col(tokens))))
+    if df.groupBy(id_col).agg(F.count(F.lit(1)).alias("_r")).where("_r > 1").limit(1).count():
+        each = each.groupBy(id_col, "_len", "term").agg(F.sum("_c").alias("_c"))
     docs = each.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).join(F.broadcast(n), how="cross")  # one row
-    out = each.join(docs, "term").withColumn("tf", F.col("_c") / F.col("_len")).withColumn("idf", F.log10(F.col("_n") / F.col("_df")))
-    return out.select(id_col, "term", "tf", "idf", (F.col("tf") * F.col("idf")).alias("tf_idf"))
+    out = each.join(docs.hint("shuffle_hash"), "term").withColumn("tf", F.col("_c") / F.col("_len"))
+    return out.select(id_col, "term", "_c", "tf", F.log10(F.col("_n") / F.col("_df")).alias("idf"))
 
 
 def information_gain(words: DataFrame, targets: DataFrame, target_id: str, target_vec: str) -> DataFrame:

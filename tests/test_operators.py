@@ -329,3 +329,17 @@ def test_validation_parses_an_object_once(spark):
     df = spark.createDataFrame([('{"a": 1, "b": "x"}',)], "j string")
     c = Collection("C", [Property("a", "int"), Property("b", "text[]"), Property("c", "date")])
     assert validated(df, "j", c)._jdf.queryExecution().analyzed().toString().count("try_parse_json") == 1
+
+
+def test_tf_idf_moves_terms_once(spark):
+    rows = [(1, ["b", "a", "b"]), (2, ["a"]), (3, []), (4, None), (5, ["c", "c"])]
+    kind = "id long, t array<string>"
+    want = lambda n, df, c, l: (c / l, math.log10(n / df))
+    out = classify.tf_idf(spark.createDataFrame(rows, kind), "id", "t")
+    near = lambda got, want: set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
+    got = {(r.id, r.term): (r.tf, r.idf) for r in out.collect()}
+    assert near(got, {(1, "a"): want(5, 2, 1, 3), (1, "b"): want(5, 1, 2, 3), (2, "a"): want(5, 2, 1, 1), (5, "c"): want(5, 1, 2, 2)})
+    plan = classify.tf_idf(spark.createDataFrame(rows, kind), "id", "t")._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "hashpartitioning(term" in plan and "hashpartitioning(id" not in plan
+    again = classify.tf_idf(spark.createDataFrame([*rows, (2, ["b"])], kind), "id", "t").where("id = 2")  # equal ids and lengths
+    assert near({r.term: (r.tf, r.idf) for r in again.collect()}, {"a": want(6, 2, 1, 1), "b": want(6, 2, 1, 1)})
