@@ -93,7 +93,12 @@ def tile_distances(metric: str, q: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def best_of_tile(queries: pd.DataFrame, base: pd.DataFrame, k: int, metric: str) -> pd.DataFrame:
-    """(query_id, base_id, _distance): each query's k nearest of a tile, ties to the smaller id."""
+    """(query_id, base_id, _distance): each query's k nearest of a tile, ties to the smaller id.
+
+    Distances are computed for TILE_QUERIES queries at a time, so a tile of many queries takes no more memory for them.
+    """
+    if len(queries) > TILE_QUERIES:
+        return pd.concat([best_of_tile(queries.iloc[at : at + TILE_QUERIES], base, k, metric) for at in range(0, len(queries), TILE_QUERIES)], ignore_index=True)
     parts = []
     if len(queries) and len(base):
         order = np.argsort(base.base_id.to_numpy(), kind="stable")

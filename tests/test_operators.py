@@ -343,3 +343,19 @@ def test_tf_idf_moves_terms_once(spark):
     assert "ShuffledHashJoin" in plan and "hashpartitioning(term" in plan and "hashpartitioning(id" not in plan
     again = classify.tf_idf(spark.createDataFrame([*rows, (2, ["b"])], kind), "id", "t").where("id = 2")  # equal ids and lengths
     assert near({r.term: (r.tf, r.idf) for r in again.collect()}, {"a": want(6, 2, 1, 1), "b": want(6, 2, 1, 1)})
+
+
+def test_a_tile_of_many_queries_takes_little_memory():
+    import tracemalloc
+
+    import pandas as pd
+
+    x = np.random.default_rng(3).normal(size=(4096, 4))
+    q = pd.DataFrame({"query_id": np.arange(4096), "_q": list(x)})
+    b = pd.DataFrame({"base_id": np.arange(4096), "_v": list(x)})
+    tracemalloc.start()
+    got = vector.best_of_tile(q, b, 1, "cosine")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6  # one matrix of all distances takes 134 MB, and several are needed
+    assert got.query_id.tolist() == got.base_id.tolist() == list(range(4096))
