@@ -30,9 +30,9 @@ def knn(unlabelled: DataFrame, labelled: DataFrame, id_col: str, vec: str, label
     return votes.where("_r = 1").select(F.col("query_id").alias(id_col), "label", F.col("votes").alias("winning"), "losing", F.col("mean").alias("mean_winning"), F.col("closest").alias("closest_winning"), (F.col("_t") / F.col("_n")).alias("mean_losing"), "closest_losing", "closest_overall")
 
 
-def zero_shot(objects: DataFrame, targets: DataFrame, id_col: str, vec: str, target_id: str, target_vec: str) -> DataFrame:
-    """The nearest object of the target collection."""
-    return nearest_of_each(objects, targets, 1, id_col, target_id, vec, target_vec).select(F.col("query_id").alias(id_col), F.col("base_id").alias("label"), "_distance")
+def zero_shot(objects: DataFrame, targets: DataFrame, id_col: str, vec: str, target_id: str, target_vec: str, most: int | None = None) -> DataFrame:
+    """The nearest object of the target collection. most: how many objects there are at most, if that is known."""
+    return nearest_of_each(objects, targets, 1, id_col, target_id, vec, target_vec, most=most).select(F.col("query_id").alias(id_col), F.col("base_id").alias("label"), "_distance")
 
 
 def counted(tokens: Column) -> Column:
@@ -71,13 +71,13 @@ def information_gain(words: DataFrame, targets: DataFrame, target_id: str, targe
 
 
 def telling_words(scored: DataFrame, gain: DataFrame, id_col: str, gain_percentile: int = 50, tf_idf_percentile: int = 80, most_boost: float = 3.0, least_words: int = 3) -> DataFrame:
-    """(id, term, boost) of the words that stand for an object: those among the first gain_percentile hundredths by information
+    """(id, term, boost, _often) of the words that stand for an object: those among the first gain_percentile hundredths by information
     gain and the first tf_idf_percentile hundredths by tf-idf, or the least_words first ones by gain if they are fewer.
 
     The word of rank i (from 0) of the first n by gain is boosted by 1 - ln(i / n), most_boost at most; the others count once.
     """
-    each = scored.join(gain, "term").select(id_col, "term", "tf_idf", "gain")
     mine = Window.partitionBy(id_col)
+    each = scored.join(gain, "term").select(id_col, "term", "_c", "tf_idf", "gain").withColumn("_often", F.sum("_c").over(Window.partitionBy(id_col, "term")))
     rank = lambda c: F.row_number().over(mine.orderBy(F.desc(c), "term")) - 1
     cut = lambda share: F.floor(F.count(F.lit(1)).over(mine) * share / 100)
     each = each.select("*", rank("gain").alias("_i"), rank("tf_idf").alias("_t"), cut(gain_percentile).alias("_n"), cut(tf_idf_percentile).alias("_m"))
@@ -85,16 +85,16 @@ def telling_words(scored: DataFrame, gain: DataFrame, id_col: str, gain_percenti
     each = each.withColumn("_both", F.count_if(both).over(mine))
     boost = F.when(F.col("_i") == 0, most_boost).otherwise(F.least(F.lit(float(most_boost)), 1 - F.ln(F.col("_i") / F.col("_n"))))
     kept = each.where(F.when(F.col("_both") < least_words, F.col("_i") < least_words).otherwise(both))
-    return kept.select(id_col, "term", F.when(F.col("_i") < F.col("_n"), boost).otherwise(1.0).alias("boost"))
+    return kept.select(id_col, "term", F.when(F.col("_i") < F.col("_n"), boost).otherwise(1.0).alias("boost"), "_often")
 
 
 def contextual(df: DataFrame, targets: DataFrame, id_col: str, tokens: str, words: DataFrame, target_id: str, target_vec: str, **settings) -> DataFrame:
     """Objects by the boosted centroid of their telling words, against target vectors. words: (term, vector); settings as in telling_words."""
-    scored = tf_idf(df, id_col, tokens)
+    scored = _tf_idf(df, id_col, tokens).withColumn("tf_idf", F.col("tf") * F.col("idf"))
     told = telling_words(scored, information_gain(words, targets, target_id, target_vec), id_col, **settings)
-    often = df.select(id_col, F.explode(tokens).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("_often"))
-    told = told.join(often, [id_col, "term"]).join(words, "term").withColumn("_weight", F.col("boost") * F.col("_often"))
-    return zero_shot(D.centroid(told, "vector", [id_col], "_weight"), targets, id_col, "vector", target_id, target_vec)
+    told = told.join(words, "term").withColumn("_weight", F.col("boost") * F.col("_often"))
+    # There are no more objects than rows; counting them by their centroids would do all of this twice.
+    return zero_shot(D.centroid(told, "vector", [id_col], "_weight"), targets, id_col, "vector", target_id, target_vec, most=df.count())
 
 
 def written_back(df: DataFrame, found: DataFrame, id_col: str, column: str, scope: str) -> DataFrame:

@@ -115,18 +115,18 @@ def best_of_tile(queries: pd.DataFrame, base: pd.DataFrame, k: int, metric: str)
     return pd.DataFrame(dict(zip(("query_id", "base_id", "_distance"), cols, strict=True)))
 
 
-def nearest_of_each(queries: DataFrame, base: DataFrame, k: int, query_id: str, base_id: str, query_vec: str, base_vec: str, metric: str = "cosine", tile_queries: int = TILE_QUERIES, tile_rows: int = TILE_ROWS) -> DataFrame:
+def nearest_of_each(queries: DataFrame, base: DataFrame, k: int, query_id: str, base_id: str, query_vec: str, base_vec: str, metric: str = "cosine", tile_queries: int = TILE_QUERIES, tile_rows: int = TILE_ROWS, most: int | None = None) -> DataFrame:
     """(query_id, base_id, _distance, _rank): the k nearest base rows of every query row, ties to the smaller id.
 
     Both sides are dealt by a hash into blocks of bounded size, sized by their counts; a tile is a pair of blocks and one
     matrix product, so tasks grow in number and not in size. Each tile keeps k hits a query, which one window merges. Rows
-    without a vector take no part.
+    without a vector take no part. most: a known upper bound of the queries' number, which saves counting them.
     """
     if metric not in D.METRICS:
         raise ValueError(f"unknown metric {metric!r}")
     q = queries.where(F.col(query_vec).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(query_vec).cast("array<double>").alias("_q"))
     b = base.where(F.col(base_vec).isNotNull()).select(F.col(base_id).alias("base_id"), F.col(base_vec).cast("array<double>").alias("_v"))
-    n_q, n_b = max(1, -(-q.count() // tile_queries)), max(1, -(-b.count() // tile_rows))
+    n_q, n_b = max(1, -(-(q.count() if most is None else most) // tile_queries)), max(1, -(-b.count() // tile_rows))
     blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = q.select("*", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("_i"), blocks(n_b).alias("_j"))
     b = b.select("*", blocks(n_q).alias("_i"), F.pmod(F.xxhash64("base_id"), F.lit(n_b)).cast("int").alias("_j"))

@@ -359,3 +359,15 @@ def test_a_tile_of_many_queries_takes_little_memory():
     tracemalloc.stop()
     assert peak < 150e6  # one matrix of all distances takes 134 MB, and several are needed
     assert got.query_id.tolist() == got.base_id.tolist() == list(range(4096))
+
+
+def test_contextual_classification_does_not_count_its_centroids(spark, monkeypatch):
+    d = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "c", "c"])], "id long, t array<string>")
+    w = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 1.0])], "term string, vector array<double>")
+    g = spark.createDataFrame([(7, [1.0, 0.1]), (8, [0.1, 1.0])], "target long, v array<double>")
+    counted, count = [], type(d).count
+    monkeypatch.setattr(type(d), "count", lambda self: (counted.append(self._jdf.queryExecution().analyzed().toString()), count(self))[1])
+    out = classify.contextual(d, g, "id", "t", w, "target", "v")
+    assert counted and not any("_weight" in p for p in counted)
+    monkeypatch.undo()
+    assert out.count() == 2
