@@ -41,6 +41,22 @@ def remainder(col: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(n))
 
 
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The most frequent rows (h, c), as many as come to ``most`` at most, by a threshold on counts.
+
+    The threshold comes from a histogram of logarithms, a table of bounded size; no row is ranked.
+    """
+    step = F.floor(F.log2("c") * 16).cast("int")
+    bins = counts.groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("b")).collect()  # 1,024 rows at most
+    total, least = 0, None
+    for r in bins:
+        total += r.n
+        if total > most:
+            break
+        least = r.b
+    return counts.where(step >= least) if least is not None else counts.limit(0)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge table: (node, comp), comp the smallest node reachable. Nodes without edges are absent.
 

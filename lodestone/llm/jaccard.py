@@ -2,12 +2,14 @@
 
 1. A map makes each text's set of n-grams as sorted 64-bit hashes, a 128-bit digest of the set, and prefix keys. Equal sets
    meet by their digest, and one representative goes on for each.
-2. Candidates. Sets are read in the order of their hashes, and a key is a pair of neighbours in that order. An element that
+2. Candidates. Sets are read in one order of all elements, and a key is a pair of neighbours in that order. An element that
    only one of two sets has breaks two pairs of its own set and one of the other's. As links bound how many such elements
    there are, two linked sets share a pair among their first ones, and only those are sent (``prefix_keys``). Chaining the sets
-   that share a key gives candidate groups, which contain every linked pair. This is exact; no key is left out for being
-   frequent. Keys that repeat within a batch are chained there and leave it once, so a frequent key's rows are far fewer than
-   its texts.
+   that share a key gives candidate groups, which contain every linked pair. This is exact in any order, and no key is left out
+   for being frequent. The order is that of the hashes, but n-grams which repeat over many texts come last, by their
+   counts (``repeated``): so a passage that many texts share makes keys only of texts with little else in them, and groups do not
+   grow with the input. Keys that repeat within a batch are chained there and leave it once, so a frequent key's rows are far
+   fewer than its texts.
 3. Tiles of bitmaps. A candidate group of bounded size is one tile. A larger one is dealt into blocks by size band and hash,
    and tiles are pairs of blocks of equal or adjacent bands, as no others can link. In a tile, hashed bitmaps of one or two
    bits an element bound overlaps from above: each bit that differs means an element that is not shared, so
@@ -29,20 +31,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import components, discard, written
+from lodestone.llm.common import components, discard, frequent, written
 from lodestone.llm.units import held
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: A tile's most sets, and most elements over its sets.
 TILE_SETS, TILE_ELEMENTS = 2048, 1 << 20
+#: Elements that are counted together, and most n-grams of the table that puts frequent ones last.
+COUNTED, FREQUENT = 1 << 20, 1 << 16
 
 
 class Words(dict):
@@ -61,6 +65,15 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def hashed_grams(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of so many words, in their order, from the words' hashes."""
+    count = max(0, len(h) - size + 1)
+    out = h[:count].copy()
+    for i in range(1, size):
+        out = mixed(out * MIX + h[i : count + i])
+    return mixed(out + np.uint64(size))
+
+
 def shingles(text: bytes | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of the n-grams of blank-separated words, A-Z lower-cased."""
     words = text.lower().split() if text else []
@@ -68,15 +81,47 @@ def shingles(text: bytes | None, n: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     memory = held("jaccard words", Words)
     h = np.fromiter(map(memory.__getitem__, words), np.uint64, len(words))
-    size = min(n, len(words))
-    out = h[: len(h) - size + 1].copy()
-    for i in range(1, size):
-        out = mixed(out * MIX + h[i : len(h) - size + 1 + i])
-    return np.unique(mixed(out + np.uint64(size)))
+    return np.unique(hashed_grams(h, min(n, len(words))))
+
+
+def repeated(texts: DataFrame, n: int) -> DataFrame:
+    """(h, c): n-grams that stand more than once in a run of rows, with the sum of these counts. All rows are read.
+
+    It only sets the order in which sets are read, so what a run misses costs time, never a link.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            h, c = np.unique(np.concatenate(grams), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[c > 1].view(np.int64)), pa.array(c[c > 1])], names=["h", "c"])
+
+        grams, size, memory = [np.empty(0, np.uint64)], 0, held("jaccard words", Words)
+        for b in (x.slice(at, 500) for x in batches for at in range(0, x.num_rows, 500)):
+            words = [text.lower().split() if text else [] for text in b.column(0).to_pylist()]
+            length = np.array([len(x) for x in words])
+            h = np.fromiter(map(memory.__getitem__, chain.from_iterable(words)), np.uint64, length.sum())
+            left = np.repeat(np.cumsum(length), length) - np.arange(len(h))  # words of the text from here on
+            grams.append(hashed_grams(h, n)[left[: max(0, len(h) - n + 1)] >= n])
+            size += len(grams[-1])
+            if size >= COUNTED:
+                yield out()
+                grams, size = [np.empty(0, np.uint64)], 0
+        yield out()
+
+    return texts.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+
+
+def rare_first(s: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A sorted set in the order that keys are taken in: elements outside the table (hashes, counts), then those in it by count."""
+    h, c = table
+    if not len(h) or not len(s):
+        return s
+    at = np.minimum(np.searchsorted(h, s), len(h) - 1)
+    return s[np.argsort(np.where(h[at] == s, c[at], 0), kind="stable")]
 
 
 def prefix_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys by which a set meets every other one that it links with at num / den.
+    """Keys by which a set, its elements in an order that all sets have in common, meets every other one that it links with at num / den.
 
     Let A of a elements link with B and let A be the one that is looked at. Of A's a - 1 pairs of neighbours, at most
     2 |A - B| + |B - A| are no pairs of B. That is largest where B lies within A, 2 a (1 - num / den). So the first pair that
@@ -241,6 +286,10 @@ def rows(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, tile_sets:
     """What join gives, with the columns of IDENTITY and is_first: the row is the smallest of its component by IDENTITY."""
     source = identified(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))).select(*IDENTITY, "text")
 
+    spark = docs.sparkSession
+    often = frequent(written(repeated(source, n), "repeated"), FREQUENT).toPandas().sort_values("h", key=lambda h: h.to_numpy(np.int64).view(np.uint64))
+    often = spark.sparkContext.broadcast((often.h.to_numpy(np.int64).view(np.uint64), often.c.to_numpy(np.int64)))
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(at, 1000) for x in batches for at in range(0, x.num_rows, 1000)):
             size, high, low, maps, keys = [], [], [], [], []
@@ -251,7 +300,7 @@ def rows(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, tile_sets:
                 high.append((d >> 64) - (1 << 63))
                 low.append((d & (1 << 64) - 1) - (1 << 63))
                 maps.append(small_map(s))
-                keys.append(prefix_keys(s, num, den))
+                keys.append(prefix_keys(rare_first(s, often.value), num, den))
             new, before = chained(keys)
             cols = [*(pa.array(x, pa.int64()) for x in (size, high, low)), pa.array(maps, pa.binary()), pa.array(new, pa.list_(pa.int64())), pa.array(before, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *cols], names=[*IDENTITY, "n", "h1", "h2", "map", "keys", "before"])
@@ -271,13 +320,13 @@ def rows(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, tile_sets:
     digests = loose.join(sets.select(F.col("uid").alias("node"), "h1", "h2", "n"), "node").groupBy("h1", "h2", "n").agg(F.min("comp").alias("comp"))
     member = written(digests.join(copies, ["h1", "h2", "n"]).select("comp", F.col("rep").alias("node"), "n"), "member")
 
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = close_in_tile(pdf.node.to_numpy(), pdf.side.to_numpy(), pdf.n.to_numpy(), pdf["map"].tolist(), num, den)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    def near(t: pa.Table) -> pa.Table:
+        found = close_in_tile(*(t.column(c).to_numpy() for c in ("node", "side", "n")), t.column("map").to_pylist(), num, den)
+        return pa.table([pa.array(x) for x in np.array(found, np.int64).reshape(-1, 2).T.copy()], names=["a", "b"])
 
     placed = tiled(member, num, den, 4 * tile_sets, 8 * tile_elements)  # maps are that much smaller
     maps = member.select("node").join(copies.select(F.col("rep").alias("node"), "n", "map"), "node")
-    close = components(placed.join(maps, "node").groupBy("comp", "low", "high", "i", "j").applyInPandas(near, "a long, b long"))
+    close = components(placed.join(maps, "node").groupBy("comp", "low", "high", "i", "j").applyInArrow(near, "a long, b long"))
     asked = written(close.join(copies.select(F.col("rep").alias("node"), "n", "times", *IDENTITY), "node"), "asked")
     placed = tiled(asked.select("comp", "node", "n"), num, den, tile_sets, tile_elements).join(asked.select("node", "times"), "node")
 
@@ -290,11 +339,12 @@ def rows(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, tile_sets:
     needed = there.join(asked.select("node", *IDENTITY), IDENTITY).select("node", "text").mapInArrow(rebuilt, "node long, members binary")
     needed = needed.groupBy("node").agg(F.first("members").alias("members"))  # repeated rows
 
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = links_in_tile(pdf.node.to_numpy(), pdf.side.to_numpy(), [np.frombuffer(x, np.uint64) for x in pdf.members], pdf.times.to_numpy(), num, den)
-        return pd.DataFrame(found, columns=["a", "b", "links"], dtype="int64")
+    def tile(t: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("members").to_pylist()]
+        found = links_in_tile(t.column("node").to_numpy(), t.column("side").to_numpy(), sets, t.column("times").to_numpy(), num, den)
+        return pa.table([pa.array(x) for x in np.array(found, np.int64).reshape(-1, 3).T.copy()], names=["a", "b", "links"])
 
-    links = written(placed.join(needed, "node").groupBy("comp", "low", "high", "i", "j").applyInPandas(tile, "a long, b long, links long"), "links")
+    links = written(placed.join(needed, "node").groupBy("comp", "low", "high", "i", "j").applyInArrow(tile, "a long, b long, links long"), "links")
     linked = components(links.where("a <> b")).withColumnRenamed("node", "rep")
     degree = links.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     firsts = linked.join(copies, "rep").groupBy("comp").agg(F.min(F.struct(*IDENTITY)).alias("first"))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import discard, remainder, written
+from lodestone.llm.common import discard, frequent, remainder, written
 from lodestone.llm.units import held, library_encoder
 
 VOCABULARY, END = 50_257, 50_256
@@ -362,22 +362,6 @@ def trained(stored: DataFrame, vocabulary: Vocabulary, rate: float = 0.02, atten
     return flat
 
 
-def frequent(words: DataFrame, most: int) -> DataFrame:
-    """The most frequent words (h, c), as many as come to ``most`` at most, by a threshold on counts.
-
-    The threshold comes from a histogram of logarithms, a table of bounded size; no word is ranked.
-    """
-    step = F.floor(F.log2("c") * 16).cast("int")
-    bins = words.groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("b")).collect()  # 1,024 rows at most
-    total, least = 0, None
-    for r in bins:
-        total += r.n
-        if total > most:
-            break
-        least = r.b
-    return words.where(step >= least) if least is not None else words.limit(0)
-
-
 def log_probability(p: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray, sizes: np.ndarray, attend: bool = True) -> np.ndarray:
     """log10 probability of each document's subwords, each scored once."""
     x, kind = vocabulary.bucket[inputs(ids, sizes)], vocabulary.kind[ids]

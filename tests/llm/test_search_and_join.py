@@ -145,6 +145,23 @@ def test_linked_sets_share_a_prefix_key(num, den):
     assert linked > 50 or num == den
 
 
+def test_a_shared_passage_makes_no_candidate_group(spark, monkeypatch):
+    rng, real, members = random.Random(6), jaccard.written, []
+
+    def watched(df, name, *rest):
+        out = real(df, name, *rest)
+        members.extend(out.collect() if name == "member" else [])
+        return out
+
+    monkeypatch.setattr(jaccard, "written", watched)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, f"{passage} " + " ".join(str(rng.random()) for _ in range(60))) for i in range(300)]
+    rows += [(1000, rows[0][1] + " end"), (1001, passage), (1002, passage + " end")]  # a link, and one within the passage
+    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    assert got == {**{i: i for i in range(300)}, 1000: 0, 1001: 1001, 1002: 1001}
+    assert len(members) == 4
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (201, 202), (202, 200), (5, 5)]
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
