@@ -6,9 +6,10 @@ share locally.
 2. Hamming tables: a corner enters each table with its own string and that of its nearest neighbour of the same scale, so two
    images meet there if two corners beside each other agree in one string each, whatever their scale and turn, though other bits
    differ. One common patch alone makes no bucket. Of two corners that are each other's nearest the brighter one enters, for both.
-3. Each member of a bucket is matched with the bucket's first one and with the one before it: matches grow with the rows,
-   never with the square of a bucket. Members of one batch are matched in the batch, and only the first one leaves it, so a very
-   common bucket holds a few rows for each batch.
+3. Each member of a bucket is matched with the bucket's first one and with the one before it, members of one batch in the batch.
+   That finds most classes by matches that grow with the rows. What it leaves out is then completed (``between_classes``): in
+   every bucket all pairs of images that are not in one class yet are matched, a large bucket in tiles of bounded size, so
+   classes are those of all pairs. Of equal rasters one takes part.
 4. Geometric consensus: a match proposes a ratio of sizes, a turn and a shift. Two images link when at least ``CONSENSUS``
    corners, and ``SHARE`` of the corners of the image that has fewer, propose the same.
 5. Rasters that are equal byte for byte link by a 128-bit digest. Connected components give the class.
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,8 +45,8 @@ LEAST_RESPONSE = 2e3
 MARGIN = 6
 #: Corners, and share of the lesser image's corners, that make a link; width in pixels of a vote's shift.
 CONSENSUS, SHARE, SHIFT = 6, 0.2, 4
-#: Images of one batch.
-BATCH = 256
+#: Images of one batch; entries of a bucket's block.
+BATCH, BLOCK = 256, 256
 _rng = np.random.default_rng(20)
 TESTS = np.clip(_rng.normal(0, PATCH / 2.5, (32 * TABLES, 4)), -PATCH + 4, PATCH - 4)
 ANGLES = np.arange(TURNS) * 2 * np.pi / TURNS
@@ -212,10 +214,11 @@ def proposed(a: Column, b: Column) -> dict[str, Column]:
 
 def copies(media: DataFrame, key: str) -> DataFrame:
     """id, n_corners and class_id (smallest id of its class) of every row of the media column."""
-    entry = pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int64())]))
+    entry = pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int64()), ("new", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(at, BATCH) for x in batches for at in range(0, x.num_rows, BATCH)):
+            b = b.take(pc.sort_indices(b.column(0)))  # a pair is looked at from its smaller id
             ids, images, digests, nodes = b.column(0).to_pylist(), [], [], []
             for i, *media in zip(ids, *(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 digest = None if media[2] is None else hashlib.sha256(f"{media[0]} {media[1]} ".encode() + media[2]).digest()[:16]
@@ -233,34 +236,63 @@ def copies(media: DataFrame, key: str) -> DataFrame:
                 if d is not None and seen[d] != i:
                     beside[i].append(nodes[seen[d]])
                     count[i] = count[seen[d]]
-            row, table = np.nonzero(new)
+            row, table = np.nonzero(np.ones_like(new))
             cut = np.searchsorted(found[row, 0], np.arange(len(ids) + 1)).astype(np.int32)
             at = found[row, 1] << 60 | found[row, 2] << 56 | (found[row, 5] - 1) << 55 | found[row, 3] << 28 | found[row, 4]
-            entries = pa.ListArray.from_arrays(pa.array(cut), pa.StructArray.from_arrays([pa.array(keys[row, table]), pa.array(at)], names=["key", "at"]))
+            entries = pa.ListArray.from_arrays(pa.array(cut), pa.StructArray.from_arrays([pa.array(keys[row, table]), pa.array(at), pa.array(new[row, table])], names=["key", "at", "new"]))
             whole = [d if d is not None and seen[d] == i else None for i, d in enumerate(digests)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(whole, pa.binary()), pa.array(count.astype(np.int32)), pa.array(beside, pa.list_(pa.int64())), entries.cast(entry)], names=["id", "node", "digest", "n_corners", "beside", "entries"])
 
     source = media.select(F.col(key).cast("long").alias("id"), "width", "height", "pixels")
-    whole = written(source.mapInArrow(run, "id long, node long, digest binary, n_corners int, beside array<long>, entries array<struct<key:long,at:long>>"), "corners")
+    whole = written(source.mapInArrow(run, "id long, node long, digest binary, n_corners int, beside array<long>, entries array<struct<key:long,at:long,new:boolean>>"), "corners")
     rows = written(whole.drop("entries"), "rasters")
     by_key = Window.partitionBy("key").orderBy("node", "at")
-    each = whole.select("node", F.explode("entries").alias("e")).select("node", "e.key", "e.at")
+    each = whole.select("node", F.explode("entries").alias("e")).where("e.new").select("node", "e.key", "e.at")
     one = F.struct("node", "at")
     each = each.select("node", "at", F.first(one).over(by_key).alias("f"), F.lag(one).over(by_key).alias("l"))
     matched = each.select("node", "at", F.explode(F.array_distinct(F.array("f", "l"))).alias("p")).where("p.node <> node")
-    vote = matched.select(F.col("p.node").alias("a"), F.col("node").alias("b"), *(c.alias(n) for n, c in proposed(F.col("p.at"), F.col("at")).items()), F.col("p.at").alias("at"))
-    bins = ["a", "b", "ratio", "turn", "dx", "dy"]
-    vote = vote.groupBy(*bins, "at").agg(F.max("w").alias("w"))  # an entry counts once, whichever tables it was found by
-    agreed = vote.groupBy(*bins).agg(F.sum("w").alias("n")).where(F.col("n") >= CONSENSUS).groupBy("a", "b").agg(F.max("n").alias("n"))
-    agreed = written(agreed, "agreed")
-    discard(whole)
     size = rows.groupBy("node").agg(F.min("n_corners").alias("n_corners"))
-    agreed = agreed.join(size.select(F.col("node").alias("a"), F.col("n_corners").alias("na")), "a").join(size.select(F.col("node").alias("b"), F.col("n_corners").alias("nb")), "b")
-    across = agreed.where(F.col("n") >= SHARE * F.least("na", "nb")).select("a", "b")
+    across = agreed(matched, size)
     equal = rows.where("digest is not null").select("node", F.lag("node").over(Window.partitionBy("digest").orderBy("node")).alias("b")).where("b is not null")
     classes = components(across.union(equal).union(rows.select("node", F.explode("beside"))))
-    class_of = F.coalesce("comp", "node")
-    return rows.join(classes, "node", "left").select(F.col("id").alias(key), "n_corners", F.when(class_of < NO_ID, class_of).alias("class_id"))
+    one_of_each = rows.where("digest is not null").groupBy("digest").agg(F.min("node").alias("node")).select("node").distinct()
+    placed = written(one_of_each.join(classes, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "classes")
+    entries = whole.select("node", F.explode("entries").alias("e")).select("node", "e.key", "e.at").join(placed, "node")
+    more = agreed(between_classes(entries), size)
+    of = lambda c: placed.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_class"))
+    merged = components(more.join(of("a"), "a").join(of("b"), "b").select("a_class", "b_class"), "a_class", "b_class")
+    discard(whole)
+    merged = merged.select(F.col("node").alias("comp"), F.col("comp").alias("wider"))
+    out = rows.join(classes, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(merged, "comp", "left")
+    class_of = F.coalesce("wider", "comp")
+    return out.select(F.col("id").alias(key), "n_corners", F.when(class_of < NO_ID, class_of).alias("class_id"))
+
+
+def agreed(matched: DataFrame, size: DataFrame) -> DataFrame:
+    """(a, b): images that link by matches of an entry (node, at) with an earlier one p. size: (node, n_corners)."""
+    vote = matched.select(F.col("p.node").alias("a"), F.col("node").alias("b"), *(c.alias(n) for n, c in proposed(F.col("p.at"), F.col("at")).items()), F.col("p.at").alias("at"))
+    bins = ["a", "b", "ratio", "turn", "dx", "dy"]
+    vote = vote.groupBy(*bins, "at").agg(F.max("w").alias("w"))  # an entry counts once, whichever tables it was found by
+    found = vote.groupBy(*bins).agg(F.sum("w").alias("n")).where(F.col("n") >= CONSENSUS).groupBy("a", "b").agg(F.max("n").alias("n"))
+    found = written(found, "agreed")
+    found = found.join(size.select(F.col("node").alias("a"), F.col("n_corners").alias("na")), "a").join(size.select(F.col("node").alias("b"), F.col("n_corners").alias("nb")), "b")
+    return found.where(F.col("n") >= SHARE * F.least("na", "nb")).select("a", "b")
+
+
+def between_classes(entries: DataFrame) -> DataFrame:
+    """(node, at, p): all pairs of entries (key, node, at, comp) of one key whose images are in different classes, p the smaller node's.
+
+    A key's entries are dealt into blocks of about BLOCK by a hash, and two blocks meet in a tile, so no task takes a whole bucket.
+    """
+    keys = entries.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
+    keys = written(keys.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "keys")
+    dealt = entries.join(keys, "key").withColumn("block", F.pmod(F.xxhash64("node", "at"), F.col("blocks")).cast("int"))
+    dealt = written(dealt, "dealt")
+    tile = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tile = tile.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "at", "comp")
+    left = tile.select("key", "i", "j", F.col("block").alias("p_block"), F.struct("node", "at").alias("p"), F.col("comp").alias("p_comp"))
+    pairs = tile.join(left, ["key", "i", "j"]).where("p_comp <> comp and p.node < node and (i = j or block <> p_block)")
+    return pairs.select("node", "at", "p")
 
 
 TAG = re.compile(r"<(?:script|style)\b.*?</(?:script|style)>|<!--.*?-->|<[^>]*>", re.S | re.I)

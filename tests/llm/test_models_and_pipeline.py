@@ -197,6 +197,23 @@ def test_media_copies_against_all_pairs(spark, monkeypatch):
     assert len({got[100 * s] for s in range(1, 40)}) == 39
 
 
+@pytest.mark.parametrize("block", [256, 3])
+def test_media_copies_behind_others_of_a_bucket(spark, monkeypatch, block):
+    monkeypatch.setattr(media, "BATCH", 1)  # all meet by the tables
+    monkeypatch.setattr(media, "BLOCK", block, raising=False)
+    whole, pics = picture(1), {}
+    for n, (y, x) in enumerate((y, x) for y in range(0, 97, 24) for x in range(0, 97, 24)):
+        for first in (0, 200):  # they stand first in the buckets and between the two that share more
+            pics[first + n] = picture(1000 + first + n)
+            pics[first + n][y : y + 64, x : x + 64] = whole[y : y + 64, x : x + 64]
+    pics[100], pics[300] = whole, picture(700)
+    pics[300][:110, :110] = whole[:110, :110]
+    pics = dict(sorted(pics.items()))
+    rows = [(i, p.shape[1], p.shape[0], p.tobytes()) for i, p in pics.items()]
+    got = {r.id: r.class_id for r in media.copies(spark.createDataFrame(rows, "id long, width int, height int, pixels binary"), "id").collect()}
+    assert got == brute_classes(pics) and got[300] == got[100]
+
+
 def test_media_copies_of_odd_rows(spark):
     p, kind = picture(1), "class_id long, id long, width int, height int, pixels binary, n string"
     rows = [(1, None, 160, 160, p.tobytes(), ""), (1, None, 160, 160, p.tobytes(), ""), (1, 9, 140, 160, p[:, :140].tobytes(), ""), (1, 5, -160, -160, p.tobytes(), ""), (1, 6, -160, -160, p.tobytes(), ""), (1, 7, 160, 160, picture(2).tobytes(), ""), (1, 7, 160, 160, picture(3).tobytes(), ""), (1, 8, 160, 160, picture(3).tobytes(), ""), (1, None, 5, 5, bytes(25), ""), (1, None, None, None, None, "")]
