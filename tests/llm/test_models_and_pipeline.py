@@ -214,6 +214,39 @@ def test_media_copies_behind_others_of_a_bucket(spark, monkeypatch, block):
     assert got == brute_classes(pics) and got[300] == got[100]
 
 
+def test_media_copies_of_pages_that_repeat_words(spark, monkeypatch):
+    monkeypatch.setattr(media, "BLOCK", 4, raising=False)
+    rng, html = random.Random(8), []
+    for n in range(10):  # equal corners in long columns, which are matched by their runs
+        texts = [" ".join(rng.choice(("esin", "thor", "rend", "eaingor", "of")) for _ in range(8)) + f" {w}" * rng.randrange(150, 300) for w in rng.sample(("esin", "rend", "eaingor", "ab", "abcdefg"), 2)]
+        html.append(" ".join(texts))
+    pics = {i: media.raster(*media.page_raster(h)) for i, h in enumerate(html)}
+    pics[10], pics[11], pics[12] = (np.ascontiguousarray(f(pics[3])) for f in (lambda p: p[::-1, ::-1], np.rot90, lambda p: p.repeat(2, 0).repeat(2, 1)))
+    rows = [(i, p.shape[1], p.shape[0], p.tobytes()) for i, p in pics.items()]
+    got = {r.id: r.class_id for r in media.copies(spark.createDataFrame(rows, "id long, width int, height int, pixels binary"), "id").collect()}
+    assert got == brute_classes(pics)
+    found, keys, count = media.corners(list(pics.values()))
+    at = found[:, 1] << 60 | found[:, 2] << 56 | (found[:, 5] - 1) << 55 | found[:, 3] << 28 | found[:, 4]
+    tile = media.Tile(np.arange(len(pics)), np.arange(len(pics)), count, found[:, 0], keys.T, at)
+    assert tile.len.sum() > 2 * len(tile.len)  # runs are fewer than entries
+    for a in pics:  # each pair by itself, not by its class
+        for b in range(a + 1, len(pics)):
+            two = media.Tile(np.arange(2), np.arange(2), count[[a, b]], (found[:, 0] == b)[np.isin(found[:, 0], (a, b))].astype(np.int64), keys[np.isin(found[:, 0], (a, b))].T, at[np.isin(found[:, 0], (a, b))])
+            assert bool(two.links()) == (len(set(brute_classes({0: pics[a], 1: pics[b]}).values())) == 1), (a, b)
+
+
+def test_nearest_corners_are_those_of_all_pairs():
+    rng = np.random.default_rng(5)
+    p = rng.integers(0, 40, (600, 2))
+    of = np.sort(rng.integers(0, 5, 600))
+    of[-1] = 9
+    order = np.lexsort((p[:, 0], p[:, 1], of))
+    x, y = p[order].T
+    d = ((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2).astype(float)
+    d[(of[:, None] != of) | np.eye(600, dtype=bool)] = np.inf
+    assert (media.nearest(of, y, x) == np.where(np.isinf(d.min(1)), -1, d.argmin(1))).all()
+
+
 def test_media_copies_of_odd_rows(spark):
     p, kind = picture(1), "class_id long, id long, width int, height int, pixels binary, n string"
     rows = [(1, None, 160, 160, p.tobytes(), ""), (1, None, 160, 160, p.tobytes(), ""), (1, 9, 140, 160, p[:, :140].tobytes(), ""), (1, 5, -160, -160, p.tobytes(), ""), (1, 6, -160, -160, p.tobytes(), ""), (1, 7, 160, 160, picture(2).tobytes(), ""), (1, 7, 160, 160, picture(3).tobytes(), ""), (1, 8, 160, 160, picture(3).tobytes(), ""), (1, None, 5, 5, bytes(25), ""), (1, None, None, None, None, "")]
