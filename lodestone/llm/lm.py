@@ -51,8 +51,12 @@ CHUNK, ROUNDS, LANE = 8, 4, 2048
 BATCH = 48
 #: In a stored chunk, what is no subword; numbers that a chunk has.
 NONE, STORED = 65_535, BACK + CHUNK * STRIDE + 1
-#: By bucket: a query and the subword's own row, and a key and a value; biases by distance; the output layer.
-SHAPES = {"qe": (BUCKETS, 2 * DIM), "kv": (BUCKETS, 2 * DIM), "near": (WINDOW,), "w": (2 * DIM, CLASSES), "b": (CLASSES,)}
+#: By bucket: a query and the subword's own row, and a key and a value; biases by distance; the output layer, its biases last.
+SHAPES = {"qe": (BUCKETS, 2 * DIM), "kv": (BUCKETS, 2 * DIM), "near": (WINDOW,), "w": (2 * DIM + 1, CLASSES)}
+ENDS = np.cumsum([int(np.prod(s)) for s in SHAPES.values()]).tolist()
+PARAMETERS = ENDS[-1]
+#: Numbers up to this size are put into exp as they are; sums and quotients of the results stay within 32-bit floats.
+PLAIN = 40
 
 
 class WordBook(dict):
@@ -98,7 +102,7 @@ class WordBook(dict):
             if ids is None:
                 if len(self.parts) > 150_000:
                     self.parts.clear()
-                ids = self.encode(m)
+                ids = tuple(self.encode(m))  # the garbage collector need not look through tuples of numbers
                 if len(m) <= 40:  # words share these parts, as before a comma
                     self.parts[m] = ids
             out += ids
@@ -132,6 +136,12 @@ class WordBook(dict):
         return self.log
 
 
+def keep_memory() -> None:
+    """From now on this process keeps the memory that arrays free: glibc does so up to the largest mapped block that was freed,
+    of at most 32 MB. Else pages are asked of the system anew for each larger array, which costs more than what is computed."""
+    np.empty(31 << 20, np.uint8)
+
+
 def book(path: str, pattern: str) -> WordBook:
     return held(("word book", path), lambda: WordBook(path, pattern))
 
@@ -153,6 +163,7 @@ def counted(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     to be summed; and chunks (null, h, 1, w) to train on, h a hash of the document's id and the chunk's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         words, totals = book(path, pattern), np.zeros(0, np.int64)
         words.trim()
 
@@ -235,26 +246,22 @@ def word_starts(path: str) -> np.ndarray:
 
 
 def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for name, shape in SHAPES.items():
-        n = int(np.prod(shape))
-        out[name] = flat[at : at + n].reshape(shape)
-        at += n
-    return out
+    return {name: flat[at:end].reshape(shape) for (name, shape), at, end in zip(SHAPES.items(), [0, *ENDS], ENDS, strict=False)}
 
 
 def initial(prior: np.ndarray) -> np.ndarray:
-    flat = np.random.default_rng(7).normal(0, 0.1, sum(int(np.prod(s)) for s in SHAPES.values())).astype(np.float32)
+    flat = np.random.default_rng(7).normal(0, 0.1, PARAMETERS).astype(np.float32)
     p = unpack(flat)
     p["near"][:] = 0
     p["w"] *= 0.5
-    p["b"][:] = prior
+    p["w"][-1] = prior
     return flat
 
 
 # Rows are scored positions, columns the window's places; a position sees itself and what stands before it.
 AGO = BACK + np.arange(STRIDE)[:, None] - np.arange(WINDOW)[None, :]
-SEEN = AGO >= 0
+NEAR = np.where(AGO >= 0, AGO, WINDOW)
+BY_AGO = (NEAR.reshape(-1, 1) == np.arange(WINDOW)).astype(np.float32)
 
 
 def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -268,47 +275,103 @@ def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return np.where(real, inner + first, 0), real, real[:, BACK:], doc
 
 
+ONES = {x: np.ones(CLASSES, x) for x in "fd"}
+
+
+def rows_of(table: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    return table.take(numbers, 0, mode="clip")  # without the copy that a check of bounds makes
+
+
+def summed(x: np.ndarray) -> np.ndarray:
+    """Sums along the last axis, by the matrix library."""
+    return x @ ONES[x.dtype.char][: x.shape[-1]]
+
+
+def small(x: np.ndarray, more: float = 0) -> bool:
+    return max(x.max(), -x.min()) + more <= PLAIN
+
+
+def exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+    """The rows' sums of exp(z), which replaces z, and what was taken from the rows before: their largest where numbers are not small."""
+    top = 0.0
+    if not small(z):
+        top = z.max(1)
+        z -= top[:, None]
+    np.exp(z, out=z)
+    return summed(z), top
+
+
 def forward(p: dict[str, np.ndarray], x: np.ndarray, real: np.ndarray, attend: bool = True) -> tuple[np.ndarray, ...]:
-    """Attention of the scored positions over their windows; x: buckets (n, WINDOW). attend False: each sees its own row only."""
-    qe, kv = p["qe"][x[:, BACK:]], p["kv"][x]
-    q, k, v = qe[..., :DIM] * np.float32(DIM**-0.5), kv[..., :DIM], kv[..., DIM:]
+    """Attention of the scored positions over their windows; x: buckets (n, WINDOW). attend False: each sees its own row only.
+
+    Gives queries, keys, values, weights, what the weights have to be multiplied with to sum up to 1, hidden rows and logits.
+    """
+    qe, kv = rows_of(p["qe"], x[:, BACK:]), rows_of(p["kv"], x)
+    q, k, v = qe[..., :DIM], kv[..., :DIM], kv[..., DIM:]
+    h = np.empty((*qe.shape[:2], 2 * DIM + 1), qe.dtype)
+    h[..., DIM:-1] = qe[..., DIM:]
+    h[..., -1] = 1
     a = np.matmul(q, k.transpose(0, 2, 1))
-    a += np.where(SEEN, p["near"][np.maximum(AGO, 0)], np.float32(-1e9)).astype(a.dtype)
+    a *= DIM**-0.5
     edge = np.flatnonzero(~real.all(1))
-    a[edge] -= np.where(real[edge], np.float32(0), np.float32(1e9))[:, None, :]
-    a -= a.max(2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(2, keepdims=True)
-    h = np.concatenate((np.matmul(a, v) if attend else np.zeros_like(q), qe[..., DIM:]), 2)
-    z = h.reshape(-1, 2 * DIM) @ p["w"]
-    z += p["b"]
-    return q, k, v, a, h, z
-
-
-def scattered(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Sums of values (n, c) by row number."""
-    c = values.shape[-1]
-    at = (rows.reshape(-1, 1) * c + np.arange(c)).ravel()
-    return np.bincount(at, values.ravel(), BUCKETS * c)
+    if small(a, np.abs(p["near"]).max()):
+        np.exp(a, out=a)
+        seen = np.zeros(WINDOW + 1, a.dtype)
+        np.exp(p["near"], out=seen[:WINDOW])
+        a *= rows_of(seen, NEAR)
+        a[edge] *= real[edge][:, None, :]
+    else:
+        a += rows_of(np.append(p["near"], -1e9).astype(a.dtype), NEAR)
+        a[edge] -= np.where(real[edge], 0, 1e9).astype(a.dtype)[:, None, :]
+        a -= a.max(2, keepdims=True)
+        np.exp(a, out=a)
+    part = np.maximum(summed(a.reshape(-1, WINDOW)), 1e-30)  # places that are not real may see nothing
+    part = np.reciprocal(part, out=part).reshape(*a.shape[:2], 1)
+    if attend:
+        np.multiply(np.matmul(a, v), part, out=h[..., :DIM])
+    else:
+        h[..., :DIM] = 0
+    return q, k, v, a, part, h, h.reshape(-1, 2 * DIM + 1) @ p["w"]
+
+
+PAIRS = np.arange(BUCKETS * DIM).reshape(BUCKETS, DIM)
+
+
+def add_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Add values (..., 2 * DIM) to the table's rows, two numbers at a time as one complex one."""
+    kind = np.result_type(table, np.complex64)
+    np.add.at(table.view(kind).ravel(), rows_of(PAIRS, rows).ravel(), values.view(kind).ravel())
 
 
 def gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, real: np.ndarray, scored: np.ndarray, attend: bool = True) -> np.ndarray:
     """Gradient of the mean loss over the scored positions, as one flat array in the order of SHAPES."""
-    q, k, v, a, h, z = forward(p, x, real, attend)
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z *= (scored.reshape(-1) / max(1, scored.sum()) / z.sum(1)).astype(z.dtype)[:, None]
-    z[np.arange(len(z)), y.ravel()] -= (scored.reshape(-1) / max(1, scored.sum())).astype(z.dtype)
-    dh = (z @ p["w"].T).reshape(h.shape)
-    do = dh[..., :DIM] * np.float32(attend)
-    ds = np.matmul(do, v.transpose(0, 2, 1))
-    ds -= (do * h[..., :DIM]).sum(2, keepdims=True)  # the mean over what is attended to
-    ds *= a
-    dkv = np.concatenate((np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), do)), 2)
-    dqe = np.concatenate((np.matmul(ds, k) * np.float32(DIM**-0.5), dh[..., DIM:]), 2)
-    near = np.bincount(np.maximum(AGO, 0).ravel(), np.where(SEEN, ds.sum(0), 0).ravel(), WINDOW)
-    parts = (scattered(x[:, BACK:], dqe), scattered(x, dkv), near, (h.reshape(-1, 2 * DIM).T @ z).ravel(), z.sum(0))
-    return np.concatenate([g.astype(np.float32) for g in parts])
+    q, k, v, a, part, h, z = forward(p, x, real, attend)
+    flat = np.zeros(PARAMETERS, z.dtype)
+    g, sums = unpack(flat), exponentials(z)[0]
+    z.reshape(-1)[np.arange(0, z.size, CLASSES) + y.ravel()] -= sums
+    share = (scored.ravel() / (sums * max(1, np.count_nonzero(scored))))[:, None]  # z's rows times it are the logits' gradient
+    dh = z @ p["w"][:-1].T
+    dh *= share
+    dh = dh.reshape(*h.shape[:2], 2 * DIM)
+    if attend:
+        do = dh[..., :DIM] * part
+        ds = np.matmul(do, v.transpose(0, 2, 1))
+        ds -= summed(do * h[..., :DIM])[..., None]  # the mean over what is attended to
+        ds *= a
+        g["near"][:] = ds.sum(0).ravel() @ BY_AGO
+        ds *= DIM**-0.5
+        dkv = np.empty((*x.shape, 2 * DIM), z.dtype)
+        np.matmul(ds.transpose(0, 2, 1), q, out=dkv[..., :DIM])
+        np.matmul(a.transpose(0, 2, 1), do, out=dkv[..., DIM:])
+        np.matmul(ds, k, out=dh[..., :DIM])  # dh now holds the gradient of the queries and own rows
+        add_rows(g["kv"], x, dkv)
+    else:
+        dh[..., :DIM] = 0
+    add_rows(g["qe"], x[:, BACK:], dh)
+    h = h.reshape(len(z), -1)
+    h *= share
+    g["w"][:] = (z.T @ h).T
+    return flat
 
 
 def inputs(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -328,19 +391,29 @@ def lane_trainer(start, classes, rate: float, attend: bool):
     """A function from a lane's chunks to its parameters (i, n, x), n the subwords that it was trained on, x the parameter times n."""
 
     def run(lane: pa.Table) -> pa.Table:
+        keep_memory()
         bucket, kind = classes.value
-        now, (m, s), step = start.value.copy(), np.zeros((2, len(start.value)), np.float32), 0
+        now, (m, s), step = start.value.copy(), np.zeros((2, len(start.value)), np.float32), 0  # m, s: 10 and 100 times Adam's means
         lane = lane.sort_by([("h", "ascending"), ("w", "ascending")])
         rows = np.frombuffer(b"".join(lane.column("w").to_pylist()), "<u2").reshape(-1, STORED)
         x, y, real, scored = chunk_windows(rows)
         x, y = bucket[x], kind[y]
+        p = unpack(now)
         for at in range(0, len(x), BATCH):
             w = slice(at, at + BATCH)
-            g = gradient(unpack(now), x[w], y[w], real[w], scored[w], attend)
+            g = gradient(p, x[w], y[w], real[w], scored[w], attend)
             step += 1
-            m += np.float32(0.1) * (g - m)
-            s += np.float32(0.01) * (g * g - s)
-            now -= np.float32(rate / (1 + step / 2000) / (1 - 0.9**step)) * m / (np.sqrt(s / np.float32(1 - 0.99**step)) + np.float32(1e-6))
+            root = (1 - 0.99**step) ** 0.5
+            m *= 0.9
+            m += g
+            s *= 0.99
+            g *= g
+            s += g
+            np.sqrt(s, out=g)
+            g += 1e-5 * root
+            np.divide(m, g, out=g)
+            g *= rate * root / (1 + step / 2000) / (1 - 0.9**step)
+            now -= g
         n = float(scored.sum())
         return pa.table({"i": pa.array(np.arange(len(now), dtype=np.int32)), "n": pa.array(np.full(len(now), n)), "x": pa.array(now.astype(np.float64) * n)})
 
@@ -365,17 +438,17 @@ def trained(stored: DataFrame, vocabulary: Vocabulary, rate: float = 0.02, atten
 def log_probability(p: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray, sizes: np.ndarray, attend: bool = True) -> np.ndarray:
     """log10 probability of each document's subwords, each scored once."""
     x, kind = vocabulary.bucket[inputs(ids, sizes)], vocabulary.kind[ids]
-    place, real, scored, doc = windows(sizes)
-    out = np.zeros(len(ids), np.float32)
+    place, real, scored, _ = windows(sizes)
+    out, done = np.zeros(len(ids), np.float32), 0
     for at in range(0, len(place), 256):
         w = slice(at, at + 256)
-        z = forward(p, x[place[w]], real[w], attend)[-1]
-        z -= z.max(1, keepdims=True)
-        mine = place[w][:, BACK:].ravel()
-        got = z[np.arange(len(z)), kind[mine]]
-        got -= np.log(np.exp(z, out=z).sum(1))
-        keep = scored[w].ravel()
-        out[mine[keep]] = got[keep]
+        z = forward(p, rows_of(x, place[w]), real[w], attend)[-1]
+        got = z[np.arange(len(z)), rows_of(kind, place[w, BACK:]).ravel()]
+        sums, top = exponentials(z)
+        got -= np.log(sums) + top
+        got = got[scored[w].ravel()]
+        out[done : done + len(got)] = got  # windows follow each other as the subwords do
+        done += len(got)
     return grouped(out.astype(np.float64) * np.log10(np.e) + vocabulary.share[ids], sizes)
 
 
@@ -402,6 +475,7 @@ def score(docs: DataFrame, path: str, pattern: str, held_out: int = 2, parts: in
     schema = "doc_id long, n_tokens long, n_hot long, log_hot double, score double, rare array<long>, times array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         words, (flat, vocab) = book(path, pattern), model.value
         p = unpack(flat)
         for b in batches:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -121,6 +122,56 @@ def test_gradient_is_the_slope_of_the_loss():
     assert slope == pytest.approx(float(g @ move), rel=1e-2)
 
 
+def plain_gradient(p, x, y, real, scored):
+    """As lm.gradient, by the formulas: softmax with the largest taken from each row, normalised weights, sums by position."""
+    qe, kv = p["qe"][x[:, lm.BACK :]], p["kv"][x]
+    q, k, v = qe[..., : lm.DIM] * np.float32(lm.DIM**-0.5), kv[..., : lm.DIM], kv[..., lm.DIM :]
+    a = np.matmul(q, k.transpose(0, 2, 1)) + np.where(lm.AGO >= 0, p["near"][np.maximum(lm.AGO, 0)], np.float32(-1e9)) - np.where(real, np.float32(0), np.float32(1e9))[:, None, :]
+    a = np.exp(a - a.max(2, keepdims=True))
+    a /= a.sum(2, keepdims=True)
+    h = np.concatenate((np.matmul(a, v), qe[..., lm.DIM :]), 2)
+    z = h.reshape(-1, 2 * lm.DIM) @ p["w"][:-1] + p["w"][-1]
+    z = np.exp(z - z.max(1, keepdims=True))
+    z /= z.sum(1, keepdims=True)
+    z[np.arange(len(z)), y.ravel()] -= 1
+    z *= (scored.ravel() / np.float32(scored.sum())).astype(z.dtype)[:, None]
+    dh = (z @ p["w"][:-1].T).reshape(h.shape)
+    do = dh[..., : lm.DIM]
+    ds = np.matmul(do, v.transpose(0, 2, 1))
+    ds = a * (ds - (do * h[..., : lm.DIM]).sum(2, keepdims=True))
+    dkv = np.concatenate((np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), do)), 2)
+    dqe = np.concatenate((np.matmul(ds, k) * np.float32(lm.DIM**-0.5), dh[..., lm.DIM :]), 2)
+
+    def by_row(rows, values):
+        c = values.shape[-1]
+        return np.bincount((rows.reshape(-1, 1) * c + np.arange(c)).ravel(), values.ravel(), lm.BUCKETS * c)
+
+    near = np.bincount(np.maximum(lm.AGO, 0).ravel(), np.where(lm.AGO >= 0, ds.sum(0), 0).ravel(), lm.WINDOW)
+    return np.concatenate([g.astype(np.float32) for g in (by_row(x[:, lm.BACK :], dqe), by_row(x, dkv), near, (h.reshape(-1, 2 * lm.DIM).T @ z).ravel(), z.sum(0))])
+
+
+@pytest.mark.parametrize("size", [1, 300])  # with large numbers, rows are lowered by their largest first
+def test_a_training_step_does_what_the_formulas_say_in_less_time(size):
+    rng = np.random.default_rng(5)
+    flat = lm.initial(np.zeros(lm.CLASSES, np.float32))
+    flat *= size
+    p, sizes = lm.unpack(flat), np.array([700, 9, 33, 420])
+    place, real, scored, _ = lm.windows(sizes)
+    x, kind = rng.integers(0, lm.BUCKETS, sizes.sum())[place], rng.integers(0, lm.CLASSES, sizes.sum())[place][:, lm.BACK :]
+    want, got = plain_gradient(p, x, kind, real, scored), lm.gradient(p, x, kind, real, scored)
+    assert abs(want - got).max() < 1e-4 * abs(want).max()
+
+    def least(f):
+        times = []
+        for _ in range(40):
+            t = time.process_time()
+            f(p, x, kind, real, scored)
+            times.append(time.process_time() - t)
+        return min(times)
+
+    assert size > 1 or least(lm.gradient) < 0.7 * least(plain_gradient)
+
+
 def picture(seed: int, h: int = 160, w: int = 160) -> np.ndarray:
     rng = np.random.default_rng(seed)
     img = np.zeros((h, w), np.uint8)
